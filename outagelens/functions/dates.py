@@ -45,7 +45,7 @@ def monthly_to_hourly(c) -> Column:  # D6: 30 days x 24 h
 
 
 def seconds_between(a, b) -> Column:  # D7
-    return F.timestampdiff("SECOND", col_(a), col_(b))
+    return F.timestamp_diff("SECOND", col_(a), col_(b))
 
 
 def add_seconds(ts, secs) -> Column:
