@@ -43,9 +43,9 @@ def any_true(cols: Iterable[Column]) -> Column:
 def at_latest(df: DataFrame, col: str) -> DataFrame:
     """keep rows at the global latest value of ``col``.
 
-    The maximum is a one-row aggregate, so broadcasting it is bounded."""
-    latest = df.agg(F.max(col).alias("_latest"))
-    return df.join(F.broadcast(latest), F.col(col) == F.col("_latest"), "inner").drop("_latest")
+    The maximum is a scalar subquery (one value), evaluated once; Spark's
+    ``max`` skips NULLs where R would return NA."""
+    return df.filter(F.col(col) == df.agg(F.max(col)).scalar())
 
 
 # ------------------------------------------------------------- A8 / A9 ----

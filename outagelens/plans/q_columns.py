@@ -85,9 +85,9 @@ def c09(t: Tables) -> DataFrame:
               "FROM documents GROUP BY lang")
 def c11(t: Tables) -> DataFrame:
     d = t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = t.documents.agg(F.count(F.lit(1)).alias("total"))  # one row: bounded broadcast
-    pct = mx.rnd(F.col("n") * 100.0 / F.col("total"), 1)
-    return (d.crossJoin(F.broadcast(total))
+    total = t.documents.agg(F.count(F.lit(1))).scalar()  # scalar subquery, one value
+    pct = mx.rnd(F.col("n") * 100.0 / total, 1)
+    return (d
             .select("lang", "n", tx.count_with_pct("n", F.concat(F.format_string("%.1f", pct), F.lit("%")))
                     .alias("label")))
 
@@ -236,11 +236,13 @@ def m05(t: Tables) -> DataFrame:
               + sq.rnd("quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)")
               + " AS iqr FROM lineitem GROUP BY l_returnflag")
 def m06(t: Tables) -> DataFrame:
-    x = F.col("l_extendedprice")
-    q1, q3 = F.percentile(x, 0.25), F.percentile(x, 0.75)
-    return t.lineitem.groupBy("l_returnflag").agg(
-        mx.rnd(F.avg(x)).alias("mean"), mx.rnd(F.median(x)).alias("median"), mx.rnd(q1).alias("q1"),
-        mx.rnd(q3).alias("q3"), mx.rnd(q3 - q1).alias("iqr"))
+    from ..operators.quantiles import quantile_columns
+    l = t.lineitem
+    qs = quantile_columns(l, "l_extendedprice", {"median": 0.5, "q1": 0.25, "q3": 0.75}, by=["l_returnflag"])
+    mean = l.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean"))
+    return mean.join(qs, "l_returnflag").select(
+        "l_returnflag", mx.rnd("mean").alias("mean"), mx.rnd("median").alias("median"), mx.rnd("q1").alias("q1"),
+        mx.rnd("q3").alias("q3"), mx.rnd(F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 # ---------------------------------------------------- conditional / N ----
