@@ -72,6 +72,13 @@ def percent(c, digits: int = 2) -> Column:  # C13: 0.1234 -> "12.34%"
     return F.format_string(f"%.{digits}f%%", F.round(col_(c) * 100, digits))
 
 
+def upper_keep_sharp_s(c) -> Column:
+    """``toupper`` as R does it: ß has no one-letter capital and stays ß
+    (Java would turn it into "SS")."""
+    guarded = F.regexp_replace(col_(c), "ß", "\uE000")
+    return F.regexp_replace(F.upper(guarded), "\uE000", "ß")
+
+
 def clean_text(c) -> Column:
     """Q1 cleaning of one string column: upper, trim, ASCII."""
-    return ascii_fold(trim_ws(upper(c)))
+    return ascii_fold(trim_ws(upper_keep_sharp_s(c)))

@@ -104,10 +104,18 @@ def sample_n(df: DataFrame, n: int, seed, key: list[str]) -> DataFrame:
 
 def row_ids(df: DataFrame, order: list[str], name: str = "id", partitions: int | None = None) -> DataFrame:
     """P11 ``rowid_to_column``: consecutive 1-based ids in ``order`` (must be
-    a total order).  No single-partition window over the data."""
+    a total order).  No single-partition window over the data: rows are
+    range-partitioned by ``order``, sorted inside each partition, checkpointed,
+    and numbered as partition offset + position in the partition."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Sizes and ids below read the data twice; a reliable checkpoint (shared
+    # checkpoint dir) pins partition contents and order so both reads agree,
+    # also when the input is not deterministic or an executor is lost.
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    ordered = ordered.checkpoint(eager=True)
     tagged = ordered.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
     # one row per partition: a bounded table
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -33,6 +33,9 @@ _MODULES = [
     "outagelens.plans.q_joins",
     "outagelens.plans.q_aggregates",
     "outagelens.plans.etl",
+    "outagelens.plans.etl_sites",
+    "outagelens.plans.etl_items",
+    "outagelens.plans.etl_outages",
     "outagelens.plans.q_stats",
     "outagelens.plans.q_metrics",
     "outagelens.plans.q_learning",

@@ -20,8 +20,12 @@ def ascii_fold(x: str) -> str:
     return f"translate({inner}, '{ACCENTED}', '{UNACCENTED}')"
 
 
+def upper_keep_sharp_s(x: str) -> str:
+    return f"replace(upper(replace({x}, 'ß', chr(57344))), chr(57344), 'ß')"
+
+
 def clean_text(x: str) -> str:
-    return ascii_fold(trim_ws(f"upper({x})"))
+    return ascii_fold(trim_ws(upper_keep_sharp_s(x)))
 
 
 def rnd(expr: str, digits: int = 6) -> str:

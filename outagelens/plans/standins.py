@@ -97,3 +97,24 @@ FROM events WHERE event_type = 'purchase'"""
 def cte(**parts: str) -> str:
     """WITH clause from named SQL snippets."""
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in parts.items()) + "\n"
+
+
+# ----------------------------------------------------- site codes (Q2-Q5) --
+# Sites of the ticket ETL are customers, coded "<first 3 letters of segment>-<key>"
+# so a 3-character prefix lookup (J12) has something to find.
+
+
+def site_code(segment, key):
+    return F.concat(F.substring(segment, 1, 3), F.lit("-"), key.cast("string"))
+
+
+def site_code_sql(segment: str, key: str) -> str:
+    return f"(substr({segment}, 1, 3) || '-' || CAST({key} AS VARCHAR))"
+
+
+def coord_sql(key: str, base: float, mul: int, mod: int) -> str:
+    return f"CAST({base} + (({key} * {mul}) % {mod}) / 1000.0 AS DOUBLE)"
+
+
+def coord(key: str, base: float, mul: int, mod: int):
+    return _coord(key, base, mul, mod)
