@@ -137,3 +137,32 @@ def bind_rows(*dfs: DataFrame) -> DataFrame:
 def bind_rows_id(frames: dict[str, DataFrame], id_col: str) -> DataFrame:
     """U2 ``map_dfr(.id=)``: union of named results with the name as a column."""
     return bind_rows(*[df.select(F.lit(k).alias(id_col), *df.columns) for k, df in frames.items()])
+
+
+def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], group: list[str] | None = None,
+                   partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``sums`` in ``order`` within ``group``.
+
+    Two-pass prefix sum: range-partition by (group, order), checkpoint,
+    running sums inside each partition, then add the totals of earlier
+    partitions of the same group (a table of at most partitions x groups
+    rows).  No window ever holds a whole group."""
+    group = list(group or [])
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = group + order
+    base = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    ordered = base.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    tagged = ordered.withColumn("_pid", F.spark_partition_id())
+    w_local = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w_local) for k in sums})
+    totals = tagged.groupBy("_pid", *group).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    w_prev = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group \
+        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{k}").over(w_prev), F.lit(0)).alias(f"_o_{k}")
+                                              for k in sums])
+    out = local.join(offsets, ["_pid", *group])
+    out = out.withColumns({k: F.col(f"_c_{k}") + F.col(f"_o_{k}") for k in sums})
+    return out.drop("_pid", *[f"_{p}_{k}" for k in sums for p in ("v", "c", "o")])
