@@ -166,3 +166,11 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], gro
     out = local.join(offsets, ["_pid", *group])
     out = out.withColumns({k: F.col(f"_c_{k}") + F.col(f"_o_{k}") for k in sums})
     return out.drop("_pid", *[f"_{p}_{k}" for k in sums for p in ("v", "c", "o")])
+
+
+def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi join on ``keys`` where NULL matches NULL (R joins NA to NA; a
+    NULL group key must find its own statistics).  Keeps ``a``'s key columns."""
+    b2 = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(b2[f"_r_{k}"]) for k in keys])
+    return a.join(b2, cond, how).drop(*[f"_r_{k}" for k in keys])
