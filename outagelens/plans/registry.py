@@ -39,6 +39,7 @@ _MODULES = [
     "outagelens.plans.q_stats",
     "outagelens.plans.q_metrics",
     "outagelens.plans.q_learning",
+    "outagelens.plans.q_tuning",
 ]
 
 
