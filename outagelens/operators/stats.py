@@ -80,8 +80,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30, log10: bool = True, by:
                     F.when(w > 0, F.col("n") / (F.col("_total") * w)).alias("density"))
 
 
-def pretty_breaks(lo: float, up: float, ndiv: int) -> list[float]:
-    """R's ``pretty()`` (default bias h = 1.5, u5 bias = 0.5 + 1.5 h)."""
+def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int | None = None) -> list[float]:
+    """R's ``pretty()`` (default bias h = 1.5, u5 bias = 0.5 + 1.5 h); ``hist``
+    calls it with min_n = 1."""
     h, h5 = 1.5, 0.5 + 1.5 * 1.5
     dx = up - lo
     if dx == 0 and up == 0:
@@ -94,13 +95,12 @@ def pretty_breaks(lo: float, up: float, ndiv: int) -> list[float]:
     if i_small:
         if cell > 10:
             cell = 9 + cell / 10
-        cell *= 1
-        min_n = 1
+        min_n = 1 if min_n is None else min_n
     else:
         cell = dx
         if ndiv > 1:
             cell /= ndiv
-        min_n = ndiv // 3
+        min_n = ndiv // 3 if min_n is None else min_n
     if cell < 20 * 2.2250738585072014e-308:
         cell = 20 * 2.2250738585072014e-308
     base = 10 ** math.floor(math.log10(cell))
@@ -135,7 +135,7 @@ def sturges_histogram(df: DataFrame, value: str) -> DataFrame:
     right-closed interval (first interval closed on the left too)."""
     st = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
     k = math.ceil(math.log2(st["n"])) + 1 if st["n"] else 1
-    br = pretty_breaks(float(st["lo"]), float(st["hi"]), k)
+    br = pretty_breaks(float(st["lo"]), float(st["hi"]), k, min_n=1)
     start, step = br[0], br[1] - br[0]
     x = F.col(value).cast("double")
     idx = F.greatest(F.ceil((x - F.lit(start)) / F.lit(step)) - 1, F.lit(0)).cast("long")

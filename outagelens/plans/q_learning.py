@@ -196,5 +196,5 @@ _MTTO_LEVELS = [str(i) for i in range(1, 13)]
                           for v in sorted(_MTTO_LEVELS)[1:]) + " FROM sp")
 def r08(t: Tables) -> DataFrame:
     sp = split_frame(t)
-    rec = rc.Recipe([rc.Dummy(["mtto"])]).fit(sp.filter(F.col("split") == "training"))
+    rec = rc.Recipe([rc.Dummy(["mtto"], levels={"mtto": _MTTO_LEVELS})]).fit(sp.filter(F.col("split") == "training"))
     return rec.transform(sp).select(KEY, "split", *[f"mtto_{v}" for v in sorted(_MTTO_LEVELS)[1:]])
