@@ -40,6 +40,7 @@ _MODULES = [
     "outagelens.plans.q_metrics",
     "outagelens.plans.q_learning",
     "outagelens.plans.q_tuning",
+    "outagelens.plans.q_neighbors",
 ]
 
 
