@@ -222,3 +222,22 @@ def j14(t: Tables) -> DataFrame:
     return j.select("grupo", mx.rnd("train").alias("train"), mx.rnd("test").alias("test"),
                     mx.rnd(F.col("test") - F.col("train")).alias("delta"),
                     mx.rnd(100 * (F.col("test") - F.col("train")) / F.col("train"), 4).alias("delta_pct"))
+
+
+# ------------------------------------------------ S5: cached intermediate --
+
+
+@register("s05_cached_interval_result", ids=("S5", "S6", "S9", "J9"), sql=_J9_SQL.format(lo="", hi=""))
+def s05(t: Tables) -> DataFrame:
+    """The expensive fuel-at-outage join written once to shared storage
+    (the session's checkpoint folder) and read back, as the reference caches
+    it in a file instead of recomputing it."""
+    import os
+    from ..session import checkpoint_dir
+    from ..sources import files, sinks
+    res = jn.interval_max(si.outages(t), si.sensor(t), ["outage_id", "siteid", "inicio", "fin"], "siteid",
+                          "inicio", "fin", "fecha_hora", "valor", "galonaje")
+    tag = os.path.basename(t.root.rstrip("/")) or "data"
+    path = os.path.join(checkpoint_dir(t.spark), "cache", f"galonaje_{tag}")
+    sinks.write_table(res, path)
+    return files.read_cached(t.spark, path)
