@@ -15,6 +15,11 @@ LIGATURES = {"Æ": "AE", "æ": "ae", "ß": "ss", "Œ": "OE", "œ": "oe"}
 # Whitespace as R's str_trim sees it (ASCII controls plus Unicode separators);
 # written so Java regex and RE2 (the DuckDB oracle) read it the same way.
 WS = r"[\t\n\x{0B}\f\r\p{Z}]"
+# The same set as code points (tab, LF, VT, FF, CR, then the
+# Unicode space/line/paragraph separators), for character-set trimming.
+WS_CODEPOINTS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004,
+                 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WS_CHARS = "".join(chr(c) for c in WS_CODEPOINTS)
 
 
 def col_(c) -> Column:
@@ -25,19 +30,24 @@ def upper(c) -> Column:  # C1
     return F.upper(col_(c))
 
 
-def trim_ws(c) -> Column:  # C2: both sides, all Unicode whitespace
-    return F.regexp_replace(col_(c), f"^{WS}+|{WS}+$", "")
+def trim_ws(c) -> Column:  # C2: both sides, all Unicode whitespace (character-set trim, no regex)
+    c = col_(c)
+    ws = [F.lit(ch) for ch in WS_CHARS]
+    edge = F.substring(c, 1, 1).isin(*ws) | F.substring(c, -1, 1).isin(*ws)  # cheap test first
+    return F.when(edge, F.btrim(c, F.lit(WS_CHARS))).otherwise(c)
 
 
 def squish(c) -> Column:  # C3: trim, then inner runs of whitespace -> one blank
     return F.regexp_replace(trim_ws(c), f"{WS}+", " ")
 
 
-def ascii_fold(c) -> Column:  # C4
-    out = col_(c)
+def ascii_fold(c) -> Column:  # C4: literal replacements + one character map
+    c = col_(c)
+    out = c
     for src, dst in LIGATURES.items():
-        out = F.regexp_replace(out, src, dst)
-    return F.translate(out, ACCENTED, UNACCENTED)
+        out = F.replace(out, F.lit(src), F.lit(dst))
+    # pure-ASCII strings (characters == bytes) need no work
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(out, ACCENTED, UNACCENTED))
 
 
 def strip_prefix(c, pattern: str) -> Column:  # C5: e.g. "^HFC@"
@@ -75,8 +85,8 @@ def percent(c, digits: int = 2) -> Column:  # C13: 0.1234 -> "12.34%"
 def upper_keep_sharp_s(c) -> Column:
     """``toupper`` as R does it: ß has no one-letter capital and stays ß
     (Java would turn it into "SS")."""
-    guarded = F.regexp_replace(col_(c), "ß", "\uE000")
-    return F.regexp_replace(F.upper(guarded), "\uE000", "ß")
+    guarded = F.replace(col_(c), F.lit("ß"), F.lit("\uE000"))
+    return F.replace(F.upper(guarded), F.lit("\uE000"), F.lit("ß"))
 
 
 def clean_text(c) -> Column:

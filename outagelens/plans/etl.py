@@ -133,22 +133,40 @@ FRONT_COLUMNS = ["ticketid", "fecha", "siteid_origen", "sitename_origen", "isori
                  "revenue_hora_sitio_afectado"]
 
 
+def tickets_with_origin(t: Tables) -> DataFrame:
+    """One pass over orders: the ticket columns (w_ttks_all) and its origin
+    site (tickets_2019) - both are keyed by the ticket."""
+    o, c, n = t.orders, t.customer, t.nation
+    c_known = c.filter(F.col("c_custkey") % 5 != 0)
+    retina = n.filter(F.col("n_regionkey").isin(0, 1)).select(
+        F.col("n_nationkey").alias("c_nationkey"), F.lit("RETINA").alias("isorigin_retina"))
+    return (o.join(c_known, o.o_custkey == c_known.c_custkey, "left")
+            .join(retina, "c_nationkey", "left")
+            .select(F.col("o_orderkey").alias("ticketid"), F.col("o_orderdate").alias("fecha"),
+                    (F.col("o_totalprice") / 1000).alias("ttr"), F.col("o_orderstatus").alias("estado"),
+                    F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("categoria"),
+                    F.col("o_custkey").alias("siteid_origen"), F.col("c_name").alias("sitename_origen"),
+                    F.col("isorigin_retina"), F.col("c_mktsegment").alias("categoria_sitio_origen"),
+                    (F.col("c_acctbal") / 720).alias("revenue_hora_sitio_origen")))
+
+
 def affected_fact(t: Tables) -> DataFrame:
-    """Q8 w_afectacion: inner join tickets, four left joins, revenue fallback,
-    retina flags with defaults, column order, category filter, text folding."""
+    """Q8 w_afectacion: inner join tickets, left joins to site attributes,
+    node revenue (fallback), origin site and retina flags with defaults,
+    column order, category filter, text folding.  The category filter is
+    applied to the tickets before the join (same rows: inner join)."""
+    tickets = tickets_with_origin(t).filter(F.col("categoria").isNotNull())
     fact = (affected_lines(t)
-            .join(corrective_tickets(t), "ticketid", "inner")
+            .join(tickets, "ticketid", "inner")
             .join(site_list(t).withColumnRenamed("siteid", "sitio_afectado"), "sitio_afectado", "left")
             .join(node_revenue(t).withColumnRenamed("nodo", "sitio_afectado"), "sitio_afectado", "left")
             .withColumn("revenue_hora", F.when(F.col("revenue_hora").isNull() & F.col("revenuets_hra").isNotNull(),
                                                F.col("revenuets_hra")).otherwise(F.col("revenue_hora")))
-            .join(ticket_origin(t), "ticketid", "left")
             .join(retina_sites(t).withColumnRenamed("siteid", "sitio_afectado"), "sitio_afectado", "left")
             .withColumnsRenamed({"sitio_afectado": "siteid_sitio_afectado",
                                  "revenue_hora": "revenue_hora_sitio_afectado"})
             .drop("revenuets_hra")
-            .fillna({"isorigin_retina": "SIN_RETINA", "isafectado_retina": "SIN_RETINA"})
-            .filter(F.col("categoria").isNotNull()))
+            .fillna({"isorigin_retina": "SIN_RETINA", "isafectado_retina": "SIN_RETINA"}))
     fact = everything_after(fact, FRONT_COLUMNS)
     return map_strings(fact, lambda c: tx.trim_ws(tx.ascii_fold(c)))
 

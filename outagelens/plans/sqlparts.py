@@ -1,12 +1,15 @@
 """SQL text fragments shared by the DuckDB oracles (mirror the column functions)."""
 
-from ..functions.text import ACCENTED, UNACCENTED
+from ..functions.text import ACCENTED, UNACCENTED, WS_CODEPOINTS
 
 WS = r"[\t\n\x{0B}\f\r\p{Z}]"
 
 
+WS_CHARS_SQL = " || ".join(f"chr({c})" for c in WS_CODEPOINTS)
+
+
 def trim_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({x}, {WS_CHARS_SQL})"
 
 
 def squish(x: str) -> str:
