@@ -89,8 +89,29 @@ def profile(df: DataFrame) -> DataFrame:
         F.sum(F.when(missing == 0, 1).otherwise(0)).cast("long").alias("complete_rows"))
 
 
-def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str) -> DataFrame:
-    """Previous row's ``col`` when it belongs to the same key, else the row's own value."""
-    w = Window.partitionBy(key).orderBy(*order)
-    prev = F.lag(col).over(w)
-    return df.withColumn(out, F.when(F.row_number().over(w) > 1, prev).otherwise(F.col(col)))
+def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str,
+                 partitions: int | None = None) -> DataFrame:
+    """Previous row's ``col`` when it belongs to the same key (in
+    ``order``, a total order), else the row's own value.
+
+    Distributed lag: rows are range-partitioned by (key, order) and
+    checkpointed; the lag is taken inside each partition's slice of a key,
+    and the first row of a slice takes the last value of the key's previous
+    slice (a table of at most partitions x keys rows).  A key holding a third
+    of all rows is spread over many partitions."""
+    from ..session import checkpoint_dir
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [key] + list(order)
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    tagged = ordered.withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", key).orderBy(*order)
+    local = tagged.withColumns({"_prev": F.lag(col).over(w), "_pos": F.row_number().over(w)})
+    last = tagged.groupBy("_pid", key).agg(F.max_by(col, F.struct(*order)).alias("_last"))
+    ws = Window.partitionBy(key).orderBy("_pid")
+    carry = last.select("_pid", key, F.lag("_last").over(ws).alias("_carry"),
+                        (F.row_number().over(ws) > 1).alias("_has_prev"))
+    j = local.join(carry, ["_pid", key])
+    value = F.when(F.col("_pos") > 1, F.col("_prev")).when(F.col("_has_prev"), F.col("_carry")).otherwise(F.col(col))
+    return j.withColumn(out, value).drop("_pid", "_prev", "_pos", "_carry", "_has_prev")

@@ -74,10 +74,21 @@ def dupes(df: DataFrame, keys: list[str]) -> DataFrame:
 # ------------------------------------------------------------------ T ----
 
 
-def top_n_with_ties(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
-    """T2 ``slice_max(order, n, with_ties=TRUE)``: rank() <= n per group."""
-    w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-    return df.withColumn("_rk", F.rank().over(w)).filter(F.col("_rk") <= n).drop("_rk")
+def top_n_with_ties(df: DataFrame, group: list[str], value: str, n: int, desc: bool = True) -> DataFrame:
+    """T2 ``slice_max(value, n, with_ties=TRUE)`` (``desc=False``: slice_min):
+    rows with rank() <= n per group.
+
+    rank = 1 + rows strictly before the value: distinct values per group are
+    counted (partial aggregation), numbered with the distributed running
+    totals, and joined back - no window holds a whole group.  NULL values
+    rank last, as in R."""
+    g = list(group or [])
+    vals = df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).alias("_v")) \
+        .agg(F.count(F.lit(1)).alias("_cnt"))
+    vals = vals.withColumn("_ov", -F.col("_v") if desc else F.col("_v"))
+    rt = running_totals(vals, ["_ov"], {"_cum": F.col("_cnt")}, group=g)
+    keep = rt.filter(F.col("_cum") - F.col("_cnt") + 1 <= n).select(*g, "_v")
+    return join_null_safe(df.withColumn("_v", F.col(value)), keep, [*g, "_v"]).drop("_v")
 
 
 def top_one(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -86,10 +97,11 @@ def top_one(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def slice_rows(df: DataFrame, group: list[str], order: list[Column], lo: int, hi: int) -> DataFrame:
-    """F10 ``slice(lo:hi)`` inside each group by an explicit order."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn").between(lo, hi)).drop("_rn")
+def slice_rows(df: DataFrame, group: list[str], order: list[str], lo: int, hi: int) -> DataFrame:
+    """F10 ``slice(lo:hi)`` inside each group by an explicit total order
+    (position from the distributed running count)."""
+    r = running_totals(df, order, {"_rn": F.lit(1).cast("long")}, group=group)
+    return r.filter(F.col("_rn").between(lo, hi)).drop("_rn")
 
 
 def sample_n(df: DataFrame, n: int, seed, key: list[str]) -> DataFrame:

@@ -104,7 +104,7 @@ def f09(t: Tables) -> DataFrame:
           sql="SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER "
               "(PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn BETWEEN 2 AND 9")
 def f10(t: Tables) -> DataFrame:
-    return fr.slice_rows(t.events, ["user_id"], [F.col("ts"), F.col("event_id")], 2, 9) \
+    return fr.slice_rows(t.events, ["user_id"], ["ts", "event_id"], 2, 9) \
         .select("user_id", "event_id")
 
 
@@ -126,7 +126,7 @@ def t01(t: Tables) -> DataFrame:
           sql="SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, rank() OVER "
               "(PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS rk FROM lineitem) WHERE rk <= 3")
 def t02(t: Tables) -> DataFrame:
-    return fr.top_n_with_ties(t.lineitem, ["l_suppkey"], [F.col("l_quantity").desc()], 3) \
+    return fr.top_n_with_ties(t.lineitem, ["l_suppkey"], "l_quantity", 3, desc=True) \
         .select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
 
 

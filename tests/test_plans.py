@@ -28,3 +28,12 @@ def test_pushdown_and_pruning(spark):
     plan = _plan(df)
     assert "EqualTo(event_type,error)" in plan and "EqualTo(event_type,view)" in plan
     assert "props" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_first_per_key_is_an_aggregate(spark):
+    """A8 picks the first row per key by a grouped min(struct) with map-side
+    partial aggregation - no window over whole groups."""
+    from conftest import SF_SMALL
+    plan = _plan(E.queries()["a08_first_per_key"](spark, SF_SMALL))
+    assert "Window" not in plan
+    assert "partial_min" in plan or "HashAggregate" in plan or "ObjectHashAggregate" in plan
