@@ -91,10 +91,16 @@ def top_n_with_ties(df: DataFrame, group: list[str], value: str, n: int, desc: b
     return join_null_safe(df.withColumn("_v", F.col(value)), keep, [*g, "_v"]).drop("_v")
 
 
-def top_one(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """One winner per group; ``order`` must end with a unique tie-break."""
-    w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+def top_one(df: DataFrame, group: list[str], value: str, desc: bool = True, tiebreak: list[str] | None = None
+            ) -> DataFrame:
+    """T3 ``slice_max(value, n = 1)`` with a unique tie-break: one row per
+    group, chosen by a grouped ``min(struct(...))`` (map-side partial
+    aggregation; a group with a third of all rows is reduced before the
+    shuffle).  ``desc`` needs a numeric ``value``."""
+    key = (-F.col(value)) if desc else F.col(value)
+    d = df.withColumn("_sk", F.when(F.col(value).isNull(), F.lit(None)).otherwise(key))
+    d = d.withColumn("_nl", F.col(value).isNull())  # NULL values last
+    return first_per_key(d, list(group), ["_nl", "_sk", *(tiebreak or [])]).drop("_nl", "_sk")
 
 
 def slice_rows(df: DataFrame, group: list[str], order: list[str], lo: int, hi: int) -> DataFrame:

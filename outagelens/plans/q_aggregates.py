@@ -169,7 +169,7 @@ def w01(t: Tables) -> DataFrame:
 def w05(t: Tables) -> DataFrame:
     m = (t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
          .groupBy("s_nationkey", "s_suppkey").agg(F.avg("l_quantity").alias("metric")))
-    best = fr.top_one(m, ["s_nationkey"], [F.col("metric").desc(), F.col("s_suppkey")])
+    best = fr.top_one(m, ["s_nationkey"], "metric", desc=True, tiebreak=["s_suppkey"])
     # global rank over the per-group winners (one row per group: small)
     return best.select("s_nationkey", "s_suppkey", rnd("metric").alias("metric"),
                        F.row_number().over(Window.orderBy(F.col("metric").desc(), "s_nationkey")).cast("long")

@@ -134,7 +134,7 @@ def t02(t: Tables) -> DataFrame:
           sql="SELECT c_nationkey, c_custkey, c_acctbal FROM (SELECT *, row_number() OVER "
               "(PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn = 1")
 def t03(t: Tables) -> DataFrame:
-    return fr.top_one(t.customer, ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")]) \
+    return fr.top_one(t.customer, ["c_nationkey"], "c_acctbal", desc=True, tiebreak=["c_custkey"]) \
         .select("c_nationkey", "c_custkey", "c_acctbal")
 
 
