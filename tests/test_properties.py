@@ -155,3 +155,27 @@ def test_predictions_are_probabilities(spark):
     p = E.queries()["l01_logistic_regression"](spark, SF_MID)
     r = p.agg(F.min("prob").alias("lo"), F.max("prob").alias("hi"), F.count("*").alias("n")).first()
     assert 0.0 <= r.lo <= r.hi <= 1.0 and r.n > 0
+
+
+def test_named_recipes_fit_and_apply(frame):
+    """Every named recipe fits on training rows only and applies to test
+    rows; balancing steps change the training rows only (R9)."""
+    from outagelens.operators.recipes import named_recipes
+    sp = rsm.initial_split(frame.drop("siteid", "tanque"), "status", "outage_id", 0.8, 5)
+    train, test = sp.filter("split = 'training'"), sp.filter("split = 'testing'")
+    recs = named_recipes("status", "outage_id", ["mtto", "tipo_bateria"], ["sin_energia", "mg_trabajando"],
+                         ["down", "up"])
+    n_test = test.count()
+    for name, make in recs.items():
+        rec = make().fit(train)
+        assert rec.transform(test).count() == n_test, name
+        counts = [r.n for r in rec.juice().groupBy("status").agg(F.count("*").alias("n")).collect()]
+        if name in ("downsample", "upsample", "rose_all"):
+            assert len(set(counts)) == 1, (name, counts)
+
+
+def test_rename_names(spark):
+    """``str_replace_all("numeric\\\\.", "")`` on column names."""
+    from outagelens.operators.columns import rename_with
+    df = spark.createDataFrame([(1.0, 2.0)], "`numeric.mean` double, `numeric.p50` double")
+    assert rename_with(df, lambda c: c.replace("numeric.", "")).columns == ["mean", "p50"]
