@@ -23,7 +23,7 @@ from .registry import register
 
 def affected_fact_corrective(t: Tables) -> DataFrame:
     """w_afectacion_correctivo: Q8's joins restricted to corrective tickets, narrower projection."""
-    tk = tickets_corrective(t).select("ticketid", "fecha", "ttr", "categoria", "segmento")
+    tk = tickets_corrective(t, with_id=False).select("ticketid", "fecha", "ttr", "categoria", "segmento")
     fact = (affected_lines(t).join(tk, "ticketid", "inner")
             .join(site_list(t).withColumnRenamed("siteid", "sitio_afectado"), "sitio_afectado", "left")
             .join(node_revenue(t).withColumnRenamed("nodo", "sitio_afectado"), "sitio_afectado", "left")
