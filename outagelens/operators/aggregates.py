@@ -89,16 +89,29 @@ def profile(df: DataFrame) -> DataFrame:
         F.sum(F.when(missing == 0, 1).otherwise(0)).cast("long").alias("complete_rows"))
 
 
+# Largest group that one window task may sort; above it the distributed plan runs.
+MAX_WINDOW_GROUP_ROWS = 5_000_000
+
+
 def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """Previous row's ``col`` when it belongs to the same key (in
     ``order``, a total order), else the row's own value.
 
-    Distributed lag: rows are range-partitioned by (key, order) and
+    The size of the largest key is measured first (one aggregate); when it
+    fits one task the plain window runs.  Otherwise the distributed lag:
+    rows are range-partitioned by (key, order) and
     checkpointed; the lag is taken inside each partition's slice of a key,
     and the first row of a slice takes the last value of the key's previous
     slice (a table of at most partitions x keys rows).  A key holding a third
     of all rows is spread over many partitions."""
+    limit = MAX_WINDOW_GROUP_ROWS if max_group_rows is None else max_group_rows
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0  # one number
+    if largest <= limit:
+        # every key fits one task: the plain window plan is cheaper
+        w = Window.partitionBy(key).orderBy(*order)
+        prev = F.lag(col).over(w)
+        return df.withColumn(out, F.when(F.row_number().over(w) > 1, prev).otherwise(F.col(col)))
     from ..session import checkpoint_dir
     spark = df.sparkSession
     checkpoint_dir(spark)

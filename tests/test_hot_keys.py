@@ -28,16 +28,18 @@ def test_lag_same_key_hot(spark, hot):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "17")
     try:
-        got = ag.lag_same_key(df, "k", ["t"], "v", "nv").select("k", "t", "nv").toPandas()
+        got = ag.lag_same_key(df, "k", ["t"], "v", "nv", max_group_rows=100).select("k", "t", "nv").toPandas()
+        small = ag.lag_same_key(df, "k", ["t"], "v", "nv").select("k", "t", "nv").toPandas()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     exp = pdf.sort_values(["k", "t"]).copy()
     prev = exp.groupby("k")["v"].shift(1)
     first = exp.groupby("k").cumcount() == 0
     exp["nv"] = np.where(first, exp["v"], prev)
-    m = exp.merge(got, on=["k", "t"], suffixes=("_e", "_g"))
-    assert len(m) == len(pdf)
-    assert ((m.nv_e.isna() & m.nv_g.isna()) | (m.nv_e == m.nv_g)).all()
+    for res in (got, small):  # distributed plan (forced) and window plan
+        m = exp.merge(res, on=["k", "t"], suffixes=("_e", "_g"))
+        assert len(m) == len(pdf)
+        assert ((m.nv_e.isna() & m.nv_g.isna()) | (m.nv_e == m.nv_g)).all()
 
 
 def test_slice_and_running_count_hot(hot):
