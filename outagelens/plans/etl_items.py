@@ -15,7 +15,7 @@ from ..operators import joins as jn
 from ..sources.tables import Tables
 from . import sqlparts as sq
 from .etl import AFFECTED_LINES_SQL, NODE_REVENUE_SQL, affected_lines, node_revenue, site_list
-from .etl_sites import TICKETS_CORRECTIVE_SQL, TICKETS_SQL, tickets, tickets_corrective
+from .etl_sites import TICKETS_CORRECTIVE_SQL, tickets, tickets_corrective
 from .registry import register
 
 # ----------------------------------------------------------------- Q9 ----

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.mathx import rnd
 from ..operators import aggregates as ag
 from ..operators import frames as fr
-from ..operators.quantiles import quantile_columns
 from ..sources.tables import Tables
 from . import sqlparts as sq
 from .registry import register

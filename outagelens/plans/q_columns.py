@@ -9,7 +9,6 @@ from ..functions import dates as dx
 from ..functions import mathx as mx
 from ..functions import nulls as nx
 from ..functions import text as tx
-from ..functions.hashing import uniform, uniform_sql
 from ..operators import columns as pc
 from ..operators.frames import row_ids
 from ..sources.tables import Tables
