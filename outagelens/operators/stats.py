@@ -384,3 +384,19 @@ def goodness_of_fit(df: DataFrame, value: str) -> DataFrame:
     long = one.unpivot([], list(cdfs), "distribution", "ks_distance")
     valid = F.when(F.col("distribution") == "lnorm", mn > 0).otherwise(F.lit(True))
     return long.filter(valid)
+
+
+def fixed_breaks_histogram(df: DataFrame, value: str, breaks: list[float]) -> DataFrame:
+    """E3 with fixed breaks: counts per right-closed interval (first one
+    closed on both sides, as ``hist``); values outside the breaks are left out."""
+    x = F.col(value).cast("double")
+    idx = None
+    for i in range(len(breaks) - 1):
+        lo, hi = breaks[i], breaks[i + 1]
+        cond = (x >= lo) & (x <= hi) if i == 0 else (x > lo) & (x <= hi)
+        idx = F.when(cond, F.lit(i)) if idx is None else idx.when(cond, F.lit(i))
+    b = df.select(idx.alias("bin")).filter(F.col("bin").isNotNull())
+    counts = b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    edges = F.array(*[F.lit(float(v)) for v in breaks])
+    return counts.select(F.col("bin").cast("long").alias("bin"), F.element_at(edges, F.col("bin") + 1).alias("lower"),
+                         F.element_at(edges, F.col("bin") + 2).alias("upper"), "n")

@@ -192,3 +192,23 @@ def v15(t: Tables) -> DataFrame:
     kind = extract_first("model", "glm|svm|knn")
     return a.select("model", F.concat_ws(": ", kind, F.concat(F.format_string("%.2f", rnd(F.col("roc_auc") * 100, 2)),
                                                                 F.lit("%"))).alias("etiqueta"))
+
+
+@register("v11b_metric_set_wide", ids=("V11", "U4"),
+          sql=_CC_SQL + _SCORES_SQL
+              + ", auc AS (SELECT model, sum(neg * ((cum_pos - pos) + pos / 2.0)) / (sum(pos) * sum(neg)) AS roc_auc "
+              "FROM c GROUP BY model), ll AS (SELECT model, avg(-ln(CASE WHEN truth = 'down' THEN "
+              "least(greatest(prob, 1e-15), 1 - 1e-15) ELSE 1 - least(greatest(prob, 1e-15), 1 - 1e-15) END)) "
+              "AS mn_log_loss FROM preds GROUP BY model) SELECT cc.model, " + sq.rnd("(tp + tn) / n", 9)
+              + " AS accuracy, " + sq.rnd(_KAPPA, 9) + " AS kap, "
+              + sq.rnd("CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END", 9) + " AS sensitivity, "
+              + sq.rnd("CASE WHEN tn + fp > 0 THEN tn / (tn + fp) END", 9) + " AS specificity, "
+              + sq.rnd("CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END", 9) + " AS precision, "
+              + sq.rnd("roc_auc", 9) + " AS roc_auc, " + sq.rnd("mn_log_loss", 9) + " AS mn_log_loss "
+              "FROM cc JOIN auc ON cc.model = auc.model JOIN ll ON cc.model = ll.model")
+def v11b(t: Tables) -> DataFrame:
+    """The metric set wide: one row per model, one column per metric (pivot
+    with the explicit metric list)."""
+    long = mt.metric_set(predictions(t), ["model"], EVENT)
+    wide = long.groupBy("model").pivot("metric", _SET_NAMES).agg(F.first("estimate"))
+    return wide.select("model", *[rnd(m, 9).alias(m) for m in _SET_NAMES])

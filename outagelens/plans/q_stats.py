@@ -217,3 +217,16 @@ def e13(t: Tables) -> DataFrame:
 @register("e14_goodness_of_fit", ids=("E14",))
 def e14(t: Tables) -> DataFrame:
     return stx.goodness_of_fit(outage_features(t), "sin_energia")
+
+
+BREAKS = [0.0, 1000.0, 5000.0, 20000.0, 50000.0, 100000.0]
+
+
+@register("e03b_histogram_fixed_breaks", ids=("E3",),
+          sql="WITH b AS (SELECT CASE " + " ".join(
+              f"WHEN l_extendedprice {'>=' if i == 0 else '>'} {BREAKS[i]} AND l_extendedprice <= {BREAKS[i + 1]} "
+              f"THEN {i}" for i in range(len(BREAKS) - 1)) + " END AS bin FROM lineitem) "
+              "SELECT CAST(bin AS BIGINT) AS bin, (" + str(BREAKS) + ")[bin + 1] AS lower, (" + str(BREAKS)
+              + ")[bin + 2] AS upper, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY bin")
+def e03b(t: Tables) -> DataFrame:
+    return stx.fixed_breaks_histogram(t.lineitem, "l_extendedprice", BREAKS)
