@@ -51,6 +51,11 @@ def ascii_fold(c) -> Column:  # C4: literal replacements + one character map
 
 
 def strip_prefix(c, pattern: str) -> Column:  # C5: e.g. "^HFC@"
+    lit = pattern[1:] if pattern.startswith("^") else None
+    if lit and not any(ch in lit for ch in ".^$*+?()[]{}|\\"):
+        # anchored literal prefix: no regex needed
+        c = col_(c)
+        return F.when(c.startswith(lit), F.substring(c, len(lit) + 1, 2 ** 31 - 1)).otherwise(c)
     return F.regexp_replace(col_(c), pattern, "")
 
 
