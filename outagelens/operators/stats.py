@@ -80,9 +80,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30, log10: bool = True, by:
                     F.when(w > 0, F.col("n") / (F.col("_total") * w)).alias("density"))
 
 
-def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int | None = None) -> list[float]:
-    """R's ``pretty()`` (default bias h = 1.5, u5 bias = 0.5 + 1.5 h); ``hist``
-    calls it with min_n = 1."""
+def pretty_params(lo: float, up: float, ndiv: int, min_n: int | None = None) -> tuple[int, int, float]:
+    """R's ``pretty()`` (bias h = 1.5, u5 bias = 0.5 + 1.5 h) as (ns, nu, unit):
+    the breaks are ns*unit, (ns+1)*unit, ..., nu*unit."""
     h, h5 = 1.5, 0.5 + 1.5 * 1.5
     dx = up - lo
     if dx == 0 and up == 0:
@@ -103,7 +103,7 @@ def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int | None = None) ->
         min_n = ndiv // 3 if min_n is None else min_n
     if cell < 20 * 2.2250738585072014e-308:
         cell = 20 * 2.2250738585072014e-308
-    base = 10 ** math.floor(math.log10(cell))
+    base = math.pow(10.0, math.floor(math.log10(cell)))
     unit = base
     if 2 * base - cell < h * (cell - unit):
         unit = 2 * base
@@ -126,7 +126,13 @@ def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int | None = None) ->
         else:
             ns -= k // 2
             nu += k // 2 + k % 2
-    return [round(i * unit, 12) for i in range(int(ns), int(nu) + 1)]
+    return int(ns), int(nu), unit
+
+
+def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int | None = None) -> list[float]:
+    """R's ``pretty()`` break values; ``hist`` calls it with min_n = 1."""
+    ns, nu, unit = pretty_params(lo, up, ndiv, min_n)
+    return [round(i * unit, 12) for i in range(ns, nu + 1)]
 
 
 def sturges_histogram(df: DataFrame, value: str) -> DataFrame:
@@ -135,13 +141,13 @@ def sturges_histogram(df: DataFrame, value: str) -> DataFrame:
     right-closed interval (first interval closed on the left too)."""
     st = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")).first()
     k = math.ceil(math.log2(st["n"])) + 1 if st["n"] else 1
-    br = pretty_breaks(float(st["lo"]), float(st["hi"]), k, min_n=1)
-    start, step = br[0], br[1] - br[0]
+    ns, nu, unit = pretty_params(float(st["lo"]), float(st["hi"]), k, min_n=1)
     x = F.col(value).cast("double")
-    idx = F.greatest(F.ceil((x - F.lit(start)) / F.lit(step)) - 1, F.lit(0)).cast("long")
+    last = nu - ns - 1
+    idx = F.least(F.greatest(F.ceil(x / F.lit(unit) - F.lit(float(ns))) - 1, F.lit(0)), F.lit(last)).cast("long")
     counts = df.filter(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bin", (F.lit(start) + F.col("bin") * step).alias("lower"),
-                         (F.lit(start) + (F.col("bin") + 1) * step).alias("upper"), "n")
+    return counts.select("bin", ((F.col("bin") + ns) * F.lit(unit)).alias("lower"),
+                         ((F.col("bin") + ns + 1) * F.lit(unit)).alias("upper"), "n")
 
 
 # ------------------------------------------------------------------ E5 ----
@@ -165,7 +171,7 @@ def kernel_density(df: DataFrame, value: str, n_grid: int = 512, cut: float = 3.
     lo, hi = mn - cut * bw, mx + cut * bw
     step = (hi - lo) / (n_grid - 1)
     # scalar subqueries stay in projections; grouping uses plain columns
-    cells = x.withColumn("i", F.round((F.col("x") - lo) / step).cast("long")).groupBy("i") \
+    cells = x.withColumn("i", F.floor((F.col("x") - lo) / step + 0.5).cast("long")).groupBy("i") \
         .agg(F.count(F.lit(1)).alias("c"))
     reach = F.ceil(4 * bw / step).cast("long")
     spread = cells.withColumn("j", F.explode(F.sequence(F.greatest(F.col("i") - reach, F.lit(0).cast("long")),

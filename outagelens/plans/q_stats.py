@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,45 @@ def e03(t: Tables) -> DataFrame:
                     rnd("density", 9).alias("density"))
 
 
-@register("e04_sturges_histogram", ids=("E4",))
+_PRETTY_SQL = (
+    "WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(l_extendedprice) AS n "
+    "FROM lineitem), c AS (SELECT lo, hi, (hi - lo) / (ceil(log2(n)) + 1) AS cell FROM s), "
+    "b AS (SELECT lo, hi, cell, power(10.0, floor(log10(cell))) AS base FROM c), "
+    "u AS (SELECT lo, hi, CASE WHEN 2 * base - cell < 1.5 * (cell - base) THEN "
+    "CASE WHEN 5 * base - cell < 2.75 * (cell - 2 * base) THEN "
+    "CASE WHEN 10 * base - cell < 1.5 * (cell - 5 * base) THEN 10 * base ELSE 5 * base END "
+    "ELSE 2 * base END ELSE base END AS unit FROM b), "
+    "e AS (SELECT lo, hi, unit, floor(lo / unit + 1e-7) AS ns0, ceil(hi / unit - 1e-7) AS nu0 FROM u), "
+    "p AS (SELECT unit, CASE WHEN ns0 * unit > lo + 1e-10 * unit THEN ns0 - 1 ELSE ns0 END AS ns, "
+    "CASE WHEN nu0 * unit < hi - 1e-10 * unit THEN nu0 + 1 ELSE nu0 END AS nu FROM e) ")
+
+
+@register("e04_sturges_histogram", ids=("E4",),
+          sql=_PRETTY_SQL + ", h AS (SELECT CAST(least(greatest(ceil(l_extendedprice / unit - ns) - 1, 0), "
+              "nu - ns - 1) AS BIGINT) AS bin, ns, unit FROM lineitem, p WHERE l_extendedprice IS NOT NULL) "
+              "SELECT bin, (bin + ns) * unit AS lower, (bin + ns + 1) * unit AS upper, count(*) AS n FROM h "
+              "GROUP BY bin, ns, unit")
 def e04(t: Tables) -> DataFrame:
     return stx.sturges_histogram(t.lineitem, "l_extendedprice")
 
 
-@register("e05_kernel_density", ids=("E5",))
+@register("e05_kernel_density", ids=("E5",),
+          sql=f"WITH f AS ({OUTAGE_FEATURES_SQL}), x AS (SELECT CAST(sin_energia AS DOUBLE) AS x FROM f "
+              "WHERE sin_energia IS NOT NULL), st AS (SELECT count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, "
+              "max(x) AS mx, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM x), "
+              "bw AS (SELECT *, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) "
+              "ELSE coalesce(CASE WHEN sd > 0 THEN sd END, 1.0) END * power(n, -0.2) AS bw FROM st), "
+              "g AS (SELECT *, mn - 3.0 * bw AS lo, (mx + 3.0 * bw - (mn - 3.0 * bw)) / 511 AS step FROM bw), "
+              "cells AS (SELECT CAST(floor((x - lo) / step + 0.5) AS BIGINT) AS i, count(*) AS c FROM x, g GROUP BY 1), "
+              "sp AS (SELECT i, c, unnest(range(greatest(i - CAST(ceil(4 * bw / step) AS BIGINT), 0), "
+              "least(i + CAST(ceil(4 * bw / step) AS BIGINT), 511) + 1)) AS j FROM cells, g) "
+              "SELECT j AS point, " + sq.rnd("min(lo) + j * min(step)", 9) + " AS x, "
+              + sq.rnd("sum(c * exp(-0.5 * ((j - i) * step / bw) * ((j - i) * step / bw)) / "
+                       f"({math.sqrt(2 * math.pi)!r} * bw * n))", 9) + " AS density FROM sp, g GROUP BY j")
 def e05(t: Tables) -> DataFrame:
-    return stx.kernel_density(outage_features(t), "sin_energia")
+    d = stx.kernel_density(outage_features(t), "sin_energia")
+    return d.select(F.col("point").cast("long").alias("point"), rnd("x", 9).alias("x"),
+                    rnd("density", 9).alias("density"))
 
 
 @register("e06_mean_median", ids=("E6", "M6"),
@@ -214,9 +247,24 @@ def e13(t: Tables) -> DataFrame:
                     rnd("fitted", 6).alias("fitted"))
 
 
-@register("e14_goodness_of_fit", ids=("E14",))
+@register("e14_goodness_of_fit", ids=("E14",),
+          sql=f"WITH f AS ({OUTAGE_FEATURES_SQL}), x AS (SELECT CAST(sin_energia AS DOUBLE) AS x FROM f "
+              "WHERE sin_energia IS NOT NULL), st AS (SELECT count(*) AS n, avg(x) AS m, stddev_samp(x) AS s, "
+              "min(x) AS lo, max(x) AS hi, avg(CASE WHEN x > 0 THEN ln(x) END) AS lm, "
+              "stddev_samp(CASE WHEN x > 0 THEN ln(x) END) AS ls FROM x), "
+              "r AS (SELECT row_number() OVER (ORDER BY x) AS i, x FROM x), "
+              "c AS (SELECT i, n, " + stx.pnorm_sql("((x - m) / s)") + " AS norm, CASE WHEN x > 0 THEN "
+              + stx.pnorm_sql("((ln(x) - lm) / ls)") + " ELSE 0.0 END AS lnorm, CASE WHEN hi > lo THEN "
+              "(x - lo) / (hi - lo) ELSE 1.0 END AS unif, lo FROM r, st), "
+              "d AS (SELECT max(greatest(i / n - norm, norm - (i - 1) / n)) AS norm, "
+              "max(greatest(i / n - lnorm, lnorm - (i - 1) / n)) AS lnorm, "
+              "max(greatest(i / n - unif, unif - (i - 1) / n)) AS unif, min(lo) AS lo FROM c) "
+              "SELECT distribution, " + sq.rnd("ks_distance", 9) + " AS ks_distance FROM (SELECT 'norm' AS "
+              "distribution, norm AS ks_distance, true AS ok FROM d UNION ALL SELECT 'lnorm', lnorm, lo > 0 FROM d "
+              "UNION ALL SELECT 'unif', unif, true FROM d) WHERE ok")
 def e14(t: Tables) -> DataFrame:
-    return stx.goodness_of_fit(outage_features(t), "sin_energia")
+    g = stx.goodness_of_fit(outage_features(t), "sin_energia")
+    return g.select("distribution", rnd("ks_distance", 9).alias("ks_distance"))
 
 
 BREAKS = [0.0, 1000.0, 5000.0, 20000.0, 50000.0, 100000.0]
