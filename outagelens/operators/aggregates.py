@@ -125,6 +125,7 @@ def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str,
     ws = Window.partitionBy(key).orderBy("_pid")
     carry = last.select("_pid", key, F.lag("_last").over(ws).alias("_carry"),
                         (F.row_number().over(ws) > 1).alias("_has_prev"))
-    j = local.join(carry, ["_pid", key])
+    from .frames import join_null_safe
+    j = join_null_safe(local, carry, ["_pid", key])  # a NULL key is a key too
     value = F.when(F.col("_pos") > 1, F.col("_prev")).when(F.col("_has_prev"), F.col("_carry")).otherwise(F.col(col))
     return j.withColumn(out, value).drop("_pid", "_prev", "_pos", "_carry", "_has_prev")

@@ -181,7 +181,7 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], gro
         else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{k}").over(w_prev), F.lit(0)).alias(f"_o_{k}")
                                               for k in sums])
-    out = local.join(offsets, ["_pid", *group])
+    out = join_null_safe(local, offsets, ["_pid", *group])  # a NULL group is a group too
     out = out.withColumns({k: F.col(f"_c_{k}") + F.col(f"_o_{k}") for k in sums})
     return out.drop("_pid", *[f"_{p}_{k}" for k in sums for p in ("v", "c", "o")])
 

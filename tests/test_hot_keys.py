@@ -77,3 +77,13 @@ def test_quantiles_hot(spark, hot):
         vals = pdf[pdf.k == k].v.dropna()
         for p in (0.25, 0.5):
             assert got[(k, p)] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_null_group_keeps_its_rows(spark):
+    rows = [(None, i, 1.0) for i in range(50)] + [("a", i, 2.0) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    out = fr.running_totals(df, ["i"], {"cs": F.col("v")}, group=["g"], partitions=3)
+    got = {(r.g, r.i): r.cs for r in out.collect()}
+    assert len(got) == 100 and got[(None, 49)] == 50.0 and got[("a", 49)] == 100.0
+    lagged = ag.lag_same_key(df, "g", ["i"], "v", "nv", max_group_rows=1).collect()
+    assert len(lagged) == 100
