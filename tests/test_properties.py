@@ -179,3 +179,46 @@ def test_rename_names(spark):
     from outagelens.operators.columns import rename_with
     df = spark.createDataFrame([(1.0, 2.0)], "`numeric.mean` double, `numeric.p50` double")
     assert rename_with(df, lambda c: c.replace("numeric.", "")).columns == ["mean", "p50"]
+
+
+def test_correlation_matches_mllib(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    from conftest import SF_SMALL
+    from outagelens.sources.tables import Tables
+    cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = Tables(spark, SF_SMALL).lineitem
+    ours = {(r.var1, r.var2): r.corr for r in stx.corr_matrix(li, cols, shift=None).collect()}
+    v = VectorAssembler(inputCols=cols, outputCol="f").transform(li)
+    m = Correlation.corr(v, "f").first()[0].toArray()
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i < j:
+                assert ours[(a, b)] == pytest.approx(m[i][j], abs=1e-12)
+
+
+def test_normalize_matches_standard_scaler(frame):
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from outagelens.operators.recipes import Normalize, Recipe
+    cols = ["sin_energia", "mg_trabajando"]
+    rec = Recipe([Normalize(cols)]).fit(frame)
+    ours = rec.transform(frame).orderBy("outage_id").select(*cols).collect()
+    v = VectorAssembler(inputCols=cols, outputCol="f").transform(frame)
+    sc = StandardScaler(inputCol="f", outputCol="z", withMean=True, withStd=True).fit(v)
+    ref = sc.transform(v).orderBy("outage_id").select("z").collect()
+    for a, b in zip(ours, ref):
+        assert a[0] == pytest.approx(b.z[0], abs=1e-9) and a[1] == pytest.approx(b.z[1], abs=1e-9)
+
+
+def test_smote_points_on_segment(spark, frame):
+    from outagelens.operators import neighbors as nb
+    tr = frame.select("outage_id", "status", "sin_energia", "dia")
+    syn = nb.smote(tr, "status", "outage_id", ["sin_energia", "dia"], ["down", "up"], k=5).collect()
+    src = {r.outage_id: (r.sin_energia, float(r.dia), r.status) for r in tr.collect()}
+    counts = {r.status: r.n for r in tr.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    assert len(syn) == max(counts.values()) - min(counts.values())
+    for r in syn:
+        b, n = src[r.base_id], src[r.neighbor_id]
+        assert b[2] == n[2] == r.status and r.base_id != r.neighbor_id
+        for x, lo_hi in ((r.sin_energia, (b[0], n[0])), (r.dia, (b[1], n[1]))):
+            assert min(lo_hi) - 1e-9 <= x <= max(lo_hi) + 1e-9
