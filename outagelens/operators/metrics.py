@@ -118,10 +118,15 @@ def confusion_matrix(df: DataFrame, group: list[str], levels: list[str], truth="
 
 def metric_set(df: DataFrame, group: list[str], event: str, truth="truth", prob="prob",
                pred="pred") -> DataFrame:
-    """Long table (group, metric, estimate) for the report's metric set."""
-    cm = class_metrics(confusion_counts(df, group, event, truth, pred))
+    """Long table (group, metric, estimate) for the report's metric set.
+
+    Each piece is unpivoted on its own and the pieces are stacked (union), so
+    no join is needed - group columns may even be constants."""
+    names = ["accuracy", "kap", "sensitivity", "specificity", "precision"]
+    cm = class_metrics(confusion_counts(df, group, event, truth, pred)).select(*group, *names)
     auc = roc_auc(df, group, event, truth, prob)
     ll = mean_log_loss(df, group, event, truth, prob)
-    wide = cm.join(auc, group).join(ll, group)
-    names = ["accuracy", "kap", "sensitivity", "specificity", "precision", "roc_auc", "mn_log_loss"]
-    return wide.unpivot(group, names, "metric", "estimate")
+    parts = [cm.unpivot(group, names, "metric", "estimate"),
+             auc.unpivot(group, ["roc_auc"], "metric", "estimate"),
+             ll.unpivot(group, ["mn_log_loss"], "metric", "estimate")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
