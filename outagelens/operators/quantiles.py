@@ -2,9 +2,9 @@
 
 ``percentile``/``median`` keep every value of a group in one aggregation
 buffer, which breaks when one group holds a third of the data.  Here the
-values are globally sorted (range partitioning), numbered with partition
-offsets, and only the two order statistics around each target position are
-picked back by an equi join.
+distinct values are counted, given distributed running totals, and the two
+order statistics around each target position are picked by an equi join on
+the group and a grouped minimum.
 """
 
 from __future__ import annotations
@@ -12,35 +12,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import row_ids
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
-    """Rows (by..., p, q): type-7 quantile of ``value`` (NULLs ignored)."""
+    """Rows (by..., p, q): type-7 quantile of ``value`` (NULLs ignored).
+
+    1. count each distinct (group, value) - partial aggregation;
+    2. one global running total in (group, value) order gives every distinct
+       value its interval of global positions [start, end];
+    3. a target position lies in exactly one interval: intervals are cut
+       into buckets of width W (about two bucket rows per distinct value) and
+       matched to the targets by an equi join on the bucket.
+    Cost follows the number of distinct values; no group is ever held by one
+    task or buffer."""
+    from .frames import join_null_safe, running_totals
     by = list(by or [])
     x = df.select(*by, F.col(value).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    counts = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        # one row per group; group counts prefix-summed in group order
-        from pyspark.sql import Window
-        starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy(*by)) - F.col("_n"))
-    else:
-        starts = counts.withColumn("_start", F.lit(0).cast("long"))
-    ranked = row_ids(x, by + ["_x"], "_pos")
-    targets = (starts.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    vc = x.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_totals(vc, [*by, "_x"], {"_end": F.col("_c")})
+    cum = cum.withColumn("_start", F.col("_end") - F.col("_c") + 1)
+    sizes = cum.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("d")).first()  # two numbers
+    if not sizes["n"]:
+        return df.sparkSession.createDataFrame([], ", ".join([f"`{b}` string" for b in by] + ["p double", "q double"]))
+    width = max(1, sizes["n"] // max(sizes["d"], 1))
+    groups = cum.groupBy(*by).agg(F.min("_start").alias("_g0"), F.sum("_c").alias("_n"))
+    targets = (groups.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
                .withColumn("_h", (F.col("_n") - 1) * F.col("p") + 1)
-               .withColumn("_lo", F.floor("_h").cast("long"))
-               .withColumn("_hi", F.ceil("_h").cast("long")))
-    # global position of the low and high order statistic of each target
-    wanted = targets.select(F.explode(F.array(F.col("_start") + F.col("_lo"),
-                                              F.col("_start") + F.col("_hi"))).alias("_pos")).distinct()
-    picked = ranked.join(wanted, "_pos", "left_semi").select("_pos", "_x")
-    lo = picked.select(F.col("_pos").alias("_plo"), F.col("_x").alias("_xlo"))
-    hi = picked.select(F.col("_pos").alias("_phi"), F.col("_x").alias("_xhi"))
-    out = (targets.withColumn("_plo", F.col("_start") + F.col("_lo"))
-           .withColumn("_phi", F.col("_start") + F.col("_hi"))
-           .join(lo, "_plo").join(hi, "_phi"))
-    q = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
+               .withColumn("_lo", F.col("_g0") + F.floor("_h").cast("long") - 1)
+               .withColumn("_hi", F.col("_g0") + F.ceil("_h").cast("long") - 1))
+    pos = targets.select(F.explode(F.array("_lo", "_hi")).alias("_t")).distinct() \
+        .withColumn("_b", F.floor(F.col("_t") / width))
+    spans = cum.select("_x", "_start", "_end", F.explode(F.sequence(
+        F.floor(F.col("_start") / width), F.floor(F.col("_end") / width))).alias("_b"))
+    at = spans.join(pos, "_b").filter((F.col("_t") >= F.col("_start")) & (F.col("_t") <= F.col("_end")))
+    at = at.select("_t", "_x")
+    lo = at.select(F.col("_t").alias("_lo"), F.col("_x").alias("_xlo"))
+    hi = at.select(F.col("_t").alias("_hi"), F.col("_x").alias("_xhi"))
+    out = targets.join(lo, "_lo").join(hi, "_hi")
+    frac = F.col("_h") - F.floor("_h")
+    q = F.col("_xlo") + frac * (F.col("_xhi") - F.col("_xlo"))
     return out.select(*by, "p", q.alias("q"))
 
 
