@@ -115,9 +115,9 @@ def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str,
     from ..session import checkpoint_dir
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [key] + list(order)
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
     tagged = ordered.withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid", key).orderBy(*order)
     local = tagged.withColumns({"_prev": F.lag(col).over(w), "_pos": F.row_number().over(w)})

@@ -126,8 +126,9 @@ def row_ids(df: DataFrame, order: list[str], name: str = "id", partitions: int |
     range-partitioned by ``order``, sorted inside each partition, checkpointed,
     and numbered as partition offset + position in the partition."""
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE may merge adjacent (still ordered) range partitions
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     # Sizes and ids below read the data twice; a reliable checkpoint (shared
     # checkpoint dir) pins partition contents and order so both reads agree,
     # also when the input is not deterministic or an executor is lost.
@@ -167,12 +168,12 @@ def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], gro
     rows).  No window ever holds a whole group."""
     group = list(group or [])
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = group + order
     base = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
     from ..session import checkpoint_dir
     checkpoint_dir(spark)
-    ordered = base.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint(eager=True)
+    ranged = base.repartitionByRange(partitions, *keys) if partitions else base.repartitionByRange(*keys)
+    ordered = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
     tagged = ordered.withColumn("_pid", F.spark_partition_id())
     w_local = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w_local) for k in sums})
