@@ -146,3 +146,14 @@ def test_geo_join_100m(spark):
     out = jn.geo_left_join(tk, sites, 0.1)
     got = sorted((r.tid, r.siteid) for r in out.collect())
     assert got == [(1, "A"), (2, None), (3, None)]
+
+
+def test_knn_vote_inverse_distance(spark):
+    from outagelens.operators.neighbors import knn_vote
+    train = spark.createDataFrame([(1, 0.0, "down"), (2, 1.0, "down"), (3, 10.0, "up"), (4, 11.0, "up"),
+                                   (5, 12.0, "up")], "id long, x double, y string")
+    test = spark.createDataFrame([(10, 0.5, "down"), (11, 11.5, "up")], "id long, x double, y string")
+    p = {r.id: r.prob for r in knn_vote(train, test, "id", "y", ["x"], 3, "down").collect()}
+    # test 10: neighbours 1 (0.5), 2 (0.5), 3 (9.5) -> weights 2, 2, 1/9.5
+    assert p[10] == __import__("pytest").approx(4 / (4 + 1 / 9.5))
+    assert p[11] == 0.0
