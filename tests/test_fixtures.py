@@ -157,3 +157,14 @@ def test_knn_vote_inverse_distance(spark):
     # test 10: neighbours 1 (0.5), 2 (0.5), 3 (9.5) -> weights 2, 2, 1/9.5
     assert p[10] == __import__("pytest").approx(4 / (4 + 1 / 9.5))
     assert p[11] == 0.0
+
+
+def test_repeated_outages_gua025(spark):
+    """Q17: several outages of one site in one day are reported with their
+    count; a single outage on another day is not."""
+    rows = [(i, "GUA025", ts(f"2020-08-25 {h:02d}:10:00")) for i, h in enumerate([1, 3, 4, 8, 9, 12, 15, 18, 22])]
+    rows += [(20, "GUA025", ts("2020-08-26 10:00:00")), (21, "GUA030", ts("2020-08-25 10:00:00"))]
+    df = spark.createDataFrame(rows, "outage_id int, siteid string, inicio timestamp_ntz") \
+        .withColumn("dia", F.to_date("inicio"))
+    out = fr.dupes(df, ["siteid", "dia"]).collect()
+    assert len(out) == 9 and {r.dupe_count for r in out} == {9} and {r.siteid for r in out} == {"GUA025"}
