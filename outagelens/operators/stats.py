@@ -161,15 +161,18 @@ def kernel_density(df: DataFrame, value: str, n_grid: int = 512, cut: float = 3.
     of a bounded range) and contributions are summed per grid point - the
     binned estimator R's ``density()`` also uses, without a cross join."""
     x = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    q = quantile_columns(x, "x", {"q1": 0.25, "q3": 0.75})
-    s = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"),
-              F.max("x").alias("mx"))
-    n, sd, mn, mx = (s.select(c).scalar() for c in ("n", "sd", "mn", "mx"))
-    iqr = q.select(F.col("q3") - F.col("q1")).scalar()
-    lo_ = F.least(sd, iqr / 1.34)
-    bw = F.lit(0.9) * F.when(lo_ > 0, lo_).otherwise(F.coalesce(F.when(sd > 0, sd), F.lit(1.0))) * F.pow(n, -0.2)
-    lo, hi = mn - cut * bw, mx + cut * bw
-    step = (hi - lo) / (n_grid - 1)
+    q = quantile_columns(x, "x", {"q1": 0.25, "q3": 0.75}).first()  # two numbers
+    st = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"),
+               F.max("x").alias("mx")).first()  # four numbers
+    n, sd, mn, mx = st["n"], st["sd"], st["mn"], st["mx"]
+    if not n:
+        return df.sparkSession.createDataFrame([], "point long, x double, density double")
+    iqr = q["q3"] - q["q1"]
+    low = min(v for v in (sd, iqr / 1.34) if v is not None) if sd is not None else iqr / 1.34
+    bw_v = 0.9 * (low if low > 0 else (sd if sd and sd > 0 else 1.0)) * n ** -0.2
+    lo_v, hi_v = mn - cut * bw_v, mx + cut * bw_v
+    step_v = (hi_v - lo_v) / (n_grid - 1)
+    bw, lo, step, n = F.lit(bw_v), F.lit(lo_v), F.lit(step_v), F.lit(float(n))
     # scalar subqueries stay in projections; grouping uses plain columns
     cells = x.withColumn("i", F.floor((F.col("x") - lo) / step + 0.5).cast("long")).groupBy("i") \
         .agg(F.count(F.lit(1)).alias("c"))
