@@ -409,3 +409,12 @@ def fixed_breaks_histogram(df: DataFrame, value: str, breaks: list[float]) -> Da
     edges = F.array(*[F.lit(float(v)) for v in breaks])
     return counts.select(F.col("bin").cast("long").alias("bin"), F.element_at(edges, F.col("bin") + 1).alias("lower"),
                          F.element_at(edges, F.col("bin") + 2).alias("upper"), "n")
+
+
+def outlier_rows(long: DataFrame, by: list[str], k: float = 1.5) -> DataFrame:
+    """E2 outlier points: rows outside (Q1 - k IQR, Q3 + k IQR) of their
+    (by..., variable) group, with the fences (equi join back on the group)."""
+    keys = by + ["variable"]
+    f = fences(long, "value", keys, k).select(*keys, "lower", "upper")
+    j = join_null_safe(long.filter(F.col("value").isNotNull()), f, keys)
+    return j.filter((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")))

@@ -290,3 +290,16 @@ BREAKS = [0.0, 1000.0, 5000.0, 20000.0, 50000.0, 100000.0]
               + ")[bin + 2] AS upper, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY bin")
 def e03b(t: Tables) -> DataFrame:
     return stx.fixed_breaks_histogram(t.lineitem, "l_extendedprice", BREAKS)
+
+
+@register("e02b_outlier_rows", ids=("E2",),
+          sql=f"WITH f AS ({OUTAGE_FEATURES_SQL}), lv AS (SELECT outage_id, status, variable, value FROM "
+              "(SELECT outage_id, status, sin_energia, mg_trabajando FROM f) UNPIVOT (value FOR variable IN "
+              "(sin_energia, mg_trabajando))), q AS (SELECT status, variable, quantile_cont(value, 0.25) AS q1, "
+              "quantile_cont(value, 0.75) AS q3 FROM lv GROUP BY 1, 2) "
+              "SELECT lv.outage_id, lv.status, lv.variable, lv.value FROM lv JOIN q ON lv.status IS NOT DISTINCT FROM "
+              "q.status AND lv.variable = q.variable WHERE lv.value < q1 - 1.5 * (q3 - q1) "
+              "OR lv.value > q3 + 1.5 * (q3 - q1)")
+def e02b(t: Tables) -> DataFrame:
+    lv = stx.long_values(outage_features(t), VARS, by=["outage_id", "status"])
+    return stx.outlier_rows(lv, ["status"]).select("outage_id", "status", "variable", "value")
