@@ -129,3 +129,11 @@ def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str,
     j = join_null_safe(local, carry, ["_pid", key])  # a NULL key is a key too
     value = F.when(F.col("_pos") > 1, F.col("_prev")).when(F.col("_has_prev"), F.col("_carry")).otherwise(F.col(col))
     return j.withColumn(out, value).drop("_pid", "_prev", "_pos", "_carry", "_has_prev")
+
+
+def crosstab_wide(df: DataFrame, a: str, b: str, levels_b: list[str], total_label: str = "Total") -> DataFrame:
+    """A6 as displayed: one row per level of ``a`` plus a total row, one column
+    per level of ``b`` (explicit list) plus a total column (CUBE, then pivot)."""
+    long = crosstab_totals(df, a, b, total_label)
+    wide = long.groupBy(a).pivot(b, [*levels_b, total_label]).agg(F.sum("n"))
+    return wide.fillna(0, subset=[*levels_b, total_label])

@@ -173,3 +173,16 @@ def w05(t: Tables) -> DataFrame:
     return best.select("s_nationkey", "s_suppkey", rnd("metric").alias("metric"),
                        F.row_number().over(Window.orderBy(F.col("metric").desc(), "s_nationkey")).cast("long")
                        .alias("rank"))
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("a06b_crosstab_wide", ids=("A6", "U4"),
+          sql="WITH c AS (SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'Total' ELSE o_orderstatus END AS s, "
+              "CASE WHEN grouping(o_orderpriority) = 1 THEN 'Total' ELSE o_orderpriority END AS p, count(*) AS n "
+              "FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)) SELECT s AS o_orderstatus, "
+              + ", ".join(f"coalesce(sum(n) FILTER (WHERE p = '{v}'), 0) AS \"{v}\"" for v in _PRIORITIES + ["Total"])
+              + " FROM c GROUP BY s")
+def a06b(t: Tables) -> DataFrame:
+    return ag.crosstab_wide(t.orders, "o_orderstatus", "o_orderpriority", _PRIORITIES)
