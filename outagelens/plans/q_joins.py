@@ -241,3 +241,32 @@ def s05(t: Tables) -> DataFrame:
     path = os.path.join(checkpoint_dir(t.spark), "cache", f"galonaje_{tag}")
     sinks.write_table(res, path)
     return files.read_cached(t.spark, path)
+
+
+# -------------------------------------------- S1-S4: delimited text files --
+
+
+@register("s01_delimited_revenue_file", ids=("S1", "S2", "S3", "S4", "S12", "P8"),
+          sql="SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, "
+              "substr(c_mktsegment, 1, 3) || '-' || CAST(c_custkey AS VARCHAR) AS site_id, o_totalprice AS revenue_total "
+              "FROM orders JOIN customer ON o_custkey = c_custkey")
+def s01(t: Tables) -> DataFrame:
+    """The revenue export as a ';'-separated file with its original headers
+    (written to shared storage, S12), read back with an explicit schema,
+    cleaned names and one column dropped at read time (S1-S4, P8)."""
+    import os
+    from pyspark.sql import types as T
+    from ..session import checkpoint_dir
+    from ..sources import files, sinks
+    o, c = t.orders, t.customer
+    raw = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.year("o_orderdate").alias("YEAR"), F.month("o_orderdate").alias("MONTH"),
+        F.concat(F.substring("c_mktsegment", 1, 3), F.lit("-"), F.col("c_custkey").cast("string")).alias("SITE_ID"),
+        F.col("c_name").alias("Site Name"), F.col("o_totalprice").alias("REVENUE_TOTAL"))
+    tag = os.path.basename(t.root.rstrip("/")) or "data"
+    path = os.path.join(checkpoint_dir(t.spark), "exports", f"revenue_rbs_{tag}")
+    sinks.write_csv(raw, path, sep=";")
+    schema = T.StructType([T.StructField("YEAR", T.IntegerType()), T.StructField("MONTH", T.IntegerType()),
+                           T.StructField("SITE_ID", T.StringType()), T.StructField("Site Name", T.StringType()),
+                           T.StructField("REVENUE_TOTAL", T.DoubleType())])
+    return files.read_delimited(t.spark, path, schema, sep=";", drop=("site_name",))
