@@ -55,3 +55,13 @@ def test_stream_projection(spark, tmp_path, tables):
     got = spark.read.parquet(str(tmp_path / "out"))
     expect = spark.read.parquet(src).filter(F.col("event_type") == "error").count()
     assert got.count() == expect
+
+
+def test_views_registered_and_cleaned(spark, tables):
+    """S7 + Q1: load views under their names, clean all of them, query by SQL."""
+    from outagelens.plans.etl_sites import clean_views
+    views = tables.register_views(["nation", "supplier", "documents"])
+    assert spark.sql("SELECT count(*) AS n FROM nation").first().n == 25
+    cleaned = clean_views({"Nation": views["nation"], "Supplier List": views["supplier"]})
+    assert set(cleaned) == {"nation", "supplier_list"}
+    assert cleaned["nation"].filter(F.col("n_name") != F.upper("n_name")).count() == 0
