@@ -40,3 +40,13 @@ def run_to_files(df: DataFrame, out_dir: str, checkpoint: str, fmt: str = "parqu
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return q
+
+
+def score_stream(model, stream: DataFrame, features: list[str], key: str, levels: list[str]) -> DataFrame:
+    """L9 on a stream: a fitted pipeline (MLlib transformers work on streaming
+    DataFrames) gives P(event) and the 0.5-threshold class for every new row."""
+    from pyspark.ml.functions import vector_to_array
+    out = model.transform(stream.fillna(0.0, subset=features))
+    prob = vector_to_array("probability")[0]
+    res = out.select(key, prob.alias("prob"))
+    return res.withColumn("pred", F.when(F.col("prob") > 0.5, F.lit(levels[0])).otherwise(F.lit(levels[1])))

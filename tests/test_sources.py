@@ -65,3 +65,20 @@ def test_views_registered_and_cleaned(spark, tables):
     cleaned = clean_views({"Nation": views["nation"], "Supplier List": views["supplier"]})
     assert set(cleaned) == {"nation", "supplier_list"}
     assert cleaned["nation"].filter(F.col("n_name") != F.upper("n_name")).count() == 0
+
+
+def test_score_stream(spark, tmp_path):
+    """A model fitted on batch rows scores a file stream (exactly-once file sink)."""
+    from outagelens.models import classifiers as clf
+    from outagelens.streaming import stateless
+    rows = [(i, "down" if i % 3 == 0 else "up", float(i % 3 == 0) + (i % 7) / 10.0) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, status string, x double")
+    pm = clf.fit("glm", df, ["x"], "status", ["down", "up"])
+    src = str(tmp_path / "new_rows")
+    df.drop("status").write.parquet(src)
+    stream = spark.readStream.schema("id long, x double").parquet(src)
+    scored = stateless.score_stream(pm, stream, ["x"], "id", ["down", "up"])
+    stateless.run_to_files(scored, str(tmp_path / "scored"), str(tmp_path / "ckpt2"))
+    got = spark.read.parquet(str(tmp_path / "scored"))
+    assert got.count() == 120
+    assert got.filter((F.col("prob") < 0) | (F.col("prob") > 1)).count() == 0
