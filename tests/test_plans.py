@@ -14,7 +14,8 @@ def _plan(df):
 
 @pytest.mark.parametrize("name", ["j08_geo_left_join", "j09_interval_max", "j10_interval_margin",
                                   "j11_tolerance_match", "q05_ticket_origin_by_distance", "q16_outage_model_table",
-                                  "a08_first_per_key", "e10_chi_square", "v08_roc_auc"])
+                                  "a08_first_per_key", "e10_chi_square", "v08_roc_auc", "l04_knn_neighbors",
+                                  "b07_smote", "a06b_crosstab_wide", "e02b_outlier_rows"])
 def test_no_cartesian(spark, name):
     from conftest import SF_SMALL
     plan = _plan(E.queries()[name](spark, SF_SMALL))
