@@ -74,8 +74,8 @@ def roc_curve(df: DataFrame, group: list[str], event: str, truth="truth", prob="
                                  F.sum(F.when(F.col(truth) == event, 0).otherwise(1)).alias("N"))
     s = s.join(tot, group)
     pts = s.select(*group, F.col("threshold").cast("double").alias("threshold"),
-                   (1 - F.col("cum_neg") / F.col("N")).alias("specificity"),
-                   (F.col("cum_pos") / F.col("P")).alias("sensitivity"))
+                   (1 - F.try_divide(F.col("cum_neg"), F.col("N"))).alias("specificity"),
+                   F.try_divide(F.col("cum_pos"), F.col("P")).alias("sensitivity"))
     ends = tot.select(*group, F.lit(float("-inf")).alias("threshold"), F.lit(0.0).alias("specificity"),
                       F.lit(1.0).alias("sensitivity")).unionByName(
         tot.select(*group, F.lit(float("inf")).alias("threshold"), F.lit(1.0).alias("specificity"),
@@ -100,7 +100,7 @@ def pr_curve(df: DataFrame, group: list[str], event: str, truth="truth", prob="p
     tot = df.groupBy(*group).agg(F.sum(F.when(F.col(truth) == event, 1).otherwise(0)).alias("P"))
     s = s.join(tot, group)
     pts = s.select(*group, F.col("threshold").cast("double").alias("threshold"),
-                   (F.col("cum_pos") / F.col("P")).alias("recall"),
+                   F.try_divide(F.col("cum_pos"), F.col("P")).alias("recall"),
                    (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"))
     start = tot.select(*group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("recall"),
                        F.lit(1.0).alias("precision"))

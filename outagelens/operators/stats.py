@@ -219,9 +219,9 @@ def least_squares(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     one = df.agg(*aggs)
     long = one.select(F.explode(F.array(*[F.col(f"{y}__{x}") for y, x in pairs])).alias("r")).select("r.*")
     sse = F.col("syy") - F.col("slope") * F.col("sxy")
-    sigma = F.sqrt(F.greatest(sse, F.lit(0.0)) / (F.col("n") - 2))
+    sigma = F.sqrt(F.try_divide(F.greatest(sse, F.lit(0.0)), F.col("n") - 2))
     return long.select("y", "x", "n", "slope", "intercept", sigma.alias("sigma"),
-                       (sigma / F.sqrt("sxx")).alias("se_slope"), "r2")
+                       F.try_divide(sigma, F.sqrt("sxx")).alias("se_slope"), "r2")
 
 
 # ------------------------------------------------------------- E10, E11 ---
@@ -242,7 +242,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     stat = j.agg((F.sum(F.pow(F.col("o") - e, 2) / e) + (total - F.sum(e))).alias("statistic"),
                  F.countDistinct(a).alias("r"), F.countDistinct(b).alias("c"))
     return stat.select("statistic", ((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("df"),
-                       F.sqrt(F.col("statistic") / (total * (F.least("r", "c") - 1))).alias("cramers_v"))
+                       F.sqrt(F.try_divide(F.col("statistic"), total * (F.least("r", "c") - 1))).alias("cramers_v"))
 
 
 def near_zero_var(df: DataFrame, cols: list[str], freq_cut: float = 95 / 5, unique_cut: float = 10.0) -> DataFrame:
@@ -281,8 +281,8 @@ def jarque_bera(long: DataFrame, keys: list[str]) -> DataFrame:
     """JB = n/6 (S^2 + (K-3)^2 / 4) from population moments; p = exp(-JB/2)
     (chi-square, 2 df)."""
     m = moments(long, keys)
-    s = F.col("m3") / F.pow("m2", 1.5)
-    k = F.col("m4") / (F.col("m2") * F.col("m2"))
+    s = F.try_divide(F.col("m3"), F.pow("m2", 1.5))  # NULL for a constant column
+    k = F.try_divide(F.col("m4"), F.col("m2") * F.col("m2"))
     jb = F.col("n") / 6.0 * (s * s + (k - 3) * (k - 3) / 4.0)
     return m.select(*keys, F.lit("Jarque-Bera").alias("method"), jb.alias("statistic"),
                     F.exp(-jb / 2).alias("p_value"))
@@ -383,8 +383,8 @@ def goodness_of_fit(df: DataFrame, value: str) -> DataFrame:
         "lnorm": F.when(F.col("x") > 0, F.expr(pnorm_sql("_zl"))).otherwise(F.lit(0.0)),
         "unif": F.when(hi > lo, (F.col("x") - lo) / (hi - lo)).otherwise(F.lit(1.0)),
     }
-    r = r.withColumns({"_zn": (F.col("x") - m) / s,
-                       "_zl": F.when(F.col("x") > 0, (F.log("x") - lm) / ls)})
+    r = r.withColumns({"_zn": F.try_divide(F.col("x") - m, s),
+                       "_zl": F.when(F.col("x") > 0, F.try_divide(F.log("x") - lm, ls))})
     dists = []
     for name, cdf in cdfs.items():
         d = F.greatest(F.col("i") / n - cdf, cdf - (F.col("i") - 1) / n)

@@ -168,3 +168,22 @@ def test_repeated_outages_gua025(spark):
         .withColumn("dia", F.to_date("inicio"))
     out = fr.dupes(df, ["siteid", "dia"]).collect()
     assert len(out) == 9 and {r.dupe_count for r in out} == {9} and {r.siteid for r in out} == {"GUA025"}
+
+
+def test_degenerate_groups_give_null_not_errors(spark):
+    """ANSI mode: single-class groups, constant columns and n = 2 give NULL
+    statistics instead of division-by-zero errors."""
+    from outagelens.operators import metrics as mt
+    from outagelens.operators import stats as stx
+    from outagelens.operators.recipes import Normalize, Recipe
+    p = spark.createDataFrame([("m", "up", 0.2), ("m", "up", 0.7)], "model string, truth string, prob double")
+    assert mt.roc_curve(p, ["model"], "down").count() == 4
+    assert mt.pr_curve(p, ["model"], "down").count() == 3
+    assert mt.roc_auc(p, ["model"], "down").first().roc_auc is None
+    c = spark.createDataFrame([(1.0, 5.0), (1.0, 6.0)], "x double, y double")
+    assert stx.least_squares(c, [("y", "x")]).first().se_slope is None
+    lv = stx.long_values(c, ["x"])
+    assert stx.jarque_bera(lv, ["variable"]).first().statistic is None
+    assert Recipe([Normalize(["x"])]).fit(c).transform(c).first().x is None
+    one = spark.createDataFrame([("a", "p"), ("a", "q")], "a string, b string")
+    assert stx.chi_square(one, "a", "b").first().cramers_v is None
