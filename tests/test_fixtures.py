@@ -187,3 +187,10 @@ def test_degenerate_groups_give_null_not_errors(spark):
     assert Recipe([Normalize(["x"])]).fit(c).transform(c).first().x is None
     one = spark.createDataFrame([("a", "p"), ("a", "q")], "a string, b string")
     assert stx.chi_square(one, "a", "b").first().cramers_v is None
+
+
+def test_interval_ending_before_start_matches_nothing(spark):
+    iv = spark.createDataFrame([(1, "S", ts("2020-08-25 11:00:00"), ts("2020-08-25 10:00:00"))],
+                               "oid int, site string, s timestamp_ntz, e timestamp_ntz")
+    pts = spark.createDataFrame([("S", ts("2020-08-25 10:30:00"), 5.0)], "site string, t timestamp_ntz, v double")
+    assert jn.interval_max(iv, pts, ["oid", "site", "s", "e"], "site", "s", "e", "t", "v", "g").count() == 0
