@@ -38,3 +38,20 @@ def test_first_per_key_is_an_aggregate(spark):
     plan = _plan(E.queries()["a08_first_per_key"](spark, SF_SMALL))
     assert "Window" not in plan
     assert "partial_min" in plan or "HashAggregate" in plan or "ObjectHashAggregate" in plan
+
+
+def test_flagship_reads_only_needed_lineitem_columns(spark):
+    """Q8 touches 7 of lineitem's 11 columns; the scan's ReadSchema holds no others."""
+    import contextlib
+    import io
+    import re
+    from conftest import SF_SMALL
+    df = E.queries()["q08_affected_fact"](spark, SF_SMALL)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    schemas = [m for m in re.findall(r"ReadSchema: struct<([^>]*)>", buf.getvalue()) if "l_orderkey" in m]
+    assert schemas, "no lineitem scan found"
+    for sch in schemas:
+        cols = {c.split(":")[0] for c in sch.split(",")}
+        assert not cols & {"l_extendedprice", "l_discount", "l_tax", "l_shipdate"}, cols
