@@ -55,11 +55,13 @@ def q09(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- Q10 ----
 
-# Fixed values of the stand-in item catalogue and manual change dates.
-ITEM_CATEGORIES = [(0, "electrónica"), (1, "energía"), (2, "otros"), (3, "ELECTRÓNICA ")]
+# Part numbers the item master excludes (same as the reference's filter).
 BAD_PART_NUMBERS = ["N/A", "DAR DE BAJA", "NO ES TX"]
-MANUAL_CHANGE_DATES = [(23, "2018-09-13 17:59:14"), (46, "2019-02-01 15:02:13"), (69, "2019-06-25 15:29:57"),
-                       (92, "2019-09-09 07:23:23")]
+# Stand-in values of our own: item categories (accents and a trailing blank on purpose) and
+# manual change dates for tickets whose date is missing.
+ITEM_CATEGORIES = [(0, "electrónica"), (1, "energía"), (2, "otros"), (3, "ELECTRÓNICA ")]
+MANUAL_CHANGE_DATES = [(23, "1996-04-02 08:15:00"), (46, "1997-11-20 13:40:30"), (69, "1999-07-07 22:05:10"),
+                       (92, "2000-01-31 06:50:45")]
 
 
 def items(t: Tables) -> DataFrame:

@@ -17,11 +17,11 @@ from ..sources.tables import Tables
 from . import standins as si
 from .registry import register
 
-# Battery type codes (plomo = 1, litio = 0) and the per-site tank
-# fixes of the stand-in (site, condition on tank, new tank).
+# Battery type codes (plomo = 1, litio = 0).
 BATTERY_CODES = {"PLOMO": "1", "LITIO": "0"}
-TANK_FIXES_NULL = {33: "155", 77: "157"}
-TANK_FIXES_OTRO = {26: "157"}
+# Stand-in values of our own: per-site tank fixes (site -> tank when missing / when "OTRO").
+TANK_FIXES_NULL = {33: "150", 77: "160"}
+TANK_FIXES_OTRO = {26: "165"}
 STATUS_LEVELS = ["down", "up"]
 ATTRIBUTE_NAMES = ["periodicidad_mg", "capacidad_tanque_motor", "motor_generador", "tipo_motor", "tipo_bateria"]
 

@@ -172,9 +172,9 @@ def j11(t: Tables) -> DataFrame:
 
 # --------------------------------------------------- J12/J13 lookups ----
 
-# Prefix catalogue (3-char prefix -> department) and manual overrides.
+# Stand-in values of our own: prefix catalogue (3-char prefix -> department) and manual overrides.
 PREFIX_CATALOGUE = [("AUT", "ESCUINTLA"), ("BUI", "GUATEMALA"), ("FUR", "PETEN"), ("HOU", "IZABAL")]
-OVERRIDES = [(7, "QUICHE"), (14, "ZACAPA"), (21, "JUTIAPA")]
+OVERRIDES = [(7, "QUICHE"), (14, "ZACAPA"), (21, "SACATEPEQUEZ")]
 
 
 def _lookup_df(spark, rows, schema):
