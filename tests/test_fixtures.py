@@ -194,3 +194,14 @@ def test_interval_ending_before_start_matches_nothing(spark):
                                "oid int, site string, s timestamp_ntz, e timestamp_ntz")
     pts = spark.createDataFrame([("S", ts("2020-08-25 10:30:00"), 5.0)], "site string, t timestamp_ntz, v double")
     assert jn.interval_max(iv, pts, ["oid", "site", "s", "e"], "site", "s", "e", "t", "v", "g").count() == 0
+
+
+def test_interval_join_day_bucket_mode_agrees(spark):
+    iv = spark.createDataFrame([(1, "S", ts("2020-08-25 10:00:00"), ts("2020-08-25 11:00:00")),
+                                (2, "S", ts("2020-08-01 00:00:00"), ts("2020-09-03 00:00:00"))],
+                               "oid int, site string, s timestamp_ntz, e timestamp_ntz")
+    pts = spark.createDataFrame([("S", ts("2020-08-25 10:00:00"), 5.0), ("S", ts("2020-08-25 11:00:01"), 99.0),
+                                 ("S", ts("2020-09-02 23:00:00"), 3.0)], "site string, t timestamp_ntz, v double")
+    a = jn.interval_matches(iv, pts, "site", "s", "e", "t").select("oid", "v").collect()
+    b = jn.interval_matches(iv, pts, "site", "s", "e", "t", long_after_seconds=48 * 3600).select("oid", "v").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) == [(1, 5.0), (2, 3.0), (2, 5.0), (2, 99.0)]
