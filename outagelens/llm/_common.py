@@ -137,6 +137,28 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- components
 
+FINISH = 200_000  # edges that one task may finish
+
+
+def _finish(batches):
+    """Components of a small graph in one task: (v, r) with the smallest vertex as r."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        root.setdefault(v, v)
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    own = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([find(v) for v in own], pa.int64())], names=["v", "r"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "cc") -> DataFrame:
     """Connected components of an undirected graph: rows (v, component), component = smallest vertex.
 
@@ -146,24 +168,29 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     unless its own is smaller, and the graph is contracted; the expected number
     of rounds is logarithmic. Grouped minima combine on the map side and the
     joins are plain equi-joins that adaptive execution can split, so a vertex
-    with very many edges is no hot spot. Every round is a stored table.
+    with very many edges is no hot spot. Every round is a stored table. Once at
+    most ``FINISH`` edges are left, one task finishes.
     """
     raw = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    both = raw.select(F.array("a", "b").alias("ends")).select(F.explode("ends").alias("v"))
-    current = raw.where("a <> b").distinct()
-    current = stored(current, f"{name}-edges0")
+    raw = stored(raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
+    vertices = raw.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    current = raw.where("a <> b")
     labels = None
     step = 0
-    while not current.isEmpty():
-        pick = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("id"))
-        sides = current.select(F.col("a").alias("v"), pick("b").alias("n")).unionByName(
-            current.select(F.col("b").alias("v"), pick("a").alias("n")))
-        best = sides.groupBy("v").agg(F.min("n").alias("n"))
-        target = best.select("v", F.least(F.col("n"), pick("v")).getField("id").alias("r"))
+    while (left := current.count()) > 0:
+        if left <= FINISH:
+            target = current.select("a", "b").coalesce(1).mapInArrow(_finish, "v long, r long")
+        else:
+            pick = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(step)).alias("h"), F.col(c).alias("id"))
+            sides = current.select(F.col("a").alias("v"), pick("b").alias("n")).unionByName(
+                current.select(F.col("b").alias("v"), pick("a").alias("n")))
+            target = sides.groupBy("v").agg(F.min("n").alias("n")).select("v", F.least(F.col("n"), pick("v")).getField("id").alias("r"))
         target = stored(target, f"{name}-map{step}")
         labels = target if labels is None else stored(
             labels.join(target.select(F.col("v").alias("r"), F.col("r").alias("r2")), "r", "left")
             .select("v", F.coalesce("r2", "r").alias("r")), f"{name}-labels{step}")
+        if left <= FINISH:
+            break
         ends = target.select(F.col("v").alias("a"), F.col("r").alias("ra"))
         other = target.select(F.col("v").alias("b"), F.col("r").alias("rb"))
         current = stored(
@@ -172,8 +199,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
             f"{name}-edges{step + 1}")
         step += 1
     if labels is None:
-        return both.distinct().select("v", F.col("v").alias("component"))
+        return vertices.select("v", F.col("v").alias("component"))
     least = labels.groupBy("r").agg(F.least(F.min("v"), F.col("r")).alias("component"))
     linked = labels.join(least, "r").select("v", "component")
-    alone = raw.where("a = b").select(F.col("a").alias("v")).distinct().join(linked, "v", "left_anti")
-    return linked.unionByName(alone.select("v", F.col("v").alias("component")))
+    return vertices.join(linked, "v", "left").select("v", F.coalesce("component", "v").alias("component"))

@@ -148,8 +148,8 @@ def _postings(width: int, percent: int, shared):
     return run
 
 
-def _sets(width: int, percent: int, shared):
-    """(cid, n, tokens, p1, p2, p3): whole sets and their prefixes under the three orders."""
+def _sets(width: int, percent: int, shared, whole: bool):
+    """(cid, n, tokens) with the whole sets, or (cid, n, p1, p2, p3) with the prefixes under the three orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,18 +157,20 @@ def _sets(width: int, percent: int, shared):
             owner, keys = shingles(texts, width)
             n, cid = class_ids(owner, keys, len(texts))
             edge = np.searchsorted(owner, np.arange(len(texts) + 1))
-            size = prefix_length(n, percent)
-            parts = []
-            for k, rank in enumerate(_orders(keys, shared.value)):
-                order = np.lexsort((rank, owner))
-                mine = (np.arange(len(owner)) - edge[owner]) < size[owner]
-                own = keys[order][mine]
-                own = own.view(np.int64) if k == 0 else (own >> U64(32)).astype(np.uint32).view(np.int32)
-                starts = np.concatenate([[0], np.cumsum(np.where(n > 0, size, 0))]).astype(np.int32)
-                parts.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(own)))
-            tokens = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n.astype(np.int32)), tokens, *parts],
-                                             names=["cid", "n", "tokens", "p1", "p2", "p3"]).filter(pa.array(n > 0))
+            if whole:
+                names, parts = ["tokens"], [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys.view(np.int64)))]
+            else:
+                names, parts = ["p1", "p2", "p3"], []
+                size = np.where(n > 0, prefix_length(n, percent), 0)
+                starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                for k, rank in enumerate(_orders(keys, shared.value)):
+                    order = np.lexsort((rank, owner))
+                    own = keys[order][(np.arange(len(owner)) - edge[owner]) < size[owner]]
+                    # 32 bits are enough for the random orders: a collision only lets a candidate through
+                    own = own.view(np.int64) if k == 0 else (own >> U64(32)).astype(np.uint32).view(np.int32)
+                    parts.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n.astype(np.int32)), *parts],
+                                             names=["cid", "n", *names]).filter(pa.array(n > 0))
     return run
 
 
@@ -179,19 +181,16 @@ def _within(frame: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return frame.withColumn("_bucket", bucket(F.col(col))).join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket")
 
 
-def _similar(percent: int) -> str:
-    """Filters under the second and third order, then the comparison; sides x and y."""
-    return ("arrays_overlap(x.p2, y.p2) and arrays_overlap(x.p3, y.p3) and "
-            f"{100 + percent} * size(array_intersect(x.tokens, y.tokens)) >= {percent} * (x.n + y.n)")
+ORDERS = "arrays_overlap(x.p2, y.p2) and arrays_overlap(x.p3, y.p3)"  # the second and third filter; sides x and y
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets are similar."""
-    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
-    own = _within(sets, "cid", ids)
-    x = pairs.join(own, pairs["a"] == own["cid"]).select("b", F.struct("cid", "n", "tokens", "p2", "p3").alias("x"))
-    y = own.select(F.col("cid").alias("b"), F.struct("cid", "n", "tokens", "p2", "p3").alias("y"))
-    return x.join(y, "b").where(_similar(percent)).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+def _joined(pairs: DataFrame, table: DataFrame, columns: list[str], condition: str) -> DataFrame:
+    """Pairs (a, b) whose rows of a table of classes meet a condition on x and y."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    own = _within(table, "cid", ids)
+    x = pairs.join(own, pairs["a"] == own["cid"]).select("a", "b", F.struct(*columns).alias("x"))
+    y = own.select(F.col("cid").alias("b"), F.struct(*columns).alias("y"))
+    return x.join(y, "b").where(condition).select("a", "b").distinct()
 
 
 def _relabel(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -221,46 +220,48 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     lists = stored(postings.join(spread.select("token"), "token").distinct(), "jaccard-lists")
     labels = stored(lists.select("cid", F.col("cid").alias("label")).distinct(), "jaccard-labels")
     first = rows.where("id is not null and n > 0").groupBy("cid").agg(F.min("id").alias("id"))
-    wanted = first.join(labels.select("cid"), "cid", "left_semi")
-    sets = stored(_within(named, "id", wanted).mapInArrow(
-        _sets(width, percent, heavy), "cid long, n int, tokens array<long>, p1 array<long>, p2 array<int>, p3 array<int>"), "jaccard-sets")
+    first = stored(first.join(labels.select("cid"), "cid", "left_semi"), "jaccard-first")
+    prefixes = stored(_within(named, "id", first).mapInArrow(
+        _sets(width, percent, heavy, False), "cid long, n int, p1 array<long>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
+
+    def links(pairs: DataFrame, name: str, filtered: bool = False) -> DataFrame:
+        """The similar ones of some pairs: second and third order first, then whole sets, read for what is left."""
+        left = pairs if filtered else stored(_joined(pairs, prefixes, ["p2", "p3"], ORDERS), f"{name}-left")
+        ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        texts = _within(named, "id", first.join(ids, "cid", "left_semi"))
+        sets = stored(texts.mapInArrow(_sets(width, percent, heavy, True), "cid long, n int, tokens array<long>"), f"{name}-sets")
+        same = f"{100 + percent} * size(array_intersect(x.tokens, y.tokens)) >= {percent} * (x.n + y.n)"
+        return stored(_joined(left, sets, ["n", "tokens"], same), f"{name}-links")
 
     tested = None
     for k in range(ROUNDS):
-        # lists that still hold more than one label
         now = lists.join(labels, "cid")
-        crossing = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        now = now.join(crossing.select("token"), "token")
-        leaders = now.groupBy("token").agg(F.array(*(
-            F.min(F.struct(F.xxhash64("cid", F.lit(LEADERS * k + i)).alias("h"), F.col("cid"), F.col("label"), F.col("n")))
-            for i in range(LEADERS))).alias("leader")).select("token", F.explode(F.array_distinct("leader")).alias("lead"))
-        pairs = (now.join(leaders, "token").where("label <> lead.label")
+        leader = [F.min(F.struct(F.xxhash64("cid", F.lit(LEADERS * k + i)).alias("h"), "cid", "label", "n")) for i in range(LEADERS)]
+        groups = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.transform(
+            F.array(*leader), lambda s: s.dropFields("h"))).alias("leaders")).where("low <> high").drop("low", "high")
+        now = stored(now.join(groups, "token"), f"jaccard-round{k}")
+        pairs = (now.select("cid", "label", "n", F.explode("leaders").alias("lead")).where("label <> lead.label")
                  .where(f"{percent} * greatest(n, lead.n) <= 100 * least(n, lead.n)")
                  .select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct())
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, f"jaccard-pairs{k}")
-        if pairs.isEmpty():
-            break
-        labels = _relabel(labels, stored(_verified(pairs, sets, percent), f"jaccard-links{k}"), f"jaccard{k}")
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"jaccard-pairs{k}")
+        labels = _relabel(labels, links(pairs, f"jaccard{k}"), f"jaccard{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        # a leader has now met all of its list: it leaves
+        lists = now.where(~F.exists("leaders", lambda s: s["cid"] == F.col("cid"))).select("token", "cid", "n", "pos")
 
-    # what is left: pairs of different labels with a common list, each at its first common token only
+    # what is left: pairs of different labels, each at its first common token only
     now = lists.join(labels, "cid")
-    sizes = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
-    now = now.join(sizes.where("low <> high").select("token", "least"), "token")
+    groups = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+    now = now.join(groups.where("low <> high").select("token", "least"), "token")
     now = stored(now.where(f"{100 + percent} * (n - pos) >= {percent} * (n + least)").select("token", "cid", "label"), "jaccard-rest")
-    if not now.isEmpty():
-        own = now.join(_within(sets, "cid", now.select("cid")).dropDuplicates(["cid"]), "cid")
-        # the side with the smaller component in a list is the one that is compared with the others
-        side = own.select("token", F.struct("cid", "label", "n", "tokens", "p1", "p2", "p3").alias("x"))
-        links = side.join(side.select("token", F.col("x").alias("y")), "token").where(
-            "x.cid < y.cid and x.label <> y.label"
-            f" and {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-            " and element_at(array_intersect(x.p1, y.p1), 1) = token and " + _similar(percent))
-        links = stored(links.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")), "jaccard-last")
-        labels = _relabel(labels, links, "jaccard-end")
-    return rows, labels
+    own = _within(prefixes, "cid", now.select("cid")).dropDuplicates(["cid"])
+    side = now.join(own, "cid").select("token", F.struct("cid", "label", "n", "p1", "p2", "p3").alias("x"))
+    pairs = side.join(side.select("token", F.col("x").alias("y")), "token").where(
+        "x.cid < y.cid and x.label <> y.label"
+        f" and {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
+        f" and element_at(array_intersect(x.p1, y.p1), 1) = token and {ORDERS}")
+    pairs = stored(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).join(tested, ["a", "b"], "left_anti"), "jaccard-last")
+    return rows, _relabel(labels, links(pairs, "jaccard-end", True), "jaccard-end")
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id",
