@@ -20,15 +20,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import U64, connected_components, mix, stored, texts_of, window_hashes, word_codes, word_hashes
 
 WIDTH = 5
 PERCENT = 80
-HEAVY = 1 << 20    # shingles known as frequent at most (they only sort last in the first order)
+HEAVY = 1 << 22    # shingles known as frequent at most (they only sort last in the first order)
 BUCKETS = 1 << 20  # ids are hashed to so many buckets for the broadcast filters
+KEY_BITS = 48      # of a shingle hash; with the text's number above it sorts as one integer
+SLICE = 1 << 16    # texts handled together
 LEADERS = 4        # of a posting list, in each round
 ROUNDS = 3
 
@@ -36,7 +38,7 @@ ROUNDS = 3
 # ---------------------------------------------------------------- shingle sets of a batch
 
 def shingles(texts: pa.Array, width: int = WIDTH):
-    """Distinct shingles of each text: (text numbers, hashes), sorted by both.
+    """Distinct shingles of each of at most ``SLICE`` texts: (text numbers, hashes of ``KEY_BITS``), sorted by both.
 
     Letters A-Z count as a-z. A text with fewer words than ``width`` has its
     whole sequence as one shingle, a text without words none.
@@ -52,11 +54,17 @@ def shingles(texts: pa.Array, width: int = WIDTH):
     if len(short):
         whole = [mix(window_hashes(hashes[starts[i]:starts[i + 1]], int(n[i])) ^ U64(int(n[i])))[0] for i in short]
         owner, keys = np.concatenate([owner, short]), np.concatenate([keys, np.array(whole, U64)])
-    order = np.lexsort((keys, owner))
-    owner, keys = owner[order], keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
-    return owner[new], keys[new]
+    keys = keys >> U64(64 - KEY_BITS)
+    both = np.sort((owner.astype(U64) << U64(KEY_BITS)) | keys)
+    both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+    return (both >> U64(KEY_BITS)).astype(np.int64), both & U64((1 << KEY_BITS) - 1)
+
+
+def ranked(owner: np.ndarray, ranks: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ``size[i]`` smallest ranks of each text ``i``, in order; owners are sorted."""
+    both = np.sort((owner.astype(U64) << U64(KEY_BITS)) | ranks)
+    first = np.searchsorted(owner, np.arange(len(size)))
+    return both[np.arange(len(both)) - first[owner] < size[owner]]
 
 
 def class_ids(owner: np.ndarray, keys: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +84,8 @@ def prefix_length(n, percent: int):
 
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(0))
+        for batch in _slices(batches):
+            texts = texts_of(pa.concat_arrays([batch.column(0)]))
             owner, keys = shingles(texts, width)
             n, cid = class_ids(owner, keys, len(texts))
             ids = batch.column(1)
@@ -116,35 +124,43 @@ def frequent_shingles(signatures: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], table.column("rank").to_numpy()[order].astype(np.uint8)
 
 
-def _orders(keys: np.ndarray, heavy) -> list[np.ndarray]:
-    """Sort keys of the tokens under the three global orders."""
+def _first_order(keys: np.ndarray, heavy) -> np.ndarray:
+    """Rank under the first order, which is also the token's name: six bits of its frequency, then a hash."""
     have, rank = heavy
-    first = mix(keys) >> U64(6)
+    out = mix(keys) >> U64(64 - KEY_BITS + 6)
     if len(have):
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        first |= np.where(have[at] == keys, rank[at], 0).astype(U64) << U64(58)
-    return [first, mix(keys ^ U64(0xA0761D6478BD642F)), mix(keys ^ U64(0xE7037ED1A0B428DB))]
+        out |= np.where(have[at] == keys, rank[at], 0).astype(U64) << U64(KEY_BITS - 6)
+    return out
+
+
+def _random_order(keys: np.ndarray, salt: int) -> np.ndarray:
+    return mix(keys ^ U64(salt)) >> U64(64 - KEY_BITS)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            yield batch.slice(low, SLICE)
 
 
 def _postings(width: int, percent: int, shared):
     """(token, cid, n, pos): prefix tokens of each set under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(0))
+        for batch in _slices(batches):
+            texts = texts_of(pa.concat_arrays([batch.column(0)]))
             owner, keys = shingles(texts, width)
             n, cid = class_ids(owner, keys, len(texts))
             _, first = np.unique(cid, return_index=True)
-            own = np.isin(owner, first)
-            owner, keys = owner[own], keys[own]
-            order = np.lexsort((_orders(keys, shared.value)[0], owner))
-            owner, keys = owner[order], keys[order]
-            start = np.searchsorted(owner, np.arange(len(texts)))
-            pos = np.arange(len(owner)) - start[owner]
-            mine = pos < prefix_length(n, percent)[owner]
-            owner, keys, pos = owner[mine], keys[mine], pos[mine]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(cid[owner]), pa.array(n[owner].astype(np.int32)),
-                                              pa.array(pos.astype(np.int32))], names=["token", "cid", "n", "pos"])
+            size = np.zeros(len(n), np.int64)
+            size[first] = np.where(n[first] > 0, prefix_length(n[first], percent), 0)
+            both = ranked(owner, _first_order(keys, shared.value), size)
+            owner = (both >> U64(KEY_BITS)).astype(np.int64)
+            pos = np.arange(len(both)) - np.searchsorted(owner, np.arange(len(n)))[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((both & U64((1 << KEY_BITS) - 1)).view(np.int64)), pa.array(cid[owner]), pa.array(n[owner].astype(np.int32)),
+                 pa.array(pos.astype(np.int32))], names=["token", "cid", "n", "pos"])
     return run
 
 
@@ -152,22 +168,22 @@ def _sets(width: int, percent: int, shared, whole: bool):
     """(cid, n, tokens) with the whole sets, or (cid, n, p1, p2, p3) with the prefixes under the three orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch.column(0))
+        for batch in _slices(batches):
+            texts = texts_of(pa.concat_arrays([batch.column(0)]))
             owner, keys = shingles(texts, width)
             n, cid = class_ids(owner, keys, len(texts))
-            edge = np.searchsorted(owner, np.arange(len(texts) + 1))
             if whole:
-                names, parts = ["tokens"], [pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys.view(np.int64)))]
+                names, starts = ["tokens"], np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                parts = [pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.view(np.int64)))]
             else:
                 names, parts = ["p1", "p2", "p3"], []
                 size = np.where(n > 0, prefix_length(n, percent), 0)
                 starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                for k, rank in enumerate(_orders(keys, shared.value)):
-                    order = np.lexsort((rank, owner))
-                    own = keys[order][(np.arange(len(owner)) - edge[owner]) < size[owner]]
-                    # 32 bits are enough for the random orders: a collision only lets a candidate through
-                    own = own.view(np.int64) if k == 0 else (own >> U64(32)).astype(np.uint32).view(np.int32)
+                low = U64((1 << KEY_BITS) - 1)
+                for k, ranks in enumerate((_first_order(keys, shared.value), _random_order(keys, 0xA0761D64), _random_order(keys, 0xE7037ED1))):
+                    own = ranked(owner, ranks, size) & low
+                    # 31 bits are enough for the random orders: a collision only lets a candidate through
+                    own = own.view(np.int64) if k == 0 else (own >> U64(KEY_BITS - 31)).astype(np.int32)
                     parts.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(own)))
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n.astype(np.int32)), *parts],
                                              names=["cid", "n", *names]).filter(pa.array(n > 0))
@@ -181,13 +197,27 @@ def _within(frame: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     return frame.withColumn("_bucket", bucket(F.col(col))).join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket")
 
 
-ORDERS = "arrays_overlap(x.p2, y.p2) and arrays_overlap(x.p3, y.p3)"  # the second and third filter; sides x and y
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+
+
+def orders_pass(percent: int) -> str:
+    """The filters of the second and third order, on sides x and y.
+
+    Both prefixes must share a token. Beyond that, below the smaller of the two
+    last ranks both prefixes are complete, so the tokens there that only one
+    side has are part of the difference of the sets, which is bounded.
+    """
+    def part(p: str) -> str:
+        own = [f"filter({s}.{p}, t -> t < least(element_at(x.{p}, -1), element_at(y.{p}, -1)))" for s in "xy"]
+        return (f"arrays_overlap(x.{p}, y.{p}) and {100 + percent} * (size(array_union({own[0]}, {own[1]})) - size(array_intersect({own[0]}, {own[1]})))"
+                f" <= {100 - percent} * (x.n + y.n)")
+    return f"{part('p2')} and {part('p3')}"
 
 
 def _joined(pairs: DataFrame, table: DataFrame, columns: list[str], condition: str) -> DataFrame:
     """Pairs (a, b) whose rows of a table of classes meet a condition on x and y."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-    own = _within(table, "cid", ids)
+    own = _within(table, "cid", _ends(pairs))
     x = pairs.join(own, pairs["a"] == own["cid"]).select("a", "b", F.struct(*columns).alias("x"))
     y = own.select(F.col("cid").alias("b"), F.struct(*columns).alias("y"))
     return x.join(y, "b").where(condition).select("a", "b").distinct()
@@ -216,18 +246,21 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     named = source.where("id is not null")
 
     postings = named.mapInArrow(_postings(width, percent, heavy), "token long, cid long, n int, pos int").repartition("token")
-    spread = postings.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low <> high")
-    lists = stored(postings.join(spread.select("token"), "token").distinct(), "jaccard-lists")
+    own = Window.partitionBy("token")  # one shuffle of the postings; the lists of one class go
+    lists = stored(postings.select("*", F.min("cid").over(own).alias("low"), F.max("cid").over(own).alias("high"))
+                   .where("low <> high").drop("low", "high").distinct(), "jaccard-lists")
     labels = stored(lists.select("cid", F.col("cid").alias("label")).distinct(), "jaccard-labels")
     first = rows.where("id is not null and n > 0").groupBy("cid").agg(F.min("id").alias("id"))
     first = stored(first.join(labels.select("cid"), "cid", "left_semi"), "jaccard-first")
     prefixes = stored(_within(named, "id", first).mapInArrow(
         _sets(width, percent, heavy, False), "cid long, n int, p1 array<long>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
 
+    orders = orders_pass(percent)
+
     def links(pairs: DataFrame, name: str, filtered: bool = False) -> DataFrame:
         """The similar ones of some pairs: second and third order first, then whole sets, read for what is left."""
-        left = pairs if filtered else stored(_joined(pairs, prefixes, ["p2", "p3"], ORDERS), f"{name}-left")
-        ids = left.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        left = pairs if filtered else stored(_joined(pairs, prefixes, ["n", "p2", "p3"], orders), f"{name}-left")
+        ids = _ends(left).distinct()
         texts = _within(named, "id", first.join(ids, "cid", "left_semi"))
         sets = stored(texts.mapInArrow(_sets(width, percent, heavy, True), "cid long, n int, tokens array<long>"), f"{name}-sets")
         same = f"{100 + percent} * size(array_intersect(x.tokens, y.tokens)) >= {percent} * (x.n + y.n)"
@@ -259,7 +292,7 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     pairs = side.join(side.select("token", F.col("x").alias("y")), "token").where(
         "x.cid < y.cid and x.label <> y.label"
         f" and {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-        f" and element_at(array_intersect(x.p1, y.p1), 1) = token and {ORDERS}")
+        f" and element_at(array_intersect(x.p1, y.p1), 1) = token and {orders}")
     pairs = stored(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).join(tested, ["a", "b"], "left_anti"), "jaccard-last")
     return rows, _relabel(labels, links(pairs, "jaccard-end", True), "jaccard-end")
 
@@ -270,7 +303,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
 
     ``component_id`` is the smallest id reachable over links of
     ``percent`` / 100 or more Jaccard similarity between the sets of distinct
-    ``width``-word shingles. The result is exact up to collisions of 64-bit
+    ``width``-word shingles. The result is exact up to collisions of 48-bit
     hashes: no candidate is dropped, whatever the size of a list or a group.
 
     Null, empty and wordless texts have the empty set and are linked with
