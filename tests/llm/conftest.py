@@ -1,0 +1,8 @@
+import pytest
+
+from outagelens.llm._common import ship
+
+
+@pytest.fixture(scope="session")
+def llm(spark):
+    return ship(spark)
