@@ -14,6 +14,7 @@ stay short, and these are cut to powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,10 @@ from ._common import texts_of, word_codes
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 2048, 64, 2048
 POOL = 1024        # pieces that wait in a task before bins are opened
 MIN_CUT = 32       # gaps smaller than this are left as padding
-WORD_CACHE = 1_000_000  # distinct words a Python worker remembers; beyond it the memory starts anew
+WORD_CACHE = 1_300_000  # distinct words a Python worker remembers; beyond it the memory starts anew
+
+#: letters and the signs after them, which this tokenizer always parts; apostrophes (contractions), digits and < are left out
+_SIGNED = re.compile(r"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 _coders: dict[str, "WordCoder"] = {}
 
@@ -58,7 +62,10 @@ class WordCoder:
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the words, one after another."""
-        odd = [i for i, w in enumerate(words) if self.mark is None or self.MARK in w or "<|" in w]
+        together = " ".join(words)
+        odd = []
+        if self.mark is None or self.MARK in together or "<|" in together:
+            odd = [i for i, w in enumerate(words) if self.mark is None or self.MARK in w or "<|" in w]
         special = set(odd)
         plain = [w for i, w in enumerate(words) if i not in special]
         lengths, ids = [], []
@@ -91,17 +98,37 @@ class WordCoder:
         names = words.to_pylist()
         if len(self.index) + len(names) > WORD_CACHE:
             self.clear()
-        new = [w for w in names if w not in self.index]
-        if new:
-            n, flat = self._encode(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.lengths, self.flat = np.concatenate([self.lengths, n]), np.concatenate([self.flat, flat])
-        first = np.cumsum(self.lengths) - self.lengths
+        whole, parted = {}, {}
+        for w in names:
+            if w not in self.index:
+                m = _SIGNED.fullmatch(w) if w.isascii() else None
+                if m and (m[2] or not w.islower()):
+                    parted[w] = parts = (m[1].lower(), *filter(None, m.groups()[1:]))
+                    whole.update((x, None) for x in parts if x not in self.index)
+                else:
+                    whole[w] = None
+        if whole:
+            self._learn(list(whole), *self._encode(list(whole)))
+        if parted := {w: parts for w, parts in parted.items() if w not in self.index}:
+            k = np.array([len(parts) for parts in parted.values()])
+            place = np.array([self.index[x] for parts in parted.values() for x in parts], np.int64)
+            edge = np.concatenate([[0], np.cumsum(self.lengths[place])])
+            at = np.concatenate([[0], np.cumsum(k)])
+            self._learn(list(parted), edge[at[1:]] - edge[at[:-1]], self._ids(place, edge))
         place = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[codes] if names else codes
-        n = self.lengths[place]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(first[place] - before[:-1], n) + np.arange(before[-1])]
-        return before[starts], ids
+        before = np.concatenate([[0], np.cumsum(self.lengths[place])])
+        return before[starts], self._ids(place, before)
+
+    def _learn(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+
+    def _ids(self, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Ids of the words at some places, in a row; ``edge``: where each begins."""
+        first = np.cumsum(self.lengths) - self.lengths
+        at = np.repeat((first[place] - edge[:-1]).astype(np.int32), self.lengths[place])
+        at += np.arange(edge[-1], dtype=np.int32)
+        return self.flat.take(at)
 
 
 def coder(path: str) -> WordCoder:
