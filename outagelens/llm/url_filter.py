@@ -112,21 +112,21 @@ def bounded_counts(counts: DataFrame, word: str, most: int = VOCABULARY) -> Data
     return counts.where(rank >= least).select(word, "c")
 
 
-def word_counts(pages: DataFrame, url_col: str, text_col: str) -> DataFrame:
-    """(word, c): words of ASCII letters, 2 to ``LONGEST`` of them, in the visible text and the urls of all pages."""
+def word_counts(pages: DataFrame, text_col: str) -> DataFrame:
+    """(word, c): words of ASCII letters, 2 to ``LONGEST`` of them, in the visible text of all pages (not in the urls,
+    whose run-together names would count as words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html = pc.replace_substring_regex(texts_of(batch.column(1)), r"<[^>]*>", " ")
-            lists = pc.split_pattern_regex(pc.ascii_lower(pc.binary_join_element_wise(html, texts_of(batch.column(0)), pa.scalar(" ", pa.large_string()))),
-                                           r"[^a-z]+")
+            html = pc.replace_substring_regex(texts_of(batch.column(0)), r"<[^>]*>", " ")
+            lists = pc.split_pattern_regex(pc.ascii_lower(html), r"[^a-z]+")
             found = lists.flatten().value_counts()
             words, c = found.field(0), found.field(1)
             n = pc.utf8_length(words)
             mine = pc.and_(pc.greater_equal(n, 2), pc.less_equal(n, LONGEST))
             yield pa.RecordBatch.from_arrays([words.filter(mine).cast(pa.string()), c.filter(mine).cast(pa.int64())], names=["word", "c"])
 
-    return (pages.select(url_col, text_col).mapInArrow(run, "word string, c long")
+    return (pages.select(text_col).mapInArrow(run, "word string, c long")
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
@@ -163,7 +163,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     sc = pages.sparkSession.sparkContext
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    words = bounded_counts(stored(word_counts(pages, url_col, text_col), "url-words"), "word").toArrow()
+    words = bounded_counts(stored(word_counts(pages, text_col), "url-words"), "word").toArrow()
     unigrams = sc.broadcast(dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist())))
     seeds = {f"h:{w}" for w in SEEDS}
 
