@@ -121,7 +121,7 @@ def test_secret_battery(llm):
     rng = random.Random(5)
     alphabet = secret_scan.ENCODINGS["base62"]
     keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(40)]
-    words = ["internationalisation" * 2, "abcdefghijklmnopqrstuvwxyz", "a" * 50, "someVeryLongCamelCaseFunctionName", "thismethodreturnsthenumberofelements"]
+    words = ["internationalisation" * 2, "abcdefghijklmnopqrstuvwxyz", "z" * 50, "someVeryLongCamelCaseFunctionName", "thismethodreturnsthenumberofelements"]
     # not a pangram: its letters are uniform by construction, which is what the battery looks for
     texts = [f"The value of the long setting is {k} in the usual file of this page." for k in keys + words * 20]
     frame = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
