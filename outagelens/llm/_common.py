@@ -78,6 +78,18 @@ def texts_of(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def text_slices(batches, limit: int = 6 << 20):
+    """Record batches cut so that the texts of their first column have about ``limit`` bytes, which bounds what a task holds."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            done = sizes[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(sizes, done + limit, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def word_codes(texts: pa.Array):
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text.
 
