@@ -18,6 +18,11 @@ SF = "/root/testdata/sf0.001"
 ODD = [None, "", "  \n\t ", "one", "a  b ", "x<|endoftext|>y 'S DON'T", "é́ ≠ 日本　語 \x01 \xa0 x", "end\n", "word, " * 3000, "same text here", "same text here"]
 
 
+@pytest.fixture(scope="session")
+def llm(spark):
+    return _common.ship(spark)
+
+
 @pytest.fixture(scope="module")
 def docs(llm):
     """The small table, odd rows, a null id, a repeated row and extra columns with names that operators use."""

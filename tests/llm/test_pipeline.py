@@ -3,7 +3,7 @@
 import corpus_pipeline as P
 from outagelens.llm import queries
 
-from test_operators import SF, brute_jaccard
+from test_operators import SF, brute_jaccard, llm  # noqa: F401 - a fixture
 
 
 def test_stages(llm):
