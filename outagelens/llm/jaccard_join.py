@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U64, connected_components, mix, stored, texts_of, window_hashes, word_codes, word_hashes
+from ._common import U64, connected_components, mix, stored, text_slices, texts_of, window_hashes, word_codes, word_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -31,6 +31,7 @@ HEAVY = 1 << 22    # shingles known as frequent at most (they only sort last in
 BUCKETS = 1 << 20  # ids are hashed to so many buckets for the broadcast filters
 KEY_BITS = 48      # of a shingle hash; with the text's number above it sorts as one integer
 SLICE = 1 << 16    # texts handled together
+SLICE_BYTES = 8 << 20
 LEADERS = 4        # of a posting list, in each round
 ROUNDS = 3
 
@@ -139,7 +140,8 @@ def _random_order(keys: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    """At most ``SLICE`` texts of some ``SLICE_BYTES`` together, which bounds what a task holds."""
+    for batch in text_slices(batches, SLICE_BYTES):
         for low in range(0, batch.num_rows, SLICE):
             yield batch.slice(low, SLICE)
 
