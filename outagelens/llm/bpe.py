@@ -184,7 +184,7 @@ def _words(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts")):
                 _, _, words = split_words(_unpack(texts.as_py()))
                 rows = [(b, _ipc(words.take(pa.array(at)))) for b, at in enumerate(_in_buckets(words, buckets)) if len(at)]
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +236,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     buckets = max(16, min(n, 4096))
     blocks = docs.select(F.col(text_col), F.col(id_col).cast("long")).mapInArrow(
         _blocks(block_bytes), "block long, ids binary, texts binary").repartition(n, "block")
-    words = blocks.select("block", "texts").mapInArrow(_words(buckets), "bucket int, block long, words binary")
+    # all columns of the blocks, so that both readers share one exchange
+    words = blocks.mapInArrow(_words(buckets), "bucket int, block long, words binary")
     coded = words.groupBy("bucket").applyInArrow(
         _encode_bucket(tokenizer_path), "block long, bucket int, words long, lengths binary, ids binary")
 
