@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import texts_of, word_hashes
 
-BLOCK_BYTES = 32 << 20     # text of a block
+BLOCK_BYTES = 16 << 20     # text of a block
 
 #: a space that a further space, another white space or the end follows: such texts are split one by one
 _UNSAFE = r" [\s\p{Z}\x{1c}-\x{1f}\x{85}]| $"
@@ -246,11 +246,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
         parts = []
         pieces = _pieces(tokenizer_path)
+        got = {r["bucket"]: r for r in right.to_pylist()}
         for row in left.to_pylist():
             texts = _unpack(row["texts"])
             starts, codes, words = split_words(texts)
             lengths, flat = [None] * len(words), [None] * len(words)
-            got = {r["bucket"]: r for r in right.to_pylist()}
             for b, at in enumerate(_in_buckets(words, buckets)):
                 if not len(at):
                     continue
@@ -265,12 +265,13 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             decoded = [b"".join([pieces[i] for i in x.tolist()]) for x in flat]
             n_of = np.array(lengths, np.int64) if len(words) else np.zeros(0, np.int64)
             total = np.concatenate([[0], np.cumsum(n_of[codes])]) if len(codes) else np.zeros(1, np.int64)
-            codes_list, s = codes.tolist(), starts.tolist()
-            out_ids = [",".join([shown[c] for c in codes_list[a:b]]) for a, b in zip(s, s[1:])]
-            out_text = [b"".join([decoded[c] for c in codes_list[a:b]]) for a, b in zip(s, s[1:])]
+            del lengths, flat
+            s = starts.tolist()
+            out_ids = pa.array((",".join([shown[c] for c in codes[a:b].tolist()]) for a, b in zip(s, s[1:])), pa.string())
+            out_text = pa.array((b"".join([decoded[c] for c in codes[a:b].tolist()]) for a, b in zip(s, s[1:])), pa.binary())
             parts.append(pa.Table.from_arrays(
                 [_unpack(row["ids"]), pa.array(total[starts[1:]] - total[starts[:-1]]),
-                 pa.array(out_ids, pa.string()), pa.array(out_text, pa.binary())], schema=schema))
+                 out_ids, out_text], schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     found = blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(
