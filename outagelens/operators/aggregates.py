@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.mathx import rnd
 from .quantiles import quantile_columns
@@ -89,46 +92,50 @@ def profile(df: DataFrame) -> DataFrame:
         F.sum(F.when(missing == 0, 1).otherwise(0)).cast("long").alias("complete_rows"))
 
 
-# Largest group that one window task may sort; above it the distributed plan runs.
-MAX_WINDOW_GROUP_ROWS = 5_000_000
-
-
 def lag_same_key(df: DataFrame, key: str, order: list[str], col: str, out: str,
-                 partitions: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+                 partitions: int | None = None) -> DataFrame:
     """Previous row's ``col`` when it belongs to the same key (in
     ``order``, a total order), else the row's own value.
 
-    The size of the largest key is measured first (one aggregate); when it
-    fits one task the plain window runs.  Otherwise the distributed lag:
-    rows are range-partitioned by (key, order) and
-    checkpointed; the lag is taken inside each partition's slice of a key,
-    and the first row of a slice takes the last value of the key's previous
-    slice (a table of at most partitions x keys rows).  A key holding a third
-    of all rows is spread over many partitions."""
-    limit = MAX_WINDOW_GROUP_ROWS if max_group_rows is None else max_group_rows
-    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0  # one number
-    if largest <= limit:
-        # every key fits one task: the plain window plan is cheaper
-        w = Window.partitionBy(key).orderBy(*order)
-        prev = F.lag(col).over(w)
-        return df.withColumn(out, F.when(F.row_number().over(w) > 1, prev).otherwise(F.col(col)))
-    from ..session import checkpoint_dir
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    keys = [key] + list(order)
-    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
-    ordered = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", key).orderBy(*order)
-    local = tagged.withColumns({"_prev": F.lag(col).over(w), "_pos": F.row_number().over(w)})
-    last = tagged.groupBy("_pid", key).agg(F.max_by(col, F.struct(*order)).alias("_last"))
-    ws = Window.partitionBy(key).orderBy("_pid")
-    carry = last.select("_pid", key, F.lag("_last").over(ws).alias("_carry"),
-                        (F.row_number().over(ws) > 1).alias("_has_prev"))
-    from .frames import join_null_safe
-    j = join_null_safe(local, carry, ["_pid", key])  # a NULL key is a key too
-    value = F.when(F.col("_pos") > 1, F.col("_prev")).when(F.col("_has_prev"), F.col("_carry")).otherwise(F.col(col))
-    return j.withColumn(out, value).drop("_pid", "_prev", "_pos", "_carry", "_has_prev")
+    Rows are range-partitioned by (key, order) and checkpointed; the lag is
+    taken inside each partition, and the first row of a partition takes the
+    last value of the one before when that has the same key (one row per
+    partition, broadcast).  A key holding a third of all rows is spread over
+    many partitions; the plan is the same at every size.  A NULL key is a
+    key too."""
+    from .frames import follows_previous, partition_edges, run_starts, sorted_slices
+    slices = sorted_slices(df, [key, *order], partitions)
+    kind = df.schema[col].dataType
+    schema = T.StructType([*slices.schema.fields, T.StructField("_prev", kind), T.StructField("_starts", T.BooleanType()),
+                           T.StructField("_first", T.BooleanType())])
+
+    def run(batches):
+        before = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(col)
+            ahead = pa.nulls(1, own.type) if before is None else before.column(col)
+            first = np.zeros(batch.num_rows, dtype=bool)
+            first[0] = before is None
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.concat_arrays([ahead, own]).slice(0, batch.num_rows),
+                 pa.array(run_starts(batch, ["_pid", key], before)), pa.array(first)], names=schema.names)
+            before = batch.slice(batch.num_rows - 1, 1)
+
+    def tails(batches):
+        last = None
+        for batch in batches:
+            last = batch.column(col).slice(batch.num_rows - 1, 1)
+        return [last]
+
+    edges = partition_edges(slices.select(*dict.fromkeys(["_pid", key, col])), [key], tails, [kind])
+    w = Window.orderBy("_pid")
+    carry = edges.select("_pid", follows_previous([key]).alias("_has_prev"), F.lag("_s0").over(w).alias("_carry"))
+    j = slices.mapInArrow(run, schema).join(F.broadcast(carry), "_pid")
+    value = F.when(~F.col("_starts"), F.col("_prev")).when(F.col("_first") & F.col("_has_prev"), F.col("_carry")) \
+        .otherwise(F.col(col))
+    return j.withColumn(out, value).drop("_pid", "_prev", "_starts", "_first", "_carry", "_has_prev")
 
 
 def crosstab_wide(df: DataFrame, a: str, b: str, levels_b: list[str], total_label: str = "Total") -> DataFrame:

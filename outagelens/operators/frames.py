@@ -16,8 +16,13 @@ from __future__ import annotations
 from functools import reduce
 from typing import Iterable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import uniform
 
@@ -81,12 +86,12 @@ def top_n_with_ties(df: DataFrame, group: list[str], value: str, n: int, desc: b
     rank = 1 + rows strictly before the value: distinct values per group are
     counted (partial aggregation), numbered with the distributed running
     totals, and joined back - no window holds a whole group.  NULL values
-    rank last, as in R."""
+    rank last and tie with each other: a group with fewer than ``n`` values
+    keeps its NULL rows."""
     g = list(group or [])
-    vals = df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).alias("_v")) \
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-    vals = vals.withColumn("_ov", -F.col("_v") if desc else F.col("_v"))
-    rt = running_totals(vals, ["_ov"], {"_cum": F.col("_cnt")}, group=g)
+    vals = df.groupBy(*g, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_cnt"))
+    vals = vals.withColumns({"_nl": F.col("_v").isNull(), "_ov": -F.col("_v") if desc else F.col("_v")})
+    rt = running_totals(vals, ["_nl", "_ov"], {"_cum": F.col("_cnt")}, group=g)
     keep = rt.filter(F.col("_cum") - F.col("_cnt") + 1 <= n).select(*g, "_v")
     return join_null_safe(df.withColumn("_v", F.col(value)), keep, [*g, "_v"]).drop("_v")
 
@@ -158,33 +163,132 @@ def bind_rows_id(frames: dict[str, DataFrame], id_col: str) -> DataFrame:
     return bind_rows(*[df.select(F.lit(k).alias(id_col), *df.columns) for k, df in frames.items()])
 
 
+def sorted_slices(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by ``keys``, pinned by a reliable
+    checkpoint, with the partition number as ``_pid``.  Without an explicit
+    count AQE may merge adjacent (still ordered) partitions."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys).checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
+
+
+def run_starts(batch: pa.RecordBatch, names: list[str], before: pa.RecordBatch | None) -> np.ndarray:
+    """True where a row's keys differ from the row before it (``before``: the
+    row ahead of the batch; without one, the first row starts a run).  NULL
+    equals NULL and NaN equals NaN, as in a Spark grouping."""
+    starts = np.zeros(batch.num_rows, dtype=bool)
+    for name in names:
+        col = batch.column(name)
+        if before is not None:
+            col = pa.concat_arrays([before.column(name), col])
+        left, right = col.slice(0, len(col) - 1), col.slice(1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(left, right), False), pc.xor(left.is_null(), right.is_null()))
+        if pa.types.is_floating(col.type):
+            nans = pc.and_(pc.fill_null(pc.is_nan(left), False), pc.fill_null(pc.is_nan(right), False))
+            differ = pc.and_(differ, pc.invert(nans))
+        starts[len(starts) - len(differ):] |= differ.to_numpy(zero_copy_only=False)
+    if before is None:
+        starts[0] = True
+    return starts
+
+
+def partition_edges(slices: DataFrame, group: list[str], tails, types: list[T.DataType]) -> DataFrame:
+    """One row per non-empty partition: ``_pid``, the group of its first row
+    (``_h0``...) and of its last row (``_t0``...), and what ``tails(batches)``
+    finds for the last run (``_s0``... of ``types``)."""
+    kinds = [slices.schema[g].dataType for g in group]
+    fields = ([T.StructField("_pid", T.IntegerType())]
+              + [T.StructField(f"_{side}{i}", k) for side in "ht" for i, k in enumerate(kinds)]
+              + [T.StructField(f"_s{i}", k) for i, k in enumerate(types)])
+
+    def run(batches):
+        ends = []
+
+        def watched():
+            for batch in batches:
+                if batch.num_rows:
+                    ends[:] = [ends[0] if ends else batch.slice(0, 1), batch.slice(batch.num_rows - 1, 1)]
+                    yield batch
+
+        found = tails(watched())
+        if ends:
+            cols = [ends[0].column("_pid")] + [e.column(g) for e in ends for g in group]
+            yield pa.RecordBatch.from_arrays([*cols, *found], names=[f.name for f in fields])
+
+    return slices.mapInArrow(run, T.StructType(fields))
+
+
+def follows_previous(group: list[str]) -> Column:
+    """On ``partition_edges`` rows: the first group of a partition is the last
+    group of the partition before.  The window is over one row per partition."""
+    w = Window.orderBy("_pid")
+    same = [F.lag(f"_t{i}").over(w).eqNullSafe(F.col(f"_h{i}")) for i in range(len(group))]
+    return reduce(lambda a, b: a & b, same, F.lag("_pid").over(w).isNotNull())
+
+
+def _run_sums(batches, names: list[str], values: list[str]):
+    """(batch, run number, running sums) per batch, the sums restarting with each run of equal keys."""
+    before, runs, acc = None, 0, [0] * len(values)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        local = np.cumsum(run_starts(batch, names, before))
+        sums = []
+        for i, v in enumerate(values):
+            x = pc.fill_null(batch.column(v), 0).to_numpy(zero_copy_only=False)
+            c = pd.Series(x).groupby(local).cumsum().to_numpy()
+            c = c + np.where(local == 0, acc[i], np.zeros(1, x.dtype))
+            acc[i] = c[-1]
+            sums.append(c)
+        yield batch, runs + local, sums
+        runs, before = runs + int(local[-1]), batch.slice(batch.num_rows - 1, 1)
+
+
 def running_totals(df: DataFrame, order: list[str], sums: dict[str, Column], group: list[str] | None = None,
                    partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` in ``order`` within ``group``.
 
-    Two-pass prefix sum: range-partition by (group, order), checkpoint,
-    running sums inside each partition, then add the totals of earlier
-    partitions of the same group (a table of at most partitions x groups
-    rows).  No window ever holds a whole group."""
+    One shuffle of the data: rows are range-partitioned by (group, order) and
+    checkpointed, so groups are contiguous and only the group at the head of
+    a partition can continue from earlier ones.  Each partition sums its own
+    runs in place (Arrow batches, no exchange); one carry row per partition
+    is broadcast and added to the head run.  No group is held by one task.
+
+    Integral sums are longs, others doubles; NULL counts as 0; a NULL group
+    is a group too."""
     group = list(group or [])
-    spark = df.sparkSession
-    keys = group + order
     base = df.withColumns({f"_v_{k}": v for k, v in sums.items()})
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
-    ranged = base.repartitionByRange(partitions, *keys) if partitions else base.repartitionByRange(*keys)
-    ordered = ranged.sortWithinPartitions(*keys).checkpoint(eager=True)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id())
-    w_local = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(w_local) for k in sums})
-    totals = tagged.groupBy("_pid", *group).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    w_prev = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if group \
-        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *group, *[F.coalesce(F.sum(f"_t_{k}").over(w_prev), F.lit(0)).alias(f"_o_{k}")
-                                              for k in sums])
-    out = join_null_safe(local, offsets, ["_pid", *group])  # a NULL group is a group too
-    out = out.withColumns({k: F.col(f"_c_{k}") + F.col(f"_o_{k}") for k in sums})
-    return out.drop("_pid", *[f"_{p}_{k}" for k in sums for p in ("v", "c", "o")])
+    values = [f"_v_{k}" for k in sums]
+    whole = {v: isinstance(base.schema[v].dataType, T.IntegralType) for v in values}
+    base = base.withColumns({v: F.col(v).cast("long" if whole[v] else "double") for v in values})
+    slices = sorted_slices(base, group + order, partitions)
+    kinds = [slices.schema[v].dataType for v in values]
+    names = ["_pid", *group]
+
+    def tails(batches):
+        out = [np.zeros(1)] * len(values)
+        for _, _, found in _run_sums(batches, names, values):
+            out = [c[-1:] for c in found]
+        return [pa.array(c) for c in out]
+
+    def run(batches):
+        for batch, runs, found in _run_sums(batches, names, values):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found), pa.array(runs == 1)], names=schema.names)
+
+    schema = T.StructType([*slices.schema.fields, *[T.StructField(f"_c{i}", k) for i, k in enumerate(kinds)],
+                           T.StructField("_head", T.BooleanType())])
+    edges = partition_edges(slices.select(*names, *values), group, tails, kinds)
+    upto = Window.partitionBy(*[f"_t{i}" for i in range(len(group))]).orderBy("_pid").rowsBetween(
+        Window.unboundedPreceding, 0)
+    edges = edges.withColumns({f"_u{i}": F.sum(f"_s{i}").over(upto) for i in range(len(values))})
+    w = Window.orderBy("_pid")
+    carry = edges.select("_pid", *[F.when(follows_previous(group), F.lag(f"_u{i}").over(w)).otherwise(0).alias(f"_o{i}")
+                                   for i in range(len(values))])
+    out = slices.mapInArrow(run, schema).join(F.broadcast(carry), "_pid")
+    out = out.withColumns({k: F.col(f"_c{i}") + F.when(F.col("_head"), F.col(f"_o{i}")).otherwise(0)
+                           for i, k in enumerate(sums)})
+    return out.drop("_pid", "_head", *values, *[f"_{p}{i}" for i in range(len(values)) for p in "co"])
 
 
 def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
@@ -33,7 +33,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     cum = cum.withColumn("_start", F.col("_end") - F.col("_c") + 1)
     sizes = cum.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("d")).first()  # two numbers
     if not sizes["n"]:
-        return df.sparkSession.createDataFrame([], ", ".join([f"`{b}` string" for b in by] + ["p double", "q double"]))
+        empty = [T.StructField(b, df.schema[b].dataType) for b in by]
+        return df.sparkSession.createDataFrame([], T.StructType([*empty, T.StructField("p", T.DoubleType()),
+                                                                 T.StructField("q", T.DoubleType())]))
     width = max(1, sizes["n"] // max(sizes["d"], 1))
     groups = cum.groupBy(*by).agg(F.min("_start").alias("_g0"), F.sum("_c").alias("_n"))
     targets = (groups.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))

@@ -19,11 +19,11 @@ from .registry import register
 
 
 @register("c01_upper", ids=("C1",), sql="SELECT doc_id, upper(lang) AS lang_u, upper(source) AS source_u, "
-          "upper(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) AS text_u FROM documents")
+          "replace(upper(replace(text, 'ß', chr(57344))), chr(57344), 'ß') AS text_u FROM documents")
 def c01(t: Tables) -> DataFrame:
     d = t.documents
     return d.select("doc_id", tx.upper("lang").alias("lang_u"), tx.upper("source").alias("source_u"),
-                    tx.upper(F.regexp_replace("text", "[^A-Za-z0-9 ]", "")).alias("text_u"))
+                    tx.upper_keep_sharp_s("text").alias("text_u"))
 
 
 @register("c02_trim_ws", ids=("C2",),
@@ -158,15 +158,15 @@ def d06(t: Tables) -> DataFrame:
 
 @register("d07_duration_identity", ids=("D7",),
           sql="WITH o AS (SELECT event_id, ts AS inicio, ts + to_seconds(CAST(round(value * 60) AS BIGINT)) AS fin, "
-              "value FROM events WHERE event_type = 'error') "
+              "value FROM events) "
               "SELECT event_id, date_diff('second', inicio, fin) AS secs, "
               "date_diff('second', inicio, fin) = CAST(round(value * 60) AS BIGINT) AS consistent FROM o")
 def d07(t: Tables) -> DataFrame:
-    from .standins import outages
-    o = outages(t)
+    e = t.events
+    length = F.round(F.col("value") * 60).cast("long")
+    o = e.select("event_id", "value", F.col("ts").alias("inicio"), F.timestamp_add("SECOND", length, F.col("ts")).alias("fin"))
     secs = dx.seconds_between("inicio", "fin")
-    return o.select(F.col("outage_id").alias("event_id"), secs.alias("secs"),
-                    (secs == F.round(F.col("minutos") * 60).cast("long")).alias("consistent"))
+    return o.select("event_id", secs.alias("secs"), (secs == length).alias("consistent"))
 
 
 # --------------------------------------------------------------- math M --
@@ -214,17 +214,20 @@ def m04(t: Tables) -> DataFrame:
               "CAST(-92.2 + ((c_custkey * 104729) % 3900) / 1000.0 AS DOUBLE) AS lon FROM customer), "
               "s AS (SELECT s_suppkey, CAST(13.7 + ((s_suppkey * 6151) % 4000) / 1000.0 AS DOUBLE) AS lat, "
               "CAST(-92.2 + ((s_suppkey * 3571) % 3900) / 1000.0 AS DOUBLE) AS lon FROM supplier) "
-              "SELECT c_custkey, s_suppkey, "
+              "SELECT l_orderkey, l_linenumber, c_custkey, s_suppkey, "
               + sq.rnd(mx.haversine_sql("c.lat", "c.lon", "s.lat", "s.lon"), 6)
-              + " AS km FROM c JOIN s ON c.c_custkey % 100 = s.s_suppkey")
+              + " AS km FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = c_custkey "
+              "JOIN s ON l_suppkey = s_suppkey")
 def m05(t: Tables) -> DataFrame:
+    """Distance from a ticket's origin site to each site it affects."""
     from .standins import affected_sites, origin_sites
-    c = origin_sites(t).select(F.col("siteid").alias("c_custkey"), F.col("lat").alias("clat"),
-                               F.col("lon").alias("clon"), (F.col("siteid") % 100).alias("k"))
-    s = affected_sites(t).select(F.col("siteid").alias("s_suppkey"), F.col("lat").alias("slat"),
-                                 F.col("lon").alias("slon"), F.col("siteid").alias("k"))
-    return c.join(s, "k").select("c_custkey", "s_suppkey",
-                                 mx.rnd(mx.haversine_km("clat", "clon", "slat", "slon"), 6).alias("km"))
+    c = origin_sites(t).select(F.col("siteid").alias("c_custkey"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    s = affected_sites(t).select(F.col("siteid").alias("s_suppkey"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    origin = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "clat", "clon")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
+    return (lines.join(origin, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+            .select("l_orderkey", "l_linenumber", "c_custkey", "s_suppkey",
+                    mx.rnd(mx.haversine_km("clat", "clon", "slat", "slon"), 6).alias("km")))
 
 
 @register("m06_location_spread", ids=("M6",),

@@ -232,13 +232,11 @@ def s05(t: Tables) -> DataFrame:
     """The expensive fuel-at-outage join written once to shared storage
     (the session's checkpoint folder) and read back, as the reference caches
     it in a file instead of recomputing it."""
-    import os
-    from ..session import checkpoint_dir
+    from ..session import run_path
     from ..sources import files, sinks
     res = jn.interval_max(si.outages(t), si.sensor(t), ["outage_id", "siteid", "inicio", "fin"], "siteid",
                           "inicio", "fin", "fecha_hora", "valor", "galonaje")
-    tag = os.path.basename(t.root.rstrip("/")) or "data"
-    path = os.path.join(checkpoint_dir(t.spark), "cache", f"galonaje_{tag}")
+    path = run_path(t.spark, "cache/galonaje")
     sinks.write_table(res, path)
     return files.read_cached(t.spark, path)
 
@@ -254,17 +252,15 @@ def s01(t: Tables) -> DataFrame:
     """The revenue export as a ';'-separated file with its original headers
     (written to shared storage, S12), read back with an explicit schema,
     cleaned names and one column dropped at read time (S1-S4, P8)."""
-    import os
     from pyspark.sql import types as T
-    from ..session import checkpoint_dir
+    from ..session import run_path
     from ..sources import files, sinks
     o, c = t.orders, t.customer
     raw = o.join(c, o.o_custkey == c.c_custkey).select(
         F.year("o_orderdate").alias("YEAR"), F.month("o_orderdate").alias("MONTH"),
         F.concat(F.substring("c_mktsegment", 1, 3), F.lit("-"), F.col("c_custkey").cast("string")).alias("SITE_ID"),
         F.col("c_name").alias("Site Name"), F.col("o_totalprice").alias("REVENUE_TOTAL"))
-    tag = os.path.basename(t.root.rstrip("/")) or "data"
-    path = os.path.join(checkpoint_dir(t.spark), "exports", f"revenue_rbs_{tag}")
+    path = run_path(t.spark, "exports/revenue_rbs")
     sinks.write_csv(raw, path, sep=";")
     schema = T.StructType([T.StructField("YEAR", T.IntegerType()), T.StructField("MONTH", T.IntegerType()),
                            T.StructField("SITE_ID", T.StringType()), T.StructField("Site Name", T.StringType()),

@@ -121,11 +121,11 @@ def t01(t: Tables) -> DataFrame:
 
 
 @register("t02_top_n_with_ties", ids=("T2",),
-          sql="SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity FROM (SELECT *, rank() OVER "
-              "(PARTITION BY l_suppkey ORDER BY l_quantity DESC) AS rk FROM lineitem) WHERE rk <= 3")
+          sql="SELECT l_suppkey, l_orderkey, l_linenumber, q FROM (SELECT *, rank() OVER (PARTITION BY l_suppkey "
+              "ORDER BY q DESC NULLS LAST) AS rk FROM (SELECT *, nullif(l_quantity, 50) AS q FROM lineitem)) WHERE rk <= 3")
 def t02(t: Tables) -> DataFrame:
-    return fr.top_n_with_ties(t.lineitem, ["l_suppkey"], "l_quantity", 3, desc=True) \
-        .select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    l = t.lineitem.withColumn("q", F.nullif("l_quantity", F.lit(50)))
+    return fr.top_n_with_ties(l, ["l_suppkey"], "q", 3, desc=True).select("l_suppkey", "l_orderkey", "l_linenumber", "q")
 
 
 @register("t03_top_one", ids=("T3",),
@@ -147,7 +147,9 @@ def t04(t: Tables) -> DataFrame:
               "row_number() OVER (ORDER BY median(p_retailprice), p_type) AS orden_mediana FROM part GROUP BY p_type")
 def t05(t: Tables) -> DataFrame:
     from pyspark.sql import Window
-    g = t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.median("p_retailprice").alias("med"))
+    from ..operators.quantiles import quantile_columns
+    med = quantile_columns(t.part, "p_retailprice", {"med": 0.5}, by=["p_type"])
+    g = fr.join_null_safe(t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), med, ["p_type"], "left")
     # after aggregation: one row per level, a small table
     return g.select("p_type", "n",
                     F.row_number().over(Window.orderBy(F.col("n").desc(), "p_type")).cast("long").alias("orden"),
@@ -169,11 +171,11 @@ def u01(t: Tables) -> DataFrame:
 
 
 @register("u02_union_with_id", ids=("U2",),
-          sql="SELECT 'F' AS estado, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 2 "
-              "UNION ALL SELECT 'O', o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'O' GROUP BY 2")
+          sql=" UNION ALL ".join(f"SELECT '{k}' AS estado, o_orderpriority, count(*) AS n FROM orders "
+                                 f"WHERE o_orderstatus = '{k}' GROUP BY 2" for k in "FOP"))
 def u02(t: Tables) -> DataFrame:
     parts = {k: t.orders.filter(F.col("o_orderstatus") == k).groupBy("o_orderpriority")
-             .agg(F.count(F.lit(1)).alias("n")) for k in ("F", "O")}
+             .agg(F.count(F.lit(1)).alias("n")) for k in "FOP"}
     return fr.bind_rows_id(parts, "estado")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,7 +26,7 @@ DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply DEFAULTS where unset and make sure a checkpoint dir exists."""
+    """Apply DEFAULTS where unset and make sure a checkpoint dir is known."""
     conf = spark.conf
     for key, value in DEFAULTS.items():
         if conf.get(key, None) in (None, ""):
@@ -37,8 +38,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir); only
-    a session where neither is set (local tests) gets a fresh scratch folder.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only
+    a local-mode session where neither is set gets a fresh scratch folder; on a
+    cluster a machine-local folder would lose data, so a missing setting raises.
     """
     try:
         sc = spark.sparkContext
@@ -48,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        if not (sc.master if sc is not None else "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="outagelens-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", path)
@@ -58,6 +62,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder for one run's table or export."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}_{uuid.uuid4().hex}"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "outagelens") -> SparkSession:
     """Session for tests and the local bench (local mode, UI off)."""
     builder = (

@@ -28,7 +28,7 @@ def test_lag_same_key_hot(spark, hot):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "17")
     try:
-        got = ag.lag_same_key(df, "k", ["t"], "v", "nv", max_group_rows=100).select("k", "t", "nv").toPandas()
+        got = ag.lag_same_key(df, "k", ["t"], "v", "nv", partitions=17).select("k", "t", "nv").toPandas()
         small = ag.lag_same_key(df, "k", ["t"], "v", "nv").select("k", "t", "nv").toPandas()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
@@ -36,7 +36,7 @@ def test_lag_same_key_hot(spark, hot):
     prev = exp.groupby("k")["v"].shift(1)
     first = exp.groupby("k").cumcount() == 0
     exp["nv"] = np.where(first, exp["v"], prev)
-    for res in (got, small):  # distributed plan (forced) and window plan
+    for res in (got, small):  # with and without an explicit partition count
         m = exp.merge(res, on=["k", "t"], suffixes=("_e", "_g"))
         assert len(m) == len(pdf)
         assert ((m.nv_e.isna() & m.nv_g.isna()) | (m.nv_e == m.nv_g)).all()
@@ -53,8 +53,8 @@ def test_slice_and_running_count_hot(hot):
 def test_top_n_with_ties_hot(hot):
     df, pdf = hot
     got = fr.top_n_with_ties(df, ["k"], "v", 3, desc=True).select("k", "t").toPandas()
-    p = pdf.dropna(subset=["v"]).copy()
-    p["rk"] = p.groupby("k")["v"].rank(method="min", ascending=False)
+    p = pdf.copy()
+    p["rk"] = p.groupby("k")["v"].rank(method="min", ascending=False, na_option="bottom")
     exp = p[p.rk <= 3][["k", "t"]]
     assert sorted(map(tuple, got.values)) == sorted(map(tuple, exp.values))
 
@@ -85,5 +85,34 @@ def test_null_group_keeps_its_rows(spark):
     out = fr.running_totals(df, ["i"], {"cs": F.col("v")}, group=["g"], partitions=3)
     got = {(r.g, r.i): r.cs for r in out.collect()}
     assert len(got) == 100 and got[(None, 49)] == 50.0 and got[("a", 49)] == 100.0
-    lagged = ag.lag_same_key(df, "g", ["i"], "v", "nv", max_group_rows=1).collect()
+    lagged = ag.lag_same_key(df, "g", ["i"], "v", "nv").collect()
     assert len(lagged) == 100
+
+
+def test_top_n_with_ties_keeps_nulls_of_a_short_group(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", None), ("a", None), ("b", 5.0), ("b", 4.0), ("b", 3.0), ("b", None),
+            (None, 1.0), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = fr.top_n_with_ties(df, ["k"], "v", 3).collect()
+    kept = sorted((r["k"] or "", r["v"] or 0.0) for r in got)
+    assert kept == sorted((k or "", v or 0.0) for k, v in rows if (k, v) != ("b", None))
+
+
+def test_running_totals_null_group_no_group_and_empty(spark):
+    df = spark.range(1000).selectExpr("id", "nullif(id % 4, 0) AS g", "nullif(id, 7) AS v").repartition(9)
+    for group in ([], ["g"]):
+        got = fr.running_totals(df, ["id"], {"s": F.col("v"), "n": F.lit(1.5)}, group=group, partitions=11).collect()
+        assert len(got) == 1000
+        for r in got:
+            before = [i for i in range(r["id"] + 1) if not group or i % 4 == r["id"] % 4]
+            assert (r["s"], r["n"]) == (sum(i for i in before if i != 7), 1.5 * len(before))
+    empty = fr.running_totals(df.where("id < 0"), ["id"], {"s": F.col("v")}, group=["g"])
+    assert empty.count() == 0 and empty.columns == ["id", "g", "v", "s"]
+
+
+def test_running_totals_shuffles_the_data_once(spark):
+    df = spark.range(1000).selectExpr("id", "id % 4 AS g")
+    plan = fr.running_totals(df, ["id"], {"n": F.lit(1)}, group=["g"])._jdf.queryExecution().executedPlan().toString()
+    # behind the checkpoint only the one-row-per-partition table moves
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(_t0") == 1 and plan.count("Exchange hashpartitioning") == 1
