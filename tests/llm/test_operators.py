@@ -339,6 +339,26 @@ def test_vectors(llm):
     assert seen[9007].component_id == 9006 and seen[9006].n_links == 1 and not seen[9007].kept
 
 
+def test_vectors_linked_across_shards(llm, monkeypatch):
+    """More near copies that all link with each other than a shard holds, in split shards and in shards dealt by hash."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(500, 16)) * 0.1, rng.normal(size=(400, 16))]).astype(np.float32)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    np.fill_diagonal(link, False)
+    assert link.sum() > 200_000
+    frame = llm.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(vector_graph, "SHARD", 60)
+    monkeypatch.setattr(vector_graph, "MOST", 100)
+    for levels in (8, 1):
+        monkeypatch.setattr(vector_graph, "LEVELS", levels)
+        seen = {r.vec_id: r for r in vector_graph.near_vectors(frame).collect()}
+        assert len(seen) == len(x)
+        assert np.mean([seen[i].n_links == link[i].sum() for i in range(len(x))]) > 0.99
+        assert len({seen[i].component_id for i in range(500)}) == 1
+
+
 def test_empty_tables(llm):
     d = llm.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     p = llm.createDataFrame([], "page_id long, url string, html string")
