@@ -4,7 +4,9 @@ Concatenated names in hosts are split into words by a unigram Viterbi model
 whose counts come from the pages themselves; a multinomial naive Bayes model
 over host and path tokens gives the verdict where no rule fits. It is trained
 on all pages with weak labels: a page whose host holds a word of a seed list is
-an example to block, the others are examples to allow.
+an example to block, the others are examples to allow. All counts are Spark tables: names are segmented with
+those words of the unigram table that a join finds among their substrings, and
+log-odds are sums over a join of tokens with the table of all tokens.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ SEEDS = ("ads adult affiliate bet bets betting bingo casino cheap click clickbai
          "gamble gambling jackpot keygen loan loans lottery payday pharma pills poker popup porn promo prize replica roulette "
          "sex slots spam torrent track tracker tracking viagra warez win winner xxx").split()
 
-VOCABULARY = 1 << 18   # words of the segmenter and tokens of the classifier, at most
 LONGEST = 24           # letters of a word the segmenter knows
 SEED_SHARE = 1e-4      # least unigram probability of a seed word
 
@@ -64,52 +65,41 @@ def rule_columns(host, path, rules=None):
 class Segmenter:
     """Splits names into the most likely words under unigram counts."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.logp = {w: math.log(c / total) for w, c in counts.items() if len(w) <= LONGEST}
-        for w in SEEDS:
-            self.logp[w] = max(self.logp.get(w, -99.0), math.log(SEED_SHARE))
-        self.unknown = math.log(1 / total)
-        self.cache: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total``: of the counts of all words, if ``counts`` has only some of them."""
+        self.total = (sum(counts.values()) if total is None else total) + 1
+        self.unknown = math.log(1 / self.total)
+        self.learn(counts)
+
+    def learn(self, counts: dict[str, int]) -> Segmenter:
+        """Take these words instead of those known."""
+        self.logp = dict.fromkeys(SEEDS, math.log(SEED_SHARE))
+        for w, c in counts.items():
+            if len(w) <= LONGEST:
+                self.logp[w] = max(self.logp.get(w, -99.0), math.log(c / self.total))
+        return self
 
     def word(self, w: str) -> float:
         return self.logp.get(w, self.unknown - 2.3 * len(w))  # an unknown word: a tenth for each letter
 
     def split(self, name: str) -> list[str]:
-        if name not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            best, back = [0.0], [0]
-            for end in range(1, len(name) + 1):
-                options = [(best[k] + self.word(name[k:end]), k) for k in range(max(0, end - LONGEST), end)]
-                p, k = max(options)
-                best.append(p)
-                back.append(k)
-            words, end = [], len(name)
-            while end:
-                words.append(name[back[end]:end])
-                end = back[end]
-            self.cache[name] = words[::-1]
-        return self.cache[name]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Tokens of a host (h:...) and a path (p:...); digits count as one kind of token."""
-        out = [f"h:{w}" for part in re.findall(r"[^\W\d_]+", host) for w in self.split(part)]
-        out += ["h:#" for _ in re.findall(r"\d+", host)]
-        out += [f"p:{w}" for part in re.findall(r"[^\W\d_]+", path.lower()) for w in self.split(part)]
-        return out + ["p:#" for _ in re.findall(r"\d+", path)]
-
-
-def bounded_counts(counts: DataFrame, word: str, most: int = VOCABULARY) -> DataFrame:
-    """The rows (word, c) with the largest counts, at most ``most``: whole powers of two of the count, from the top."""
-    rank = F.floor(F.log2("c")).cast("int")
-    sizes = {r["rank"]: r["count"] for r in counts.groupBy(rank.alias("rank")).count().collect()}  # at most 63 rows
-    least, room = 64, most
-    for k in sorted(sizes, reverse=True):
-        if sizes[k] > room:
-            break
-        least, room = k, room - sizes[k]
-    return counts.where(rank >= least).select(word, "c")
+        best, back = [0.0], [0]
+        for end in range(1, len(name) + 1):
+            options = [(best[k] + self.word(name[k:end]), k) for k in range(max(0, end - LONGEST), end)]
+            p, k = max(options)
+            best.append(p)
+            back.append(k)
+        words, end = [], len(name)
+        while end:
+            words.append(name[back[end]:end])
+            end = back[end]
+        return words[::-1]
+
+
+def name_parts(host: str, path: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """Names of a host (h:) and a path (p:) that are to be split, and the tokens of their digits."""
+    names = [("h:", w) for w in re.findall(r"[^\W\d_]+", host)] + [("p:", w) for w in re.findall(r"[^\W\d_]+", path.lower())]
+    return names, ["h:#" for _ in re.findall(r"\d+", host)] + ["p:#" for _ in re.findall(r"\d+", path)]
 
 
 def word_counts(pages: DataFrame, text_col: str) -> DataFrame:
@@ -130,21 +120,38 @@ def word_counts(pages: DataFrame, text_col: str) -> DataFrame:
             .groupBy("word").agg(F.sum("c").alias("c")))
 
 
-# ---------------------------------------------------------------- naive Bayes
+def split_names(names: DataFrame, words: DataFrame) -> DataFrame:
+    """(name, words): each of the distinct names split under all unigram counts (word, c).
 
-class NaiveBayes:
-    """Multinomial model with two classes from token counts (token -> (block, allow)) and page counts."""
+    A name meets the words that it holds by an equi-join on its substrings;
+    adaptive execution splits the rows of a substring that many names have.
+    """
+    total = words.agg(F.sum("c")).first()[0] or 0
 
-    def __init__(self, counts: dict[str, tuple[int, int]], pages: tuple[int, int]):
-        size = len(counts) + 1
-        total = [sum(c[k] for c in counts.values()) + size for k in (0, 1)]
-        self.prior = math.log((pages[0] + 1) / (pages[1] + 1))
-        self.weight = {t: math.log((b + 1) / total[0]) - math.log((a + 1) / total[1]) for t, (b, a) in counts.items()}
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2000):
+                own, found = [], []
+                for name in batch.column(0).slice(low, 2000).to_pylist():
+                    got = {name[k:k + n] for run in re.finditer("[a-z]{2,}", name) for k in range(run.start(), run.end() - 1)
+                           for n in range(2, min(LONGEST, run.end() - k) + 1)}
+                    own += [name] * len(got)
+                    found += got
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(found, pa.string())], names=["name", "word"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter({}, total)
+        for batch in batches:
+            out = [segmenter.learn({f["word"]: f["c"] for f in found or ()}).split(name)
+                   for name, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
+
+    held = (names.mapInArrow(substrings, "name string, word string").join(words, "word")
+            .groupBy("name").agg(F.collect_list(F.struct("word", "c")).alias("found")))  # of one name
+    return names.join(held, "name", "left").select("name", "found").mapInArrow(split, "name string, words array<string>")
 
-    def log_odds(self, tokens: list[str]) -> float:
-        """Log-odds of blocking; tokens never seen count nothing."""
-        return self.prior + sum(self.weight.get(t, 0.0) for t in tokens)
 
+# ---------------------------------------------------------------- naive Bayes
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html",
                rules=None) -> DataFrame:
@@ -156,46 +163,51 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Null ids are carried along, repeated rows judged alike and counted each;
     other columns do not matter; an empty table gives an empty result.
 
-    Gathered on the driver: the unigram counts and the token counts, each at
-    most ``VOCABULARY`` rows (the most frequent ones; rarer words are unknown to
-    the models).
+    Every word and token counts, however many there are: nothing but totals is
+    gathered. Names are split and pages judged once for each distinct name and
+    each distinct (host, path).
     """
-    sc = pages.sparkSession.sparkContext
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    words = bounded_counts(stored(word_counts(pages, text_col), "url-words"), "word").toArrow()
-    unigrams = sc.broadcast(dict(zip(words.column(0).to_pylist(), words.column(1).to_pylist())))
-    seeds = {f"h:{w}" for w in SEEDS}
+    words = stored(word_counts(pages, text_col), "url-words")
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Segmenter(unigrams.value)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
-            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = split.tokens(h, p)
-                label = 0 if seeds.intersection(own) else 1
-                for t in ["", *own]:  # the empty token counts pages
-                    counts[t, label] = counts.get((t, label), 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in counts], pa.string()), pa.array([k for _, k in counts], pa.int32()),
-                 pa.array(list(counts.values()), pa.int64())], names=["token", "label", "c"])
-
-    counted = rows.select("host", "path").mapInArrow(tokens, "token string, label int, c long").groupBy("token").agg(
-        F.sum(F.expr("if(label = 0, c, 0)")).alias("block"), F.sum(F.expr("if(label = 1, c, 0)")).alias("allow"), F.sum("c").alias("c"))
-    counted = stored(counted, "url-tokens")
-    n = counted.where("token = ''").select("block", "allow").first()
-    table = counted.where("token <> ''")
-    best = table.join(bounded_counts(table, "token").select("token"), "token", "left_semi").select("token", "block", "allow").toArrow()
-    model = sc.broadcast(({t: (b, a) for t, b, a in zip(*(c.to_pylist() for c in best.columns))}, tuple(n) if n else (0, 0)))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, bayes = Segmenter(unigrams.value), NaiveBayes(*model.value)
-        for batch in batches:
-            odds = [bayes.log_odds(split.tokens(h, p)) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*batch.schema.names, "log_odds"])
-
-    kind = dict(rows.dtypes)["page_id"]
-    judged = rows.mapInArrow(judge, f"page_id {kind}, host string, path string, log_odds double")
+            out = []
+            for h, p, pages in zip(*(c.to_pylist() for c in batch.columns)):
+                names, digits = name_parts(h, p)
+                counts: dict[tuple, int] = {("", None, ""): 1}  # the empty token counts pages
+                for key in [(kind, name, None) for kind, name in names] + [("", None, t) for t in digits]:
+                    counts[key] = counts.get(key, 0) + 1
+                out += [(h, p, pages, *key, n) for key, n in counts.items()]
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
+                                             names=["host", "path", "pages", "kind", "name", "token", "times"])
+
+    found = stored(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")).mapInArrow(
+        parts, "host string, path string, pages long, kind string, name string, token string, times long"), "url-parts")
+    named = found.where("name is not null")
+    split = stored(split_names(named.select("name").distinct(), words), "url-names")
+    whole = ["host", "path", "pages"]
+    tokens = found.where("name is null").select(*whole, "token", "times").unionByName(
+        named.join(split, "name").select(*whole, F.explode("words").alias("word"), "kind", "times")
+        .select(*whole, F.concat("kind", "word").alias("token"), "times"))
+    tokens = tokens.groupBy(*whole, "token").agg(F.sum("times").alias("times"))
+    tokens = stored(tokens, "url-tokens")
+    marked = tokens.where(F.col("token").isin([f"h:{w}" for w in SEEDS])).select("host", "path", F.lit(True).alias("bad")).distinct()
+    counted = (tokens.join(marked, ["host", "path"], "left").groupBy("token")
+               .agg(F.sum(F.expr("if(bad, pages * times, 0)")).alias("block"), F.sum(F.expr("if(bad, 0, pages * times)")).alias("allow")))
+    counted = stored(counted, "url-counts")
+    n = counted.where("token = ''").select("block", "allow").first() or (0, 0)
+    size, *totals = counted.where("token <> ''").agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    block, allow = (float(t + size + 1) for t in totals)
+    weights = counted.select("token", F.when(F.col("token") == "", F.lit(math.log((n[0] + 1) / (n[1] + 1)))).otherwise(
+        F.log((F.col("block") + 1) / F.lit(block)) - F.log((F.col("allow") + 1) / F.lit(allow))).cast("decimal(20,14)").alias("weight"))
+    # decimals: the sum does not depend on the order of its terms
+    odds = (tokens.join(weights, "token").groupBy("host", "path")
+            .agg(F.sum(F.col("weight") * F.col("times").cast("decimal(12,0)")).cast("double").alias("log_odds")))
+    judged = rows.join(odds, ["host", "path"])
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return judged.select("page_id", "host", "path", rule.alias("rule"),
                          F.coalesce(verdict, F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")

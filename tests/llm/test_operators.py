@@ -285,6 +285,30 @@ def test_urls(llm):
     assert got[9].verdict == "block" and got[10].verdict == "allow"
 
 
+def test_urls_keep_every_word(llm):
+    """More distinct words than any table that fits a driver's cap: the rarest word still splits a host, rare tokens are scored."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[i // 26 ** k % 26] for k in range(4)) + "q"
+    many = " ".join(word(i) for i in range(300_000))
+    pages = [(0, "http://none/", f"<p>{many}</p>"), (1, "http://casino.aa/rarepath", "<p>zebrafish</p>"), (2, "http://zebrafishcasino.bb/rarepath", ""),
+             (3, "http://zebrafish.cc/rarepath", ""), (4, "http://zebrafish.cc/other", "")]
+    got = url_filter.judge_urls(llm.createDataFrame(pages, "page_id long, url string, html string"))
+    seen = {r.page_id: r.log_odds for r in got.collect()}
+    counts = {"zebrafish": 1, **{word(i): 1 for i in range(300_000)}}
+    split = url_filter.Segmenter(counts).split
+    assert split("zebrafishcasino") == ["zebrafish", "casino"]
+    tokens = {}
+    for i, u, _ in pages:
+        names, digits = url_filter.name_parts(*re.match(r"http://([^/]*)(.*)", u).groups())
+        tokens[i] = [k + w for k, name in names for w in split(name)] + digits
+    block = Counter(t for i in (1, 2) for t in tokens[i])
+    allow = Counter(t for i in (0, 3, 4) for t in tokens[i])
+    size = len(block | allow) + 1
+    weight = lambda t: np.log((block[t] + 1) / (block.total() + size)) - np.log((allow[t] + 1) / (allow.total() + size))
+    for i in tokens:
+        assert abs(seen[i] - np.log(3 / 4) - sum(map(weight, tokens[i]))) < 1e-9
+
+
 def test_wrapper(llm):
     page = ('<html><head><title>t</title></head><body><nav>menu</nav><div class="cookie-notice">c</div><article><header>h</header><h1>Title {n} &amp; more</h1>'
             '<p>First <b>bold<br>line</b>&nbsp;{n}<script>x("</p>")</script><!-- c --><p>a < b{extra}</p><div class="share">s</div><section id="comments"><p>no</p>'
