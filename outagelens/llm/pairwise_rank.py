@@ -3,13 +3,14 @@
 A document labelled 1 is preferred to one labelled 0. The log-odds of a
 preference are the difference of two scores, a score is linear in the features
 of the text, so the model is a logistic regression without intercept on feature
-differences. The threshold is a quantile of the scores of the labelled rows.
+differences. The weights are fitted to a bounded sample; the threshold and the
+scale are quantiles of the scores of all documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ._common import ddl, quoted, stored, sums, texts_of, word_codes, word_hashes
 from .ngram_lm import duplicate_lines, repeated_words
 
@@ -84,10 +86,10 @@ class Ranking:
     scale: np.ndarray
     weights: np.ndarray
     threshold: float
-    gap: float  # typical distance of the scores of good documents from the threshold
+    gap: float  # median distance of the scores over the threshold from it
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.middle) / self.scale @ self.weights
+        return ((x - self.middle) / self.scale * self.weights).sum(axis=1)  # a row has the same sum in every batch
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, ``CUT`` at the threshold."""
@@ -95,12 +97,11 @@ class Ranking:
         return 1 / (1 + np.exp(-z) * (1 - CUT) / CUT)
 
 
-def fit_ranking(x: np.ndarray, y: np.ndarray, quantile: float | None = None, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
+def fit_ranking(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> Ranking:
     """Bradley-Terry weights by Newton steps on the logistic loss of pair differences.
 
     Every row labelled 0 is paired with rows labelled 1 drawn by a fixed seed.
-    ``quantile``: of the scores, the threshold (default: the share of rows
-    labelled 0, so that as many are rejected as were labelled so).
+    ``with_threshold`` sets the threshold and the scale of the scores.
     """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     width = x.shape[1]
@@ -119,9 +120,7 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, quantile: float | None = None, rid
         w += step * min(1.0, 5 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
-    margin = (x - middle) / scale @ w
-    threshold = float(np.quantile(margin, len(bad) / len(x) if quantile is None else quantile))
-    return Ranking(middle, scale, w, threshold, max(float(np.median(margin[good])) - threshold, 1e-6))
+    return Ranking(middle, scale, w, -1.0, 1.0)
 
 
 def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -141,19 +140,40 @@ def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | Non
 
 
 def fit_on_labels(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
-                  max_labelled: int = MAX_LABELLED) -> Ranking:
-    """Fit to rows with features that have a label; labels that are null or neither 0 nor 1 are left out.
+                  max_labelled: int = MAX_LABELLED) -> tuple[Ranking, float]:
+    """Fit to rows with features that have a label, and the share of all these rows that is labelled 0;
+    labels that are null or neither 0 nor 1 are left out.
 
     An id with several labels counts with the smallest. The fit uses at most
     ``max_labelled`` rows, those with the smallest hashes of the id.
     """
     known = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("_r_id")).agg(F.min(label_col).cast("int").alias("_r_y")))
-    sample = (rows.join(known, rows[id_col] == known["_r_id"]).select("_r_id", "_r_y", "_r_x", F.xxhash64("_r_id").alias("h"))
+    labelled = rows.join(known, rows[id_col] == known["_r_id"])
+    share = labelled.agg(F.avg(F.expr("if(_r_y = 0, 1D, 0D)"))).first()[0] or 0.0
+    sample = (labelled.select("_r_id", "_r_y", "_r_x", F.xxhash64("_r_id").alias("h"))
               .orderBy("h", "_r_id").limit(max_labelled).drop("h").toArrow())
     y = sample.column("_r_y").to_numpy()
     x = sample.column("_r_x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES).astype(np.float64)
-    return fit_ranking(x, y)
+    return fit_ranking(x, y), share
+
+
+def with_threshold(model: Ranking, rows: DataFrame, share: float) -> Ranking:
+    """The threshold that the share ``share`` of the scores of all rows is under (exact), and the distance from it to
+    the median of the others as the scale. Without preferences nothing is rejected."""
+    if not model.weights.any():
+        return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(model.margin(x.astype(np.float64)))], names=["margin"])
+
+    probs = [share, (1 + share) / 2]
+    got = {r["p"]: r["q"] for r in exact_quantiles(rows.select("_r_x").mapInArrow(run, "margin double"), "margin", probs).collect()}  # two rows
+    if not got:
+        return model
+    return replace(model, threshold=got[probs[0]], gap=max(got[probs[1]] - got[probs[0]], 1e-6))
 
 
 def training_rows(id_col: str = "doc_id"):
@@ -165,15 +185,17 @@ def rank_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                    keep: list[str] | None = None, name: str = "ranking") -> DataFrame:
     """The columns ``keep`` (default the id) and ``_r_held_out``, ``_r_score``, ``_r_predicted`` for every document.
 
-    The model is fitted to labelled rows that are not held out. Nothing but the
-    text enters a score. Null and empty texts have the features 0 and are
+    The model is fitted to labelled rows that are not held out, and as large a
+    share of all documents is rejected as is labelled 0 among them. Nothing but
+    the text enters a score. Null and empty texts have the features 0 and are
     scored; a null id is not labelled and counts as not held out; repeated rows
     are scored alike; other columns do not matter; an empty table gives an empty result;
     without labels of both kinds all scores are equal and above the threshold.
     """
     keep = [id_col] if keep is None else keep
     rows = stored(with_features(docs, text_col, keep), f"{name}-features")
-    model = fit_on_labels(rows.where(training_rows(id_col)), labels, id_col)
+    model, share = fit_on_labels(rows.where(training_rows(id_col)), labels, id_col)
+    model = with_threshold(model, rows, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -336,6 +336,19 @@ def test_ranking(llm):
     assert {r._r_predicted for r in one.collect()} == {1}
 
 
+def test_ranking_threshold_covers_all_documents(llm):
+    """Many unlabelled documents of another quality: the share rejected of all is the share labelled 0, not that of labelled scores."""
+    table = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = llm.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rng = random.Random(4)
+    junk = [(10**7 + i, " ".join("".join(rng.choices("x#%7$Q|", k=rng.randrange(1, 9))) for _ in range(60))) for i in range(800)]
+    docs = table.unionByName(llm.createDataFrame(junk, "doc_id long, text string"))
+    got = pairwise_rank.rank_documents(docs, labels).cache()
+    own = docs.join(labels, "doc_id").where(pairwise_rank.training_rows())
+    share = own.where("quality = 0").count() / own.where("quality in (0, 1)").count()
+    assert abs(got.where("_r_predicted = 0").count() / got.count() - share) < 0.02
+
+
 def test_vectors(llm):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(400, 16))
