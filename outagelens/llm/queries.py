@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, jaccard_join, ngram_lm, pairwise_rank, secret_scan, url_filter, vector_graph, vector_packing, warc, wrapper
+from . import bpe, centroids, jaccard_join, ngram_lm, pairwise_rank, secret_scan, spelling, url_filter, vector_graph, vector_packing, warc, wrapper
 from ._common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,73 @@ def op9_wrapper_text(table) -> DataFrame:
 def op10_bradley_terry(table) -> DataFrame:
     return pairwise_rank.rank_documents(table("documents"), table("labels")).select(
         "doc_id", F.col("_r_held_out").alias("held_out"), F.col("_r_score").alias("score"), F.col("_r_predicted").alias("predicted"))
+
+
+#: crc32 bit by bit, as a list of 256 values and a fold over the bytes; a word's form by joins on words without one letter
+@query(r"""
+with recursive table256 as materialized (
+  select list_transform(range(256), lambda b: list_reduce([b::bigint] || list_transform(range(8), lambda k: 0::bigint),
+         lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[A-Za-zÀ-ÿ]+')) as run from documents),
+counted as (select doc_id, run, count(*) as k from runs where length(run) >= 7 group by doc_id, run),
+coded as (
+  select run, k, xor(4294967295, list_reduce([4294967295::bigint] || flatten(list_transform(string_split(doc_id || ':' || run, ''),
+         lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [195::bigint, (128 + unicode(c) % 64)::bigint] end)),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h from counted, table256),
+cut as (select case when h % 31 = 0 then run[1:(h % length(run))] || run[(h % length(run)) + 2:] else run end as word, k from coded),
+w as materialized (select word, sum(k)::bigint as n from cut where length(word) >= 7 group by word having sum(k) >= 2),
+holes as materialized (
+  select word, n, i, word[1:i - 1] || '_' || word[i + 1:] as mask, word[1:i - 1] || word[i + 1:] as less
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+near as (
+  select a.word, b.word as other, b.n as m from holes a join holes b on a.mask = b.mask and a.word <> b.word
+  union select a.word, b.word, b.n from holes a join w b on a.less = b.word
+  union select b.word, a.word, a.n from holes a join w b on a.less = b.word),
+best as (select word, count(*) as n_near, max(m) as m, arg_min(other, struct_pack(a := -m, b := other)) as other from near group by word),
+forms as materialized (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form, case when m >= 10 * n then m end as form_n
+  from w left join best using (word)),
+follow as (
+  select word, word as reached, 0 as step from forms
+  union all select follow.word, forms.form, step + 1 from follow join forms on forms.word = follow.reached where forms.form is not null),
+roots as (select word, arg_max(reached, step) as root from follow group by word)
+select word, form, root, n, n_near, form_n from forms join roots using (word)
+""")
+def op11_spelling_gram(table) -> DataFrame:
+    return spelling.spelling_variants(table("documents"))
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """Assignment and floored means, a pair of table expressions a round."""
+    def assigned(r: int) -> str:
+        return (f"d{r} as (select i.r, c.k, sum((i.x - c.x) * (i.x - c.x)) as d from i join c{r} c using (j) group by i.r, c.k), "
+                f"a{r} as materialized (select r, k, d from d{r} qualify row_number() over (partition by r order by d, k) = 1)")
+    parts = []
+    for r in range(rounds):
+        parts.append(assigned(r))
+        parts.append(f"s{r} as (select a.k, i.j, sum(i.x) as s, count(*) as n from a{r} a join i using (r) group by a.k, i.j), "
+                     f"c{r + 1} as materialized (select c.k, c.j, case when s.n is null then c.x "
+                     f"else ((s.s - ((s.s % s.n) + s.n) % s.n) // s.n)::bigint end as x from c{r} c left join s{r} s using (k, j))")
+    parts.append(assigned(rounds))
+    return f"""
+with e as (select row_number() over () as r, vec_id, embedding::double[] as x from embeddings),
+kept as (select r, vec_id, x from e where len(x) = 64 and list_bool_and(list_transform(x, lambda c: c is not null and isfinite(c)))),
+i as materialized (select r, unnest(range(64)) as j, unnest(list_transform(x, lambda c: floor(1024 * c)::bigint)) as x from kept),
+first as (select r, row_number() over (order by sha256('3:' || vec_id)) - 1 as k from kept where vec_id is not null
+          qualify row_number() over (order by sha256('3:' || vec_id)) <= 8),
+c0 as materialized (select f.k, i.j, i.x from first f join i using (r)),
+{", ".join(parts)},
+shown as (select k, sha256(string_agg(x::varchar, ',' order by j)) as centroid_sha256 from c{rounds} group by k)
+select kept.vec_id, a.k::int as cluster, a.d::bigint as distance, (sum(a.d) over (partition by a.k))::bigint as cluster_inertia,
+       (sum(a.d) over ())::bigint as inertia, shown.centroid_sha256
+from a{rounds} a join kept using (r) join shown using (k)
+"""
+
+
+@query(_lloyd_sql())
+def op13_centroid_tables(table) -> DataFrame:
+    rows = centroids.cluster_vectors(table("embeddings"))
+    shown = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", shown.alias("centroid_sha256"))
