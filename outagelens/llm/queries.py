@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import bpe, centroids, jaccard_join, ngram_lm, pairwise_rank, secret_scan, spelling, url_filter, vector_graph, vector_packing, warc, wrapper
+from . import bpe, centroids, jaccard_join, ngram_lm, pairwise_rank, pieces, secret_scan, spelling, url_filter, vector_graph, vector_packing, warc, wrapper
 from ._common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,6 +181,15 @@ def op11_spelling_gram(table) -> DataFrame:
     return spelling.spelling_variants(table("documents"))
 
 
+@query()
+def op12_piece_spans(table) -> DataFrame:
+    coded = pieces.encode_documents(table("documents"), "piece_bpe_32k.model")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"),
+                        F.coalesce(F.get("ends", F.size("ends") - 1), F.lit(0)).cast("long").alias("end_byte"))
+
+
 def _lloyd_sql(rounds: int = 10) -> str:
     """Assignment and floored means, a pair of table expressions a round."""
     def assigned(r: int) -> str:
