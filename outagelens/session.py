@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,12 +27,32 @@ DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply DEFAULTS where unset and make sure a checkpoint dir is known."""
+    """Apply DEFAULTS where unset, make sure a checkpoint dir is known and let the workers import this package."""
     conf = spark.conf
     for key, value in DEFAULTS.items():
         if conf.get(key, None) in (None, ""):
             conf.set(key, value)
     checkpoint_dir(spark)
+    return ship_sources(spark)
+
+
+def ship_sources(spark: SparkSession) -> SparkSession:
+    """Send this package's sources to the executors, once a session, so that tasks can import it from anywhere."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session ships its own artifacts
+        return spark
+    if getattr(sc, "_outagelens_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(), "outagelens-sources.zip")  # Spark's file server hands it out
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(target)
+    sc._outagelens_shipped = True
     return spark
 
 
