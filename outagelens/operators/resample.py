@@ -51,37 +51,53 @@ def split_sizes(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked_classes(df: DataFrame, label: str, key: str, seed) -> tuple[DataFrame, dict]:
+    """Rows with ``_rank`` (1.. within the class, by md5 uniform then key), stored
+    once, and the size of each class (a number a class, on the driver)."""
+    d = df.withColumn("_u", uniform(seed, key))
+    r = running_totals(d, ["_u", key], {"_rank": F.lit(1).cast("long")}, group=[label]).drop("_u").checkpoint(eager=True)
+    return r, {x[0]: x[1] for x in r.groupBy(label).agg(F.max("_rank")).collect()}
+
+
+def _by_class(label: str, values: dict) -> Column:
+    """The value of a row's class; NULL is a class too."""
+    of = F.lit(None)
+    for c, v in values.items():
+        of = F.when(F.col(label).eqNullSafe(F.lit(c)), F.lit(v)).otherwise(of)
+    return of
+
+
 def downsample(df: DataFrame, label: str, key: str, seed=2024) -> DataFrame:
     """Every class cut to the minority size (hash order inside each class)."""
-    r = stratified_rank(df, label, key, seed)
-    n_min = r.agg(F.min("_n")).scalar()
-    return r.filter(F.col("_rank") <= n_min).drop("_rank", "_n")
+    r, sizes = ranked_classes(df, label, key, seed)
+    return r.filter(F.col("_rank") <= min(sizes.values(), default=0)).drop("_rank")
 
 
-def _slots(r: DataFrame, label: str, levels: list[str], need: Column) -> DataFrame:
-    """Synthetic-row slots: (target class, slot k) for k = 1..need(class).
+def class_slots(r: DataFrame, label: str, levels: list[str], sizes: dict, need: dict) -> DataFrame:
+    """Synthetic-row slots: (target class, slot k, class size) for k = 1..need(class).
 
     Slots are taken from the ranks of the largest class's own rows, so they
     are produced in parallel wherever those rows live."""
-    n_max = r.agg(F.max("_n")).scalar()
-    biggest = r.filter(F.col("_n") == n_max).agg(F.min(label)).scalar()
-    gen = r.filter(F.col(label) == biggest).select(F.col("_rank").alias("k"))
-    gen = gen.withColumn("_target", F.explode(F.array(*[F.lit(v) for v in levels])))
-    sizes = r.groupBy(label).agg(F.max("_n").alias("_nc")).withColumnRenamed(label, "_target")
-    s = gen.join(sizes, "_target")
-    return s.filter(F.col("k") <= need).select("_target", "k", "_nc")
+    wanted = [c for c in levels if need.get(c, 0) > 0]
+    if not wanted:
+        return r.limit(0).select(F.col(label).alias("_target"), F.col("_rank").alias("k"), F.col("_rank").alias("_nc"))
+    biggest = min((c for c, n in sizes.items() if n == max(sizes.values())), key=str)
+    gen = r.filter(F.col(label).eqNullSafe(F.lit(biggest))).select(F.col("_rank").alias("k"))
+    targets = F.array(*[F.struct(F.lit(c).alias("t"), F.lit(need[c]).alias("need"), F.lit(sizes[c]).cast("long").alias("nc"))
+                        for c in wanted])
+    s = gen.withColumn("_s", F.explode(targets)).filter(F.col("k") <= F.col("_s.need"))
+    return s.select(F.col("_s.t").alias("_target"), "k", F.col("_s.nc").alias("_nc"))
 
 
 def upsample(df: DataFrame, label: str, key: str, levels: list[str], seed=2025) -> DataFrame:
     """Keep all rows and add, for each smaller class, (n_max - n_c) rows
     drawn with replacement (source rank from md5(seed|class|slot))."""
-    r = stratified_rank(df, label, key, seed)
-    n_max = r.agg(F.max("_n")).scalar()
-    slots = _slots(r, label, levels, n_max - F.col("_nc"))
+    r, sizes = ranked_classes(df, label, key, seed)
+    most = max(sizes.values(), default=0)
+    slots = class_slots(r, label, levels, sizes, {c: most - n for c, n in sizes.items()})
     pick = (F.floor(uniform(seed, F.col("_target"), F.col("k")) * F.col("_nc")) + 1).cast("long")
-    slots = slots.select(F.col("_target").alias(label), pick.alias("_rank"), F.col("k").alias("_slot"))
-    extra = r.join(slots, [label, "_rank"]).drop("_slot")
-    return r.unionByName(extra).drop("_rank", "_n")
+    slots = slots.select(F.col("_target").alias(label), pick.alias("_rank"))
+    return r.unionByName(r.join(slots, [label, "_rank"])).drop("_rank")
 
 
 def rose(df: DataFrame, label: str, key: str, numeric: list[str], levels: list[str], seed=2026,
@@ -91,14 +107,13 @@ def rose(df: DataFrame, label: str, key: str, numeric: list[str], levels: list[s
     Gaussian noise of bandwidth h_j = shrink * (4 / ((d + 2) n_c))^(1/(d+4)) * sd_j
     (per class); other columns copied.  Normals by Box-Muller from md5 uniforms."""
     d = len(numeric)
-    r = stratified_rank(df, label, key, seed)
-    n_max = r.agg(F.max("_n")).scalar()
-    sds = df.groupBy(label).agg(*[F.stddev_samp(c).alias(f"_sd_{c}") for c in numeric])
-    slots = _slots(r, label, levels, n_max)
+    r, sizes = ranked_classes(df, label, key, seed)
+    most = max(sizes.values(), default=0)
+    found = r.groupBy(label).agg(*[F.stddev_samp(c).alias(f"_sd_{i}") for i, c in enumerate(numeric)]).collect()  # a line a class
+    slots = class_slots(r, label, levels, sizes, dict.fromkeys(sizes, most))
     pick = (F.floor(uniform(seed, F.col("_target"), F.col("k")) * F.col("_nc")) + 1).cast("long")
     slots = slots.select(F.col("_target").alias(label), pick.alias("_rank"), F.col("k").alias("_slot"), "_nc")
-    base = r.drop("_n").join(slots, [label, "_rank"])
-    base = join_null_safe(base, sds, [label])
+    base = r.join(slots, [label, "_rank"])
     cf = shrink * (4.0 / (d + 2)) ** (1.0 / (d + 4))
     h = F.lit(cf) * F.pow(F.col("_nc").cast("double"), -1.0 / (d + 4))
     out = {}
@@ -106,9 +121,8 @@ def rose(df: DataFrame, label: str, key: str, numeric: list[str], levels: list[s
         u1 = 1 - uniform(seed, F.lit("n1"), F.col(label), F.col("_slot"), F.lit(j))
         u2 = uniform(seed, F.lit("n2"), F.col(label), F.col("_slot"), F.lit(j))
         z = F.sqrt(-2 * F.log(u1)) * F.cos(2 * math.pi * u2)
-        out[c] = F.col(c) + h * F.col(f"_sd_{c}") * z
-    res = base.withColumns(out)
-    return res.drop("_rank", "_nc", *[f"_sd_{c}" for c in numeric]).withColumnRenamed("_slot", "synthetic_id")
+        out[c] = F.col(c) + h * _by_class(label, {x[0]: x[j + 1] for x in found}).cast("double") * z
+    return base.withColumns(out).drop("_rank", "_nc").withColumnRenamed("_slot", "synthetic_id")
 
 
 def class_balance(frames: dict[str, DataFrame], label: str) -> DataFrame:

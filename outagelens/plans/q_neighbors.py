@@ -1,6 +1,6 @@
 """Nearest-neighbour queries: kNN neighbours and vote (L4), SMOTE.
 
-Spark side: exact grid-bucketed search (``operators.neighbors``).  Oracle
+Spark side: exact search on a metric index (``operators.metric_index``).  Oracle
 side: brute force over all pairs in DuckDB, which is only the check."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..functions.mathx import rnd
 from ..operators import neighbors as nb
 from ..sources.tables import Tables
 from . import sqlparts as sq
-from .q_learning import KEY, LABEL, LEVELS, TRAIN_SQL, training
+from .q_learning import KEY, LABEL, LEVELS, SPLIT_SQL, TRAIN_SQL, split_frame, training
 from .registry import register
 
 K_NEIGHBORS = 5
@@ -53,6 +53,34 @@ def l04b(t: Tables) -> DataFrame:
                                        9).alias("prob"))
 
 
+_KERNEL_SQL = {
+    "triangular": "1 - z", "epanechnikov": "0.75 * (1 - z * z)", "biweight": "15.0 / 16 * pow(1 - z * z, 2)",
+    "triweight": "35.0 / 32 * pow(1 - z * z, 3)", "cos": "pi() / 4 * cos(pi() / 2 * z)",
+    "gaussian": "exp(-z * z / 2) / sqrt(2 * pi())", "inv": "1 / greatest(sqrt(dist2), 1e-12)", "rectangular": "1.0"}
+_VOTE_COLS = ["sin_energia", "mg_trabajando", "mes"]
+
+
+@register("l04c_knn_kernels", ids=("L4", "L9", "R10"),
+          sql=SPLIT_SQL + ", v AS (SELECT outage_id, status, split, "
+              + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS x{i}" for i, c in enumerate(_VOTE_COLS)) + " FROM sp), "
+              "p AS (SELECT a.outage_id, b.status, row_number() OVER (PARTITION BY a.outage_id ORDER BY d, b.outage_id) AS rk, d AS dist2 "
+              "FROM v a JOIN v b ON a.split = 'testing' AND b.split = 'training', LATERAL (SELECT "
+              + sq.rnd(" + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(len(_VOTE_COLS))), 9) + " AS d)), "
+              f"n AS (SELECT *, max(sqrt(dist2)) OVER (PARTITION BY outage_id) AS width FROM p WHERE rk <= {K_VOTE + 1}), "
+              "z AS (SELECT *, least(greatest(coalesce(sqrt(dist2) / nullif(width, 0), 1e-6), 1e-6), 1 - 1e-6) AS z FROM n "
+              f"WHERE rk <= {K_VOTE}), "
+              "w AS (" + " UNION ALL ".join(f"SELECT outage_id, status, '{k}' AS kernel, {e} AS w FROM z" for k, e in _KERNEL_SQL.items()) + ") "
+              "SELECT outage_id, kernel, " + sq.rnd("sum(CASE WHEN status = 'down' THEN w ELSE 0.0 END) / sum(w)", 7)
+              + " AS prob FROM w GROUP BY outage_id, kernel")
+def l04c(t: Tables) -> DataFrame:
+    """P(down) of the testing rows by each kernel (k = 9) from the training rows."""
+    sp = split_frame(t).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in _VOTE_COLS})
+    sp = sp.select(KEY, LABEL, "split", *_VOTE_COLS).checkpoint(eager=True)
+    train, test = (sp.filter(F.col("split") == s) for s in ("training", "testing"))
+    votes = nb.knn_votes(train, test, KEY, LABEL, _VOTE_COLS, K_VOTE, "down", list(_KERNEL_SQL))
+    return votes.unpivot([KEY], list(_KERNEL_SQL), "kernel", "prob").withColumn("prob", rnd("prob", 7))
+
+
 _SMOTE_COLS = ["sin_energia", "dia"]
 
 

@@ -170,8 +170,8 @@ def test_named_recipes_fit_and_apply(frame):
         rec = make().fit(train)
         assert rec.transform(test).count() == n_test, name
         counts = [r.n for r in rec.juice().groupBy("status").agg(F.count("*").alias("n")).collect()]
-        if name in ("downsample", "upsample", "rose_all"):
-            assert len(set(counts)) == 1, (name, counts)
+        assert len(set(counts)) == 1, (name, counts)  # every recipe balances
+    assert len(recs) == 8
 
 
 def test_rename_names(spark):
