@@ -90,15 +90,19 @@ def q14(t: Tables) -> DataFrame:
 
 
 def outage_log(t: Tables) -> DataFrame:
-    """mg.csv stand-in from the outage stand-in (hours, flags)."""
+    """mg.csv stand-in from the outage stand-in (hours, flags).  Whether a site
+    goes down follows the outage's length with a spread of half an hour either
+    way, and the generator runs for a share of it, so no feature decides the
+    label and none follows from another."""
     o = si.outages(t)
-    affected = (F.when(F.col("outage_id") % 17 == 0, F.lit(None)).when(F.col("minutos") > 100, F.lit(2))
-                .when(F.col("minutos") > 30, F.lit(1)).otherwise(F.lit(0)))
+    spread = F.col("minutos") + (F.col("outage_id") * 7919) % 61 - 30
+    affected = (F.when(F.col("outage_id") % 17 == 0, F.lit(None)).when(spread > 100, F.lit(2))
+                .when(spread > 30, F.lit(1)).otherwise(F.lit(0)))
     return o.select(
         "outage_id", "siteid", F.col("inicio").alias("inicio_powercut"), F.col("fin").alias("fin_powercut"),
         (F.col("minutos") / 60).alias("duracion_powercut"), affected.cast("string").alias("status"),
         (F.col("outage_id") % 2).cast("string").alias("arranco_mg"),
-        (F.col("minutos") / 60 * 0.8).alias("duracion_con_mg"))
+        (F.col("minutos") / 60 * (((F.col("outage_id") * 31) % 13 + 2) / F.lit(16.0))).alias("duracion_con_mg"))
 
 
 def outage_features(t: Tables) -> DataFrame:
@@ -119,9 +123,10 @@ def outage_features(t: Tables) -> DataFrame:
 
 OUTAGE_FEATURES_SQL = (
     f"WITH o AS ({si.OUTAGES_SQL}), m AS (SELECT outage_id, siteid, inicio AS inicio_powercut, fin AS fin_powercut, "
-    "minutos / 60 AS duracion_powercut, CASE WHEN outage_id % 17 = 0 THEN NULL WHEN minutos > 100 THEN 2 "
-    "WHEN minutos > 30 THEN 1 ELSE 0 END AS status, CAST(outage_id % 2 AS INTEGER) AS arranco_mg, "
-    "minutos / 60 * 0.8 AS duracion_con_mg FROM o) "
+    "minutos / 60 AS duracion_powercut, CASE WHEN outage_id % 17 = 0 THEN NULL "
+    "WHEN minutos + (outage_id * 7919) % 61 - 30 > 100 THEN 2 WHEN minutos + (outage_id * 7919) % 61 - 30 > 30 THEN 1 "
+    "ELSE 0 END AS status, CAST(outage_id % 2 AS INTEGER) AS arranco_mg, "
+    "minutos / 60 * (((outage_id * 31) % 13 + 2) / 16.0) AS duracion_con_mg FROM o) "
     "SELECT CASE WHEN status >= 1 THEN 'down' WHEN NOT (status >= 1) THEN 'up' END AS status, arranco_mg, "
     "inicio_powercut, fin_powercut, CAST(day(inicio_powercut) AS BIGINT) AS dia, "
     "CAST(month(inicio_powercut) AS BIGINT) AS mes, CAST(year(inicio_powercut) AS BIGINT) AS ano, "

@@ -41,6 +41,7 @@ _MODULES = [
     "outagelens.plans.q_learning",
     "outagelens.plans.q_tuning",
     "outagelens.plans.q_neighbors",
+    "outagelens.plans.q_forest",
 ]
 
 
