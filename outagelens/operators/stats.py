@@ -80,53 +80,45 @@ def histogram(df: DataFrame, value: str, bins: int = 30, log10: bool = True, by:
                     F.when(w > 0, F.col("n") / (F.col("_total") * w)).alias("density"))
 
 
+# Documented rule of round steps: 1, 2, 5 or 10 times a power of ten; a larger unit is
+# preferred by this bias, five by another one (the defaults of R's ``pretty``).
+_UNITS = (1, 2, 5, 10)
+_BIAS = 1.5
+_BIAS_OF_FIVE = 0.5 + 1.5 * _BIAS
+
+
+def round_step(width: float) -> float:
+    """The round unit for intervals of about ``width``: the next larger unit is
+    taken when the biased distance to the smaller one exceeds its own."""
+    power = 10.0 ** math.floor(math.log10(width))
+    unit = power
+    for small, large in zip(_UNITS, _UNITS[1:]):
+        bias = _BIAS_OF_FIVE if large == 5 else _BIAS
+        limit = (large + bias * small) / (1 + bias)  # 1.4, 2.8 and 7
+        if width > limit * power:
+            unit = large * power
+    return unit
+
+
 def pretty_params(lo: float, up: float, ndiv: int, min_n: int | None = None) -> tuple[int, int, float]:
-    """R's ``pretty()`` (bias h = 1.5, u5 bias = 0.5 + 1.5 h) as (ns, nu, unit):
-    the breaks are ns*unit, (ns+1)*unit, ..., nu*unit."""
-    h, h5 = 1.5, 0.5 + 1.5 * 1.5
-    dx = up - lo
-    if dx == 0 and up == 0:
-        cell, i_small = 1.0, True
+    """Round breaks over [lo, up] in about ``ndiv`` intervals, as (first, last,
+    unit): first * unit, ..., last * unit.  At least ``min_n`` intervals (a
+    third of ndiv by default, one for a constant)."""
+    size = max(abs(lo), abs(up))
+    constant = up - lo <= 1e-14 * size * max(1, ndiv)
+    if constant:
+        width = 1.0 if size == 0 else size if size <= 10 else 9 + size / 10
+        least = 1 if min_n is None else min_n
     else:
-        cell = max(abs(lo), abs(up))
-        u = 1 + (1 / (1 + h) if h5 >= 1.5 * h + 0.5 else 1.5 / (1 + h5))
-        u *= max(1, ndiv) * 2.220446e-16
-        i_small = dx < cell * u * 3
-    if i_small:
-        if cell > 10:
-            cell = 9 + cell / 10
-        min_n = 1 if min_n is None else min_n
-    else:
-        cell = dx
-        if ndiv > 1:
-            cell /= ndiv
-        min_n = ndiv // 3 if min_n is None else min_n
-    if cell < 20 * 2.2250738585072014e-308:
-        cell = 20 * 2.2250738585072014e-308
-    base = math.pow(10.0, math.floor(math.log10(cell)))
-    unit = base
-    if 2 * base - cell < h * (cell - unit):
-        unit = 2 * base
-        if 5 * base - cell < h5 * (cell - unit):
-            unit = 5 * base
-            if 10 * base - cell < h * (cell - unit):
-                unit = 10 * base
-    ns = math.floor(lo / unit + 1e-7)
-    nu = math.ceil(up / unit - 1e-7)
-    while ns * unit > lo + 1e-10 * unit:
-        ns -= 1
-    while nu * unit < up - 1e-10 * unit:
-        nu += 1
-    k = int(0.5 + nu - ns)
-    if k < min_n:
-        k = min_n - k
-        if ns >= 0:
-            nu += k // 2
-            ns -= k // 2 + k % 2
-        else:
-            ns -= k // 2
-            nu += k // 2 + k % 2
-    return int(ns), int(nu), unit
+        width = (up - lo) / max(1, ndiv)
+        least = ndiv // 3 if min_n is None else min_n
+    unit = round_step(max(width, 1e-300))
+    first, last = math.floor(lo / unit + 1e-10), math.ceil(up / unit - 1e-10)
+    missing = max(0, least - (last - first))
+    larger_half = missing - missing // 2
+    # the odd interval goes below a range of positive numbers, above any other
+    below, above = (larger_half, missing // 2) if first >= 0 else (missing // 2, larger_half)
+    return first - below, last + above, unit
 
 
 def pretty_breaks(lo: float, up: float, ndiv: int, min_n: int | None = None) -> list[float]:
@@ -150,41 +142,6 @@ def sturges_histogram(df: DataFrame, value: str) -> DataFrame:
                          ((F.col("bin") + ns + 1) * F.lit(unit)).alias("upper"), "n")
 
 
-# ------------------------------------------------------------------ E5 ----
-
-
-def kernel_density(df: DataFrame, value: str, n_grid: int = 512, cut: float = 3.0) -> DataFrame:
-    """E5 Gaussian density on a 512-point grid with the nrd0 bandwidth.
-
-    Values are first counted per grid cell (an aggregate), then each non-empty
-    cell spreads its count over the grid points within 4 bandwidths (explode
-    of a bounded range) and contributions are summed per grid point - the
-    binned estimator R's ``density()`` also uses, without a cross join."""
-    x = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    q = quantile_columns(x, "x", {"q1": 0.25, "q3": 0.75}).first()  # two numbers
-    st = x.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("mn"),
-               F.max("x").alias("mx")).first()  # four numbers
-    n, sd, mn, mx = st["n"], st["sd"], st["mn"], st["mx"]
-    if not n:
-        return df.sparkSession.createDataFrame([], "point long, x double, density double")
-    iqr = q["q3"] - q["q1"]
-    low = min(v for v in (sd, iqr / 1.34) if v is not None) if sd is not None else iqr / 1.34
-    bw_v = 0.9 * (low if low > 0 else (sd if sd and sd > 0 else 1.0)) * n ** -0.2
-    lo_v, hi_v = mn - cut * bw_v, mx + cut * bw_v
-    step_v = (hi_v - lo_v) / (n_grid - 1)
-    bw, lo, step, n = F.lit(bw_v), F.lit(lo_v), F.lit(step_v), F.lit(float(n))
-    # scalar subqueries stay in projections; grouping uses plain columns
-    cells = x.withColumn("i", F.floor((F.col("x") - lo) / step + 0.5).cast("long")).groupBy("i") \
-        .agg(F.count(F.lit(1)).alias("c"))
-    reach = F.ceil(4 * bw / step).cast("long")
-    spread = cells.withColumn("j", F.explode(F.sequence(F.greatest(F.col("i") - reach, F.lit(0).cast("long")),
-                                                        F.least(F.col("i") + reach, F.lit(n_grid - 1).cast("long")))))
-    z = (F.col("j") - F.col("i")) * step / bw
-    spread = spread.withColumn("_k", F.col("c") * F.exp(-0.5 * z * z) / (F.lit(math.sqrt(2 * math.pi)) * bw * n))
-    dens = spread.groupBy("j").agg(F.sum("_k").alias("density"))
-    return dens.select(F.col("j").alias("point"), (lo + F.col("j") * step).alias("x"), "density")
-
-
 # -------------------------------------------------------------- E6-E8 -----
 
 
@@ -365,36 +322,6 @@ def _qnorm_py(p: float) -> float:
     return num / den if q < 0 else -num / den
 
 
-def goodness_of_fit(df: DataFrame, value: str) -> DataFrame:
-    """Fit normal, log-normal and uniform by moments; Kolmogorov-Smirnov
-    distance of each (sorted positions vs CDF); ranked, lowest distance first.
-    Gamma has no built-in CDF in Spark and is left out (stated)."""
-    from .frames import row_ids
-    x = df.select(F.col(value).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    st = x.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("s"),
-               F.min("x").alias("lo"), F.max("x").alias("hi"),
-               F.avg(F.when(F.col("x") > 0, F.log("x"))).alias("lm"),
-               F.stddev_samp(F.when(F.col("x") > 0, F.log("x"))).alias("ls"),
-               F.min("x").alias("mn"))
-    n, m, s, lo, hi, lm, ls, mn = (st.select(c).scalar() for c in ("n", "m", "s", "lo", "hi", "lm", "ls", "mn"))
-    r = row_ids(x, ["x"], "i")
-    cdfs = {
-        "norm": F.expr(pnorm_sql("_zn")),
-        "lnorm": F.when(F.col("x") > 0, F.expr(pnorm_sql("_zl"))).otherwise(F.lit(0.0)),
-        "unif": F.when(hi > lo, (F.col("x") - lo) / (hi - lo)).otherwise(F.lit(1.0)),
-    }
-    r = r.withColumns({"_zn": F.try_divide(F.col("x") - m, s),
-                       "_zl": F.when(F.col("x") > 0, F.try_divide(F.log("x") - lm, ls))})
-    dists = []
-    for name, cdf in cdfs.items():
-        d = F.greatest(F.col("i") / n - cdf, cdf - (F.col("i") - 1) / n)
-        dists.append(F.max(d).alias(name))
-    one = r.agg(*dists)
-    long = one.unpivot([], list(cdfs), "distribution", "ks_distance")
-    valid = F.when(F.col("distribution") == "lnorm", mn > 0).otherwise(F.lit(True))
-    return long.filter(valid)
-
-
 def fixed_breaks_histogram(df: DataFrame, value: str, breaks: list[float]) -> DataFrame:
     """E3 with fixed breaks: counts per right-closed interval (first one
     closed on both sides, as ``hist``); values outside the breaks are left out."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import rnd
+from ..operators import fits
 from ..operators import stats as stx
 from ..sources.tables import Tables
 from . import sqlparts as sq
@@ -93,16 +94,17 @@ def e04(t: Tables) -> DataFrame:
               "bw AS (SELECT *, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) "
               "ELSE coalesce(CASE WHEN sd > 0 THEN sd END, 1.0) END * power(n, -0.2) AS bw FROM st), "
               "g AS (SELECT *, mn - 3.0 * bw AS lo, (mx + 3.0 * bw - (mn - 3.0 * bw)) / 511 AS step FROM bw), "
-              "cells AS (SELECT CAST(floor((x - lo) / step + 0.5) AS BIGINT) AS i, count(*) AS c FROM x, g GROUP BY 1), "
-              "sp AS (SELECT i, c, unnest(range(greatest(i - CAST(ceil(4 * bw / step) AS BIGINT), 0), "
-              "least(i + CAST(ceil(4 * bw / step) AS BIGINT), 511) + 1)) AS j FROM cells, g) "
-              "SELECT j AS point, " + sq.rnd("min(lo) + j * min(step)", 9) + " AS x, "
-              + sq.rnd("sum(c * exp(-0.5 * ((j - i) * step / bw) * ((j - i) * step / bw)) / "
-                       f"({math.sqrt(2 * math.pi)!r} * bw * n))", 9) + " AS density FROM sp, g GROUP BY j")
+              "pos AS (SELECT (x - lo) / step AS u FROM x, g), "
+              "cells AS (SELECT i, sum(w) AS w FROM (SELECT floor(u) AS i, 1 - (u - floor(u)) AS w FROM pos UNION ALL "
+              "SELECT floor(u) + 1, u - floor(u) FROM pos) GROUP BY i), "
+              "sp AS (SELECT i, w, unnest(range(0, 512)) AS j FROM cells) "
+              "SELECT j AS point, " + sq.rnd("min(lo) + j * min(step)", 8) + " AS x, "
+              + sq.rnd("sum(w * exp(-0.5 * ((j - i) * step / bw) * ((j - i) * step / bw)) / "
+                       f"({math.sqrt(2 * math.pi)!r} * bw * n))", 8) + " AS density FROM sp, g GROUP BY j")
 def e05(t: Tables) -> DataFrame:
-    d = stx.kernel_density(outage_features(t), "sin_energia")
-    return d.select(F.col("point").cast("long").alias("point"), rnd("x", 9).alias("x"),
-                    rnd("density", 9).alias("density"))
+    d = fits.kernel_density(outage_features(t), "sin_energia")
+    return d.select(F.col("point").cast("long").alias("point"), rnd("x", 8).alias("x"),
+                    rnd("density", 8).alias("density"))
 
 
 @register("e06_mean_median", ids=("E6", "M6"),
@@ -234,14 +236,17 @@ def e12(t: Tables) -> DataFrame:
                     rnd("p_value", 9).alias("p_value"))
 
 
-@register("e12b_ks_normality", ids=("E12",))
+@register("e12b_ks_normality", ids=("E12",),
+          sql=f"WITH f AS ({OUTAGE_FEATURES_SQL}), x AS (SELECT CAST(sin_energia AS DOUBLE) AS x FROM f WHERE sin_energia IS NOT NULL), "
+              "st AS (SELECT count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM x), "
+              "d AS (SELECT any_value(n) AS n, max(greatest(i / n - c, c - (i - 1) / n)) AS d FROM (SELECT row_number() OVER (ORDER BY x) AS i, "
+              "n, " + stx.pnorm_sql("((x - m) / s)") + " AS c FROM x, st)) "
+              "SELECT 'Kolmogorov-Smirnov' AS method, " + sq.rnd("d", 9) + " AS statistic, "
+              + sq.rnd(fits.kolmogorov_p_sql("sqrt(n) * d"), 9) + " AS p_value FROM d")
 def e12b(t: Tables) -> DataFrame:
-    """Kolmogorov-Smirnov test against the fitted normal (MLlib)."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-    f = outage_features(t).select(F.col("sin_energia").cast("double").alias("x")).filter(F.col("x").isNotNull())
-    st = f.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).first()
-    r = KolmogorovSmirnovTest.test(f, "x", "norm", float(st["m"]), float(st["s"]))
-    return r.select(F.lit("Kolmogorov-Smirnov").alias("method"), F.col("statistic"), F.col("pValue").alias("p_value"))
+    """Exact Kolmogorov-Smirnov distance to the fitted normal."""
+    k = fits.ks_normality(outage_features(t), "sin_energia")
+    return k.select("method", rnd("statistic", 9).alias("statistic"), rnd("p_value", 9).alias("p_value"))
 
 
 @register("e13_qq_points", ids=("E13",),
@@ -260,23 +265,19 @@ def e13(t: Tables) -> DataFrame:
 
 
 @register("e14_goodness_of_fit", ids=("E14",),
-          sql=f"WITH f AS ({OUTAGE_FEATURES_SQL}), x AS (SELECT CAST(sin_energia AS DOUBLE) AS x FROM f "
+          sql=f"WITH RECURSIVE f AS ({OUTAGE_FEATURES_SQL}), x AS (SELECT CAST(sin_energia AS DOUBLE) AS x FROM f "
               "WHERE sin_energia IS NOT NULL), st AS (SELECT count(*) AS n, avg(x) AS m, stddev_samp(x) AS s, "
-              "min(x) AS lo, max(x) AS hi, avg(CASE WHEN x > 0 THEN ln(x) END) AS lm, "
-              "stddev_samp(CASE WHEN x > 0 THEN ln(x) END) AS ls FROM x), "
-              "r AS (SELECT row_number() OVER (ORDER BY x) AS i, x FROM x), "
-              "c AS (SELECT i, n, " + stx.pnorm_sql("((x - m) / s)") + " AS norm, CASE WHEN x > 0 THEN "
-              + stx.pnorm_sql("((ln(x) - lm) / ls)") + " ELSE 0.0 END AS lnorm, CASE WHEN hi > lo THEN "
-              "(x - lo) / (hi - lo) ELSE 1.0 END AS unif, lo FROM r, st), "
-              "d AS (SELECT max(greatest(i / n - norm, norm - (i - 1) / n)) AS norm, "
-              "max(greatest(i / n - lnorm, lnorm - (i - 1) / n)) AS lnorm, "
-              "max(greatest(i / n - unif, unif - (i - 1) / n)) AS unif, min(lo) AS lo FROM c) "
-              "SELECT distribution, " + sq.rnd("ks_distance", 9) + " AS ks_distance FROM (SELECT 'norm' AS "
-              "distribution, norm AS ks_distance, true AS ok FROM d UNION ALL SELECT 'lnorm', lnorm, lo > 0 FROM d "
-              "UNION ALL SELECT 'unif', unif, true FROM d) WHERE ok")
+              "min(x) AS lo, max(x) AS hi, avg(ln(x)) AS lm, stddev_samp(ln(x)) AS ls FROM x), "
+              + fits.gamma_sql("x", "x") + ", r AS (SELECT row_number() OVER (ORDER BY x) AS i, x FROM x), "
+              "c AS (SELECT i, n, unnest(['norm', 'lnorm', 'gamma', 'unif']) AS distribution, unnest(["
+              + stx.pnorm_sql("((r.x - m) / s)") + ", " + stx.pnorm_sql("((ln(r.x) - lm) / ls)")
+              + ", gc.cdf, (r.x - lo) / (hi - lo)]) AS cdf FROM r JOIN gc ON gc.x = r.x, st), "
+              "d AS (SELECT distribution, any_value(n) AS n, max(greatest(i / n - cdf, cdf - (i - 1) / n)) AS d FROM c GROUP BY 1) "
+              "SELECT distribution, " + sq.rnd("d", 6) + " AS ks_distance, " + sq.rnd(fits.kolmogorov_p_sql("sqrt(n) * d"), 6)
+              + " AS score, CAST(row_number() OVER (ORDER BY d) AS INTEGER) AS rank FROM d")
 def e14(t: Tables) -> DataFrame:
-    g = stx.goodness_of_fit(outage_features(t), "sin_energia")
-    return g.select("distribution", rnd("ks_distance", 9).alias("ks_distance"))
+    g = fits.goodness_of_fit(outage_features(t), "sin_energia")
+    return g.select("distribution", rnd("ks_distance", 6).alias("ks_distance"), rnd("score", 6).alias("score"), "rank")
 
 
 BREAKS = [0.0, 1000.0, 5000.0, 20000.0, 50000.0, 100000.0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from outagelens.operators import frames as fr
 from outagelens.operators import resample as rsm
+from outagelens.operators import fits
 from outagelens.operators import stats as stx
 from outagelens.operators.quantiles import exact_quantiles
 
@@ -126,7 +127,7 @@ def test_pretty_breaks_like_r():
 def test_kernel_density_integrates_to_one(spark):
     rng = np.random.default_rng(9)
     df = spark.createDataFrame([(float(v),) for v in rng.normal(10, 2, 2000)], "x double")
-    d = stx.kernel_density(df, "x").orderBy("point").collect()
+    d = fits.kernel_density(df, "x").orderBy("point").collect()
     step = d[1].x - d[0].x
     assert sum(r.density for r in d) * step == pytest.approx(1.0, abs=0.01)
 
