@@ -102,7 +102,7 @@ def outage_log(t: Tables) -> DataFrame:
         "outage_id", "siteid", F.col("inicio").alias("inicio_powercut"), F.col("fin").alias("fin_powercut"),
         (F.col("minutos") / 60).alias("duracion_powercut"), affected.cast("string").alias("status"),
         (F.col("outage_id") % 2).cast("string").alias("arranco_mg"),
-        (F.col("minutos") / 60 * (((F.col("outage_id") * 31) % 13 + 2) / F.lit(16.0))).alias("duracion_con_mg"))
+        (F.col("minutos") / 60 * (((F.col("outage_id") * 31) % 13 + 2) / F.lit(17.0))).alias("duracion_con_mg"))
 
 
 def outage_features(t: Tables) -> DataFrame:
@@ -126,7 +126,7 @@ OUTAGE_FEATURES_SQL = (
     "minutos / 60 AS duracion_powercut, CASE WHEN outage_id % 17 = 0 THEN NULL "
     "WHEN minutos + (outage_id * 7919) % 61 - 30 > 100 THEN 2 WHEN minutos + (outage_id * 7919) % 61 - 30 > 30 THEN 1 "
     "ELSE 0 END AS status, CAST(outage_id % 2 AS INTEGER) AS arranco_mg, "
-    "minutos / 60 * (((outage_id * 31) % 13 + 2) / 16.0) AS duracion_con_mg FROM o) "
+    "minutos / 60 * (((outage_id * 31) % 13 + 2) / 17.0) AS duracion_con_mg FROM o) "
     "SELECT CASE WHEN status >= 1 THEN 'down' WHEN NOT (status >= 1) THEN 'up' END AS status, arranco_mg, "
     "inicio_powercut, fin_powercut, CAST(day(inicio_powercut) AS BIGINT) AS dia, "
     "CAST(month(inicio_powercut) AS BIGINT) AS mes, CAST(year(inicio_powercut) AS BIGINT) AS ano, "
