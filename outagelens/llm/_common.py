@@ -3,10 +3,7 @@ hash mixing and connected components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_sources
 
 U64 = np.uint64
 
@@ -42,20 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's sources to the executors, once a session, so that tasks can import it."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_llm_shipped", False):
-        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        target = os.path.join(tempfile.mkdtemp(), f"{package}-sources.zip")  # Spark's file server hands it out
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-            for folder, _, names in os.walk(os.path.join(top, package)):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        out.write(path, os.path.relpath(path, top))
-        sc.addPyFile(target)
-        sc._llm_shipped = True
-    return spark
+    return ship_sources(spark)
 
 
 def quoted(names: list[str]) -> list[str]:
