@@ -179,6 +179,7 @@ def _best(counts: DataFrame) -> DataFrame:
     upto = Window.partitionBy("a", "f").orderBy("b")  # the bins of a node and a feature
     whole = Window.partitionBy("a", "f")
     c = counts.groupBy("a", "f", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    c = c.repartition("a")  # features x bins rows of a node: the windows and the choice need no further shuffle
     c = c.select("a", "f", "b", F.sum("n0").over(upto).alias("l0"), F.sum("n1").over(upto).alias("l1"),
                  F.sum("n0").over(whole).alias("t0"), F.sum("n1").over(whole).alias("t1"))
     c = c.withColumns({"r0": F.col("t0") - F.col("l0"), "r1": F.col("t1") - F.col("l1")}).where("r0 + r1 > 0")
@@ -200,7 +201,8 @@ def fit_forest(train: DataFrame, features: list[str], label: str, levels: list[s
     checkpoint_dir(spark)
     rows = train.where(F.col(label).isin(levels)).select(
         key, (F.col(label) == levels[0]).cast("int").alias("_y"), _vector(features).alias("_x"), weights(seed, trees, key).alias("_w"))
-    rows = rows.checkpoint(eager=True)
+    # every level is a pass of array work over these rows: spread them, whatever the plan before them coalesced
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).checkpoint(eager=True)
     long = rows.select(F.posexplode("_x").alias("f", "v")).where("v is not null and not isnan(v)")
     cuts: dict[int, set] = {}
     for r in exact_quantiles(long, "v", [i / max_bins for i in range(1, max_bins)], by=["f"]).collect():  # max_bins numbers a feature
