@@ -324,6 +324,53 @@ def test_wrapper(llm):
     assert wrapper.expression(merged) == "(<#>(<body>(<p>#TEXT</p>)+ (<h2>y</h2>)? (<div>c</div>)?</body>)</#>)"
 
 
+@pytest.mark.parametrize("n", [9, 10, 1000])
+def test_wrapper_keeps_constant_text(llm, n):
+    for box, out in (("article", ""), ("main", ""), ("div class=post", "<div class=menu>m</div>")):
+        page = "<body>" + out + f"<{box}><h1>Same title</h1><div class=x>lead same</div><p>body {{}}</p></{box.split()[0]}><footer>f</footer>"
+        table = llm.createDataFrame([(i, "http://h/", page.format(i)) for i in range(n)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in wrapper.extract_main_text(table).collect()}
+        assert got == {i: f"Same title\nlead same\nbody {i}" for i in range(n)}
+
+
+def test_wrapper_mixed_templates(llm):
+    """Pages of one host with an article, with main, with a heading above the container and with texts under other parents."""
+    kinds = ["<body><nav>m</nav><article><h1>T{0}</h1><p>a {0}</article><aside>s</aside>",
+             "<body><nav>m</nav><main><h1>T{0}</h1><p>b {0}</main>",
+             "<body><h1>T{0}</h1><div class=hero><p>c {0}</div>",
+             "<body><div class=left><h1>T{0}</h1><p>d {0}</div><div class=right><p>e {0}</div><div class=share>no</div>",
+             "<body><h1>T{0}</h1><article><p>g {0}<section id=comments>no</section><article class=comment>no</article></article>",
+             "<body><table><tr><td><h1>T{0}</h1><td>k {0}</table>"]
+    want = ["T{0}\na {0}", "T{0}\nb {0}", "T{0}\nc {0}", "T{0}\nd {0}\ne {0}", "T{0}\ng {0}", "T{0}\nk {0}"]
+    for many in (1, 14):
+        rows = [(i * 10 + k, "http://h/x", page.format(i)) for i in range(many) for k, page in enumerate(kinds)]
+        table = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+        got = {r.page_id: r.text for r in wrapper.extract_main_text(table).collect()}
+        assert got == {i * 10 + k: text.format(i) for i in range(many) for k, text in enumerate(want)}
+
+
+def test_wrapper_odd_pages(llm):
+    """Deep nesting, quotes that never close, ends without starts: whole texts in linear time."""
+    deep, quotes = "<div>" * 100_000 + "deep" + "</div>" * 100_000, '<a ="> "' * 125_000 + "end"
+    pages = [(1, deep), (2, quotes), (3, '<a "' * 250_000), (4, "<h1>" * 100_000 + "x"), (5, "<p>t" + "</x>" * 100_000), (6, "a<"),
+             (7, "<!--"), (8, "x<!-- y"), (9, "x <script>y"), (10, "<svg/>t<p title=it's>k"), (11, '<p title="a>b">u</p>')]
+    table = llm.createDataFrame([(i, f"http://h{i}/", html) for i, html in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract_main_text(table).collect()}
+    assert got[1] == "deep" and got[2].endswith("end") and len(got[3]) > 900_000 and got[4] == "x"
+    assert [got[i] for i in range(5, 12)] == ["t", "a<", "", "x", "x", "t\nk", "u"]
+
+
+def test_wrapper_tables(llm):
+    """Wrappers survive packing, and aligning is the same in any split of the pages over tasks."""
+    pages = [f"<body><ul><li>{i}<li>b</ul>" + ("<p>x" if i % 3 else "") + f"<div class=c{i}>same</div>" for i in range(12)]
+    trees = [wrapper.generalise(wrapper.parse(p)) for p in pages]
+    whole = None
+    for tree in trees:
+        whole = wrapper.unpack(wrapper.pack(tree)) if whole is None else wrapper.align(whole, wrapper.unpack(wrapper.pack(tree)))
+    assert wrapper.unpack(wrapper.pack(whole)) == whole and whole["n"] == 12
+    assert wrapper.expression(whole) == "(<#>(<body>(<ul>(<li>#TEXT</li>)+</ul>) (<p>x</p>)? (<div.c0>same</div>)</body>)</#>)"
+
+
 def test_ranking(llm):
     table = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = llm.read.parquet("/root/testdata/sf0.01/labels.parquet")
