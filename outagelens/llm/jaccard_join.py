@@ -9,8 +9,9 @@ and generates the candidates; the other two are random orders.
 Only connectivity is reported, so similar classes need not be paired with each
 other: every posting list first tests its members against a few leaders, and
 only members that are then still in different components are tested pair by
-pair, in one join whose condition holds the filters and the comparison and
-whose output is links.
+pair: a join within size classes whose condition is on sizes, positions and
+fixed-width sketches alone, then the filters of the other orders and the whole
+sets for the pairs that are left.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ BUCKETS = 1 << 20  # ids are hashed to so many buckets for the broadcast filters
 KEY_BITS = 48      # of a shingle hash; with the text's number above it sorts as one integer
 SLICE = 1 << 16    # texts handled together
 SLICE_BYTES = 8 << 20
+SKETCH = 8         # 64-bit words of a set's parity sketch
 LEADERS = 4        # of a posting list, in each round
 ROUNDS = 3
 
@@ -166,8 +168,26 @@ def _postings(width: int, percent: int, shared):
     return run
 
 
-def _sets(width: int, percent: int, shared, whole: bool):
-    """(cid, n, tokens) with the whole sets, or (cid, n, p1, p2, p3) with the prefixes under the three orders."""
+def parity_sketch(owner: np.ndarray, keys: np.ndarray, n_texts: int) -> np.ndarray:
+    """``SKETCH`` 64-bit words for each text: every token flips one bit.
+
+    Two sketches differ in at most as many bits as the symmetric difference of
+    their sets has tokens, so a pair whose sketches differ more is no link.
+    """
+    bits = 64 * SKETCH
+    out = np.zeros((n_texts, SKETCH), np.int64)
+    step = max(1, (8 << 20) // bits)
+    for low in range(0, n_texts, step):
+        high = min(n_texts, low + step)
+        a, b = np.searchsorted(owner, [low, high])
+        at = (owner[a:b] - low) * bits + (mix(keys[a:b] ^ U64(0x2545F4914F6CDD1D)) >> U64(32)).astype(np.int64) % bits
+        odd = (np.bincount(at, minlength=(high - low) * bits) & 1).astype(np.uint8)
+        out[low:high] = np.packbits(odd.reshape(high - low, bits), axis=1).view(np.int64)
+    return out
+
+
+def _sets(width: int, percent: int, whole: bool):
+    """(cid, n, tokens) with the whole sets, or (cid, n, the sketch, p2, p3) with the prefixes under the two random orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -178,20 +198,27 @@ def _sets(width: int, percent: int, shared, whole: bool):
                 names, starts = ["tokens"], np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
                 parts = [pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.view(np.int64)))]
             else:
-                names, parts = ["p1", "p2", "p3"], []
+                names, parts = [*SKETCHED, "p2", "p3"], [pa.array(np.ascontiguousarray(x)) for x in parity_sketch(owner, keys, len(texts)).T]
                 size = np.where(n > 0, prefix_length(n, percent), 0)
                 starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 low = U64((1 << KEY_BITS) - 1)
-                for k, ranks in enumerate((_first_order(keys, shared.value), _random_order(keys, 0xA0761D64), _random_order(keys, 0xE7037ED1))):
-                    own = ranked(owner, ranks, size) & low
+                for salt in (0xA0761D64, 0xE7037ED1):
                     # 31 bits are enough for the random orders: a collision only lets a candidate through
-                    own = own.view(np.int64) if k == 0 else (own >> U64(KEY_BITS - 31)).astype(np.int32)
+                    own = ((ranked(owner, _random_order(keys, salt), size) & low) >> U64(KEY_BITS - 31)).astype(np.int32)
                     parts.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(own)))
             yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(n.astype(np.int32)), *parts],
                                              names=["cid", "n", *names]).filter(pa.array(n > 0))
     return run
 
 
+SKETCHED = [f"s{k}" for k in range(SKETCH)]
+
+
+def sketches_pass(percent: int) -> str:
+    """Sides x and y differ in no more bits than a similar pair differs in tokens."""
+    return f"{100 + percent} * ({' + '.join(f'bit_count(x.{s} ^ y.{s})' for s in SKETCHED)}) <= {100 - percent} * (x.n + y.n)"
+
+
 def _within(frame: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """Rows whose hashed id may be in ``ids``: a semi-join with at most ``BUCKETS`` broadcast rows; false hits remain."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
@@ -255,16 +282,16 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     first = rows.where("id is not null and n > 0").groupBy("cid").agg(F.min("id").alias("id"))
     first = stored(first.join(labels.select("cid"), "cid", "left_semi"), "jaccard-first")
     prefixes = stored(_within(named, "id", first).mapInArrow(
-        _sets(width, percent, heavy, False), "cid long, n int, p1 array<long>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
-
-    orders = orders_pass(percent)
+        _sets(width, percent, False), f"cid long, n int, {', '.join(f'{s} long' for s in SKETCHED)}, p2 array<int>, p3 array<int>"),
+        "jaccard-prefixes")
+    orders = f"{sketches_pass(percent)} and {orders_pass(percent)}"
 
-    def links(pairs: DataFrame, name: str, filtered: bool = False) -> DataFrame:
-        """The similar ones of some pairs: second and third order first, then whole sets, read for what is left."""
-        left = pairs if filtered else stored(_joined(pairs, prefixes, ["n", "p2", "p3"], orders), f"{name}-left")
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones of some pairs: sketches, second and third order first, then whole sets, read for what is left."""
+        left = stored(_joined(pairs, prefixes, ["n", *SKETCHED, "p2", "p3"], orders), f"{name}-left")
         ids = _ends(left).distinct()
         texts = _within(named, "id", first.join(ids, "cid", "left_semi"))
-        sets = stored(texts.mapInArrow(_sets(width, percent, heavy, True), "cid long, n int, tokens array<long>"), f"{name}-sets")
+        sets = stored(texts.mapInArrow(_sets(width, percent, True), "cid long, n int, tokens array<long>"), f"{name}-sets")
         same = f"{100 + percent} * size(array_intersect(x.tokens, y.tokens)) >= {percent} * (x.n + y.n)"
         return stored(_joined(left, sets, ["n", "tokens"], same), f"{name}-links")
 
@@ -288,15 +315,17 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     now = lists.join(labels, "cid")
     groups = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
     now = now.join(groups.where("low <> high").select("token", "least"), "token")
-    now = stored(now.where(f"{100 + percent} * (n - pos) >= {percent} * (n + least)").select("token", "cid", "label"), "jaccard-rest")
-    own = _within(prefixes, "cid", now.select("cid")).dropDuplicates(["cid"])
-    side = now.join(own, "cid").select("token", F.struct("cid", "label", "n", "p1", "p2", "p3").alias("x"))
-    pairs = side.join(side.select("token", F.col("x").alias("y")), "token").where(
-        "x.cid < y.cid and x.label <> y.label"
-        f" and {percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)"
-        f" and element_at(array_intersect(x.p1, y.p1), 1) = token and {orders}")
-    pairs = stored(pairs.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).join(tested, ["a", "b"], "left_anti"), "jaccard-last")
-    return rows, _relabel(labels, links(pairs, "jaccard-end", True), "jaccard-end")
+    now = stored(now.where(f"{100 + percent} * (n - pos) >= {percent} * (n + least)").select("token", "cid", "label", "n", "pos"), "jaccard-rest")
+    sketches = _within(prefixes.select("cid", *SKETCHED), "cid", now.select("cid")).dropDuplicates(["cid"])
+    # sizes of a similar pair lie in one class or in adjacent ones
+    side = now.join(sketches, "cid").withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9))
+    x = side.withColumn("class", F.explode(F.array("class", F.col("class") + 1))).alias("x")
+    pairs = x.join(side.alias("y"), ["token", "class"]).where(
+        f"x.label <> y.label and (x.n < y.n or x.n = y.n and x.cid < y.cid) and 100 * x.n >= {percent} * y.n"
+        f" and {100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) and {sketches_pass(percent)}")
+    pairs = pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "jaccard-last")
+    return rows, _relabel(labels, links(pairs, "jaccard-end"), "jaccard-end")
 
 
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id",

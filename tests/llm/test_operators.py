@@ -246,6 +246,27 @@ def test_jaccard_group_of_near_copies(llm):
     assert got == brute_jaccard(rows)
 
 
+def test_jaccard_sketch_and_size_classes(llm):
+    """Sketches never differ in more bits than sets in tokens, and links across a border of size classes are found at any threshold."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, k).astype(np.uint64)) for k in (1, 3, 60, 300, 900, 900)]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    got = jaccard_join.parity_sketch(owner, np.concatenate(sets), len(sets) + 1)
+    assert got.shape == (7, jaccard_join.SKETCH) and not got[6].any()
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert sum(int(v).bit_count() for v in (got[i] ^ got[j]).view(np.uint64)) <= len(np.setxor1d(x, y))
+    words = [f"w{k}" for k in range(70)]
+    rows = [(k, " ".join(words[:k])) for k in (5, 6, 7, 8, 9, 12, 20, 36, 68)]  # 1, 2, 3, 4, 5, 8, 16, 32, 64 shingles
+    table = llm.createDataFrame(rows, "doc_id long, text string")
+    for percent in (50, 80):
+        want = {}
+        for k, _ in rows:
+            near = [want[j] for j, _ in rows if j < k and 100 * (j - 4) >= percent * (k - 4)]
+            want[k] = min(near, default=k)
+        assert {r.doc_id: r.component_id for r in jaccard_join.similar_documents(table, percent=percent).collect()} == want
+
+
 def test_bpe(docs, rows):
     path = queries.vocabulary("byte_bpe_50k.json")
     got = Counter((r.doc_id, r.n_tokens, r.ids, r.decoded) for r in bpe.encode_documents(docs, path, block_bytes=1 << 16).collect())
