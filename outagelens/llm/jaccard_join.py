@@ -274,21 +274,24 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     heavy = spark.sparkContext.broadcast(frequent_shingles(found))
     named = source.where("id is not null")
 
-    postings = named.mapInArrow(_postings(width, percent, heavy), "token long, cid long, n int, pos int").repartition("token")
+    one = rows.where("id is not null and n > 0").groupBy("cid").agg(F.min("id").alias("id"))  # equal sets post once
+    postings = _within(named, "id", one).mapInArrow(_postings(width, percent, heavy), "token long, cid long, n int, pos int").repartition("token")
     own = Window.partitionBy("token")  # one shuffle of the postings; the lists of one class go
     lists = stored(postings.select("*", F.min("cid").over(own).alias("low"), F.max("cid").over(own).alias("high"))
                    .where("low <> high").drop("low", "high").distinct(), "jaccard-lists")
     labels = stored(lists.select("cid", F.col("cid").alias("label")).distinct(), "jaccard-labels")
-    first = rows.where("id is not null and n > 0").groupBy("cid").agg(F.min("id").alias("id"))
-    first = stored(first.join(labels.select("cid"), "cid", "left_semi"), "jaccard-first")
+    first = stored(one.join(labels.select("cid"), "cid", "left_semi"), "jaccard-first")
     prefixes = stored(_within(named, "id", first).mapInArrow(
         _sets(width, percent, False), f"cid long, n int, {', '.join(f'{s} long' for s in SKETCHED)}, p2 array<int>, p3 array<int>"),
         "jaccard-prefixes")
-    orders = f"{sketches_pass(percent)} and {orders_pass(percent)}"
+
+    def near(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs whose sketches allow a link; the tokens of the others are never moved."""
+        return stored(_joined(pairs, prefixes.select("cid", "n", *SKETCHED), ["n", *SKETCHED], sketches_pass(percent)), f"{name}-near")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
-        """The similar ones of some pairs: sketches, second and third order first, then whole sets, read for what is left."""
-        left = stored(_joined(pairs, prefixes, ["n", *SKETCHED, "p2", "p3"], orders), f"{name}-left")
+        """The similar ones of some pairs: second and third order first, then whole sets, read for what is left."""
+        left = stored(_joined(pairs, prefixes.select("cid", "n", "p2", "p3"), ["n", "p2", "p3"], orders_pass(percent)), f"{name}-left")
         ids = _ends(left).distinct()
         texts = _within(named, "id", first.join(ids, "cid", "left_semi"))
         sets = stored(texts.mapInArrow(_sets(width, percent, True), "cid long, n int, tokens array<long>"), f"{name}-sets")
@@ -306,7 +309,7 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
                  .where(f"{percent} * greatest(n, lead.n) <= 100 * least(n, lead.n)")
                  .select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct())
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"jaccard-pairs{k}")
-        labels = _relabel(labels, links(pairs, f"jaccard{k}"), f"jaccard{k}")
+        labels = _relabel(labels, links(near(pairs, f"jaccard{k}"), f"jaccard{k}"), f"jaccard{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         # a leader has now met all of its list: it leaves
         lists = now.where(~F.exists("leaders", lambda s: s["cid"] == F.col("cid"))).select("token", "cid", "n", "pos")
