@@ -198,3 +198,19 @@ def r08(t: Tables) -> DataFrame:
     sp = split_frame(t)
     rec = rc.Recipe([rc.Dummy(["mtto"], levels={"mtto": _MTTO_LEVELS})]).fit(sp.filter(F.col("split") == "training"))
     return rec.transform(sp).select(KEY, "split", *[f"mtto_{v}" for v in sorted(_MTTO_LEVELS)[1:]])
+
+
+@register("r08b_step_dummy_sparse", ids=("R8",),
+          sql=SPLIT_SQL + ", lv AS (SELECT siteid, row_number() OVER (ORDER BY siteid) - 2 AS place, count(*) OVER () - 1 AS places "
+              "FROM (SELECT DISTINCT siteid FROM sp WHERE split = 'training' AND siteid IS NOT NULL)) "
+              "SELECT outage_id, split, place AS siteid_at, CAST(CASE WHEN place IS NOT NULL THEN places END AS BIGINT) AS places, "
+              "CAST(CASE WHEN place >= 0 THEN 1 WHEN place < 0 THEN 0 END AS BIGINT) AS ones, CASE WHEN place >= 0 THEN place END AS one_at "
+              "FROM sp LEFT JOIN lv ON sp.siteid = lv.siteid")
+def r08b(t: Tables) -> DataFrame:
+    """Size, number of ones and place of the one as read from the sparse vector itself."""
+    sp = split_frame(t)
+    rec = rc.Recipe([rc.SparseDummy(["siteid"])]).fit(sp.filter(F.col("split") == "training"))
+    vec = F.unwrap_udt(F.col("siteid_dummy"))
+    return rec.transform(sp).select(
+        KEY, "split", "siteid_at", vec["size"].cast("long").alias("places"), F.size(vec["indices"]).cast("long").alias("ones"),
+        F.get(vec["indices"], F.lit(0)).cast("long").alias("one_at"))

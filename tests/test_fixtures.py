@@ -10,6 +10,7 @@ from outagelens.functions.names import clean_names
 from outagelens.operators import aggregates as ag
 from outagelens.operators import frames as fr
 from outagelens.operators import joins as jn
+from outagelens.operators import recipes as rc
 
 
 def ts(s):
@@ -54,6 +55,33 @@ def test_full_join_null_safe(spark):
     assert rows == {(None, "a0", "b0"), ("S1", "a1", None), ("S2", None, "b2")}
 
 
+def test_full_join_rows_without_key(spark):
+    """A third of the keys missing in each source: those rows stay, each once, and take no part in the joins."""
+    def frame(col, step):
+        return spark.range(0, 3000, step).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("siteid"), F.col("id").alias(col))
+    got = jn.full_join_coalesce([frame("a", 1), frame("b", 2), frame("c", 5)], "siteid")
+    assert got.columns == ["siteid", "a", "b", "c"]
+    assert got.filter("siteid is null").count() == 1000 + 500 + 200 and got.filter("siteid is not null").count() == 2000
+    assert got.filter("siteid = 10 and a = 10 and b = 10 and c = 10").count() == 1
+
+
+def test_sparse_dummy_many_levels(spark):
+    """A million levels: sparse vectors through a table of levels; missing, unseen and reference values."""
+    n = 1_000_000
+    train = spark.range(n).select("id", F.format_string("s%07d", "id").alias("site"))
+    step = rc.SparseDummy(["site"]).fit(train)
+    odd = spark.createDataFrame([(-1, None), (-2, None), (-3, "unseen")], "id long, site string")
+    out = step.transform(train.filter("id % 100000 < 2").unionByName(odd)).select("id", "site_at", "site_dummy").collect()
+    assert len(out) == 23
+    for r in out:
+        if r.id < 0:
+            assert r.site_at is None and r.site_dummy is None
+        else:
+            assert r.site_at == r.id - 1 and r.site_dummy.size == n - 1
+            assert list(r.site_dummy.indices) == ([r.id - 1] if r.id else [])
+    assert rc.SparseDummy(["site"]).fit(train.limit(0)).transform(odd).filter("site_at is null").count() == 3
+
+
 def test_lag_same_ticket(spark):
     df = spark.createDataFrame([(1, ts("2021-01-05 00:00:00")), (1, ts("2021-01-09 00:00:00")),
                                 (2, ts("2021-03-01 00:00:00"))], "t int, fecha timestamp_ntz")
