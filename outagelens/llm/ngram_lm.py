@@ -1,94 +1,157 @@
 """Quality rules: exact text counts and a character n-gram perplexity band for each language.
 
 The language model is a modified Kneser-Ney model of order 5 over the
-characters of words (a word is padded on both sides, so no n-gram crosses a
-word boundary). Spark counts the n-grams of all documents and computes
-discounts, continuation counts and back-off weights; the model is kept as
-sorted arrays of n-gram hashes with log-probabilities beside them. The hash has
-``HASH_BITS`` bits, which bounds the arrays whatever the corpus.
+characters of whole texts, runs of white space being one blank, so n-grams cross
+word borders and word order counts. Spark counts the n-grams of all documents
+and computes discounts, continuation counts and back-off weights. The model is
+kept as arrays sorted by 64-bit hash, an array for each hash range. Texts go
+through it in slices: every slice asks each range once for its distinct n-grams
+and gets the log-probabilities back, by co-grouped joins, so the model
+is never in one place and may grow with the corpus.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import U64, ddl, mix, quoted, stored, sums, text_slices, texts_of, window_hashes, word_codes, word_hashes
 
 ORDER = 5
-HASH_BITS = 24          # at most 2**24 entries an order
-GROUPS = 1024           # languages are hashed to so many groups; a band and a model for each
 START, END = "\x02", "\x03"
-BIN = 0.01              # log-perplexities are counted by hundredths
+SLICE = 8 << 20         # bytes of text that a task handles at once
+CHUNK = 8 << 20         # characters of a text that are numbered at once
+REQUESTS = 1 << 21      # n-grams asked of one hash range
+BIN = 0.001             # log-perplexities are counted by thousandths
+LEAST = 0.002           # least deviation of a language
 MIN_WORDS, REPEAT_SHARE = 10, 20   # fixed values of the base rule
 WINDOW = 5
-BAND, SHORT = 7.0, 150.0  # width in robust deviations; words at which it is sqrt(2) times that
-
+BAND, SHORT = 8.0, 250.0  # width in robust deviations; words at which it is sqrt(2) times that
+
+
+def model_key(text, lang):
+    """Key of the model that judges a text: its fold (0 or 1, by a hash of the text, so copies share it) and its
+    language (null is a language of its own). The model of a fold is counted over the texts of the other one, so
+    no text is judged by its own n-grams."""
+    fold = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)).cast("string")
+    return F.concat(fold, F.coalesce(F.concat(F.lit("="), lang.cast("string")), F.lit("")))
+
+
+# ---------------------------------------------------------------- texts to numbered n-grams
+
+def _number(points: np.ndarray) -> tuple[np.ndarray, int]:
+    """Number of the n-gram (order 5) that starts at each place, equal n-grams having equal numbers, and how many there are."""
+    last = len(points) - ORDER + 1
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    letters = int(seen.sum())
+    code = (np.cumsum(seen, dtype=np.int32) - 1)[points]
+    ids, n = code[:last].astype(np.int64), letters
+    for k in range(1, ORDER):
+        keys = ids * letters + code[k:last + k]
+        if n * letters <= 1 << 25:  # a table of the possible continuations
+            seen = np.zeros(n * letters, bool)
+            seen[keys] = True
+            ids = (np.cumsum(seen, dtype=np.int32) - 1)[keys].astype(np.int64)
+            n = int(seen.sum())
+        else:
+            found, ids = np.unique(keys, return_inverse=True)
+            n = len(found)
+    return ids, n
 
-def language_group(lang):
-    """Group of a language column; null and empty are one group of their own."""
-    return F.pmod(F.xxhash64(F.coalesce(lang.cast("string"), F.lit(""))), F.lit(GROUPS)).cast("int")
 
+def _gram_keys(points: np.ndarray, at: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """64-bit hash of the n-grams of order 5 that start at ``at``, for the model key hashed to ``seed``."""
+    with np.errstate(over="ignore"):
+        h = np.full(len(at), seed, U64)
+        for k in range(ORDER):
+            h = h * U64(0x100000001B3) + points[at + k].astype(U64) + U64(1)
+            h ^= h >> U64(32)
+    return mix(h)
 
-# ---------------------------------------------------------------- texts to padded characters
 
-def _padded(words: pa.Array):
-    """(string, code points, first character of each word, length of each word) of the padded words in a row."""
+def _streams(texts: pa.Array, langs: pa.Array):
+    """Of each model key of some texts: (key, its texts' rows, code points of the padded texts in a row,
+    first scored place of each text, number of scored places). Texts without words are left out."""
+    plain = pc.ascii_trim_whitespace(pc.replace_substring_regex(texts, r"[\x20\x09-\x0D]+", " "))
+    length = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = langs.dictionary_encode()
+    of = coded.indices.to_numpy(zero_copy_only=False)
     pad = START * (ORDER - 1)
-    text = pad + (END + pad).join(words.to_pylist()) + END
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    first = np.cumsum(n + ORDER) - (n + 1)
-    return text, points, first, n
+    for code, lang in enumerate(coded.dictionary.to_pylist()):
+        rows = np.flatnonzero((of == code) & (length > 0))
+        if len(rows):
+            text = pad + (END + pad).join(plain.take(pa.array(rows)).to_pylist()) + END
+            scored = length[rows] + 1
+            yield lang, rows, np.frombuffer(text.encode("utf-32-le"), np.uint32), np.cumsum(scored + ORDER - 1) - scored, scored
 
 
-def _gram_keys(points: np.ndarray, at: np.ndarray, order: int, group: np.ndarray) -> np.ndarray:
-    """Hash of the ``order`` characters that end at ``at``, in a language group."""
-    with np.errstate(over="ignore"):
-        h = group.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(order)
-        for k in range(order - 1, -1, -1):
-            h = h * U64(0x100000001B3) + points[at - k].astype(U64) + U64(1)
-            h ^= h >> U64(32)
-    return (mix(h) >> U64(64 - HASH_BITS)).astype(np.uint32)
+def _chunks(points: np.ndarray, first: np.ndarray, scored: np.ndarray):
+    """(place of the first n-gram, their numbers, times each number is scored, a place of each number) by chunks."""
+    edge = np.zeros(len(points) + 1, np.int8)
+    edge[first] += 1
+    edge[first + scored] -= 1
+    valid = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    for low in range(0, len(points) - ORDER + 1, CHUNK):
+        part = points[low:low + CHUNK + ORDER - 1]
+        ids, n = _number(part)
+        times = np.bincount(ids[valid[low + ORDER - 1:low + ORDER - 1 + len(ids)]], minlength=n)
+        place = np.zeros(n, np.int64)
+        place[ids] = np.arange(len(ids)) + low
+        yield low, ids, times, place
+
+
+def _seed(lang: str) -> np.uint64:
+    return word_hashes(pa.array([lang], pa.large_string()))[0]
 
 
+def _slice_keys(texts: pa.Array, langs: pa.Array) -> np.ndarray:
+    """Sorted hashes of the distinct scored n-grams of some texts."""
+    found = [np.zeros(0, U64)]
+    for lang, _, points, first, scored in _streams(texts, langs):
+        for _, _, times, place in _chunks(points, first, scored):
+            found.append(_gram_keys(points, place[times > 0], _seed(lang)))
+    return np.unique(np.concatenate(found))
+
+
+# ---------------------------------------------------------------- the model
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of the highest order of a batch, by language group."""
-    for batch in text_slices(batches):
-        starts, codes, words = word_codes(texts_of(batch.column(0)))
-        if not len(words):
-            continue
-        groups = batch.column(1).to_numpy()
-        text, points, first, n = _padded(words)
-        of_word = np.repeat(groups, np.diff(starts))
-        for g in np.unique(of_word):
-            times = np.bincount(codes[of_word == g], minlength=len(words))
-            used = np.flatnonzero(times)
-            length = n[used] + 1
-            at = np.repeat(first[used] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            keys = window_hashes(points.astype(U64), ORDER)[at - ORDER + 1]
-            weight = np.repeat(times[used], length)
-            order = np.argsort(keys, kind="stable")
-            keys, weight, at = keys[order], weight[order], at[order]
-            head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            total = np.add.reduceat(weight, head)
-            grams = [text[i - ORDER + 1:i + 1] for i in at[head].tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(head), g, np.int32)), pa.array(grams, pa.string()), pa.array(total.astype(np.int64))],
-                names=["g", "gram", "c"])
+    """Distinct n-grams of the highest order of a slice, by fold and language."""
+    for batch in text_slices(batches, SLICE):
+        for lang, _, points, first, scored in _streams(texts_of(batch.column(0)), batch.column(1)):
+            for _, _, times, place in _chunks(points, first, scored):
+                used = np.flatnonzero(times)
+                if not len(used):
+                    continue
+                shape = points[place[used][:, None] + np.arange(ORDER)]
+                text = shape.astype("<u4").tobytes().decode("utf-32-le")
+                grams = [text[i:i + ORDER] for i in range(0, len(text), ORDER)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(used), pa.string()), pa.array(grams, pa.string()), pa.array(times[used].astype(np.int64)),
+                     pa.array(np.ones(len(used), np.int64))], names=["g", "gram", "c", "slices"])
 
 
 def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(g, gram, c): n-grams of order 5 of all texts, by language group."""
-    source = docs.select(F.col(text_col), language_group(F.col(lang_col)).alias("g"))
-    return (source.mapInArrow(_count, "g int, gram string, c long")
-            .groupBy("g", "gram").agg(F.sum("c").alias("c")))
+    """(g, gram, c0, c1, c, slices): n-grams of order 5 of all texts by language, their counts in each fold and in both,
+    and the number of slices that hold them."""
+    source = docs.select(F.col(text_col), model_key(F.col(text_col), F.col(lang_col)).alias("g"))
+    times = lambda fold: F.sum(F.when(F.col("fold") == fold, F.col("c")).otherwise(F.lit(0))).alias(f"c{fold}")
+    return (source.mapInArrow(_count, "g string, gram string, c long, slices long")
+            .select(F.substring("g", 1, 1).alias("fold"), F.expr("substring(g, 2)").alias("g"), "gram", "c", "slices")
+            .groupBy("g", "gram").agg(times(0), times(1), F.sum("c").alias("c"), F.sum("slices").alias("slices")))
+
+
+def cross_counts(counts: DataFrame) -> DataFrame:
+    """(g, gram, c): for the model of each fold the n-grams' counts in the other fold, 0 for those of its own fold alone."""
+    return counts.select("gram", F.expr("explode(array(struct(concat('0', g) as g, c1 as c), struct(concat('1', g) as g, c0 as c))) as m")
+                         ).select("m.g", "gram", "m.c")
 
 
 def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,107 +159,78 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns (grams, contexts): interpolated log-probabilities (n, g, gram, logp)
     of all n-grams of each order, and back-off weights (n, g, gram, logb) of
-    contexts of n characters. Lower orders count distinct preceding characters.
+    contexts of n characters. An n-gram with c = 0 was never seen: it adds nothing
+    to any count and gets the probability that its context leaves to it. Lower orders count distinct preceding characters.
     The discounts of an order come from its counts of counts; where these are
     too few (a zero among them) they are 0.5, 1 and 1.5.
     """
-    levels = [stored(counts, "kn-5")]
+    levels = [counts.select("g", "gram", "c")]
     for n in range(ORDER - 1, 0, -1):
         levels.insert(0, stored(levels[0].groupBy("g", F.substring("gram", 2, n).alias("gram"))
-                                .agg(F.count(F.lit(1)).alias("c")), f"kn-{n}"))
+                                .agg(F.sum(F.expr("if(c > 0, 1L, 0L)")).alias("c")), f"kn-{n}"))
     grams, contexts, lower = [], [], None
     for n, level in enumerate(levels, 1):
-        tally = level.groupBy("g").agg(*(F.sum(F.expr(f"if(c = {k}, 1, 0)")).alias(f"n{k}") for k in (1, 2, 3, 4)))
-        tally = tally.select(
-            F.col("g"), *(F.expr(f"if(least(n1, n2, n3, n4) > 0, greatest({k} - {k + 1} * n1 / (n1 + 2 * n2) * n{k + 1} / n{k}, 0.01D), {d}D)")
-                          .alias(f"d{k}") for k, d in ((1, 0.5), (2, 1.0), (3, 1.5))))
-        # one row for each language group: at most GROUPS rows
-        rows = level.join(F.broadcast(tally), "g").withColumn("d", F.expr("case c when 1 then d1 when 2 then d2 else d3 end"))
+        tally = level.groupBy("g").agg(*(F.sum(F.expr(f"if(c = {k}, 1, 0)")).alias(f"n{k}") for k in (1, 2, 3, 4)),
+                                       F.count(F.lit(1)).alias("v"))
+        tally = stored(tally.select(
+            "g", "v", *(F.expr(f"if(least(n1, n2, n3, n4) > 0, greatest({k} - {k + 1} * n1 / (n1 + 2 * n2) * n{k + 1} / n{k}, 0.01D), {d}D)")
+                        .alias(f"d{k}") for k, d in ((1, 0.5), (2, 1.0), (3, 1.5)))), f"kn-tally-{n}")
+        # a row for each language; Spark broadcasts the stored table while it is small
+        rows = level.join(tally, "g").withColumn("d", F.expr("case c when 0 then 0D when 1 then d1 when 2 then d2 else d3 end"))
         rows = rows.withColumn("ctx", F.substring("gram", 1, n - 1) if n > 1 else F.lit(""))
         weights = rows.groupBy("g", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("held"))
         weights = stored(weights, f"kn-ctx-{n}")
         rows = rows.join(weights, ["g", "ctx"])
         if n == 1:
-            vocabulary = level.groupBy("g").count().withColumnRenamed("count", "v")  # at most GROUPS rows
-            rows = rows.join(F.broadcast(vocabulary), "g").withColumn("below", F.expr("1D / v"))
+            rows = rows.withColumn("below", F.expr("1D / v"))
         else:
             rows = rows.withColumn("suffix", F.substring("gram", 2, n - 1)).join(
                 lower.select("g", F.col("gram").alias("suffix"), F.col("p").alias("below")), ["g", "suffix"])
-        lower = stored(rows.select("g", "gram", F.expr("greatest(c - d, 0D) / total + held / total * below").alias("p")), f"kn-p-{n}")
+        lower = stored(rows.select("g", "gram", F.expr("if(total > 0, greatest(c - d, 0D) / total + held / total * below, below)").alias("p")), f"kn-p-{n}")
         grams.append(lower.select(F.lit(n).alias("n"), "g", "gram", F.log("p").cast("float").alias("logp")))
         contexts.append(weights.select(F.lit(n - 1).alias("n"), "g", F.col("ctx").alias("gram"),
-                                       F.log(F.expr("held / total")).cast("float").alias("logb")))
+                                       F.log(F.expr("if(total > 0, held / total, 1D)")).cast("float").alias("logb")))
     union = lambda parts: [p := parts[0], *[p := p.unionByName(x) for x in parts[1:]]][-1]
     return union(grams), union(contexts)
 
 
-class HashedModel:
-    """Sorted arrays of hashes and the values beside them, an array for each order."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], contexts: list[tuple[np.ndarray, np.ndarray]]):
-        self.grams, self.contexts = grams, contexts
-
-    @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        have, values = table
-        if not len(have):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return have[at] == keys, values[at]
-
-    def log_probability(self, points: np.ndarray, at: np.ndarray, group: int) -> np.ndarray:
-        """Of the characters at places ``at`` after the characters before them; backs off to shorter contexts."""
-        out, todo = np.zeros(len(at)), np.arange(len(at))
-        for n in range(ORDER, 0, -1):
-            g = np.full(len(todo), group, np.int64)
-            hit, value = self._find(self.grams[n - 1], _gram_keys(points, at[todo], n, g))
-            out[todo[hit]] += value[hit]
-            todo = todo[~hit]
-            if not len(todo):
-                return out
-            known, back = self._find(self.contexts[n - 1], _gram_keys(points, at[todo] - 1, n - 1, g[~hit]))
-            out[todo[known]] += back[known]
-        out[todo] -= math.log(0x110000)  # a character never seen
-        return out
-
-
-def collect_model(grams: DataFrame, contexts: DataFrame) -> HashedModel:
-    """Hash the n-grams in Spark tasks and gather the sorted arrays (at most 2**HASH_BITS entries each).
-
-    N-grams that share a hash share the mean of their values.
-    """
+def hash_arrays(grams: DataFrame, bits: int) -> DataFrame:
+    """(r, keys, logp): the n-grams of order 5 by hash range, keys as sorted unsigned 64-bit numbers with floats beside them."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, g, gram, value = batch.columns
-            n, g = n.to_numpy(), g.to_numpy()
-            text = gram.to_pylist()
-            keys = np.zeros(len(n), np.int64)
-            for order in np.unique(n):
-                mine = np.flatnonzero(n == order)
+            keys = np.zeros(batch.num_rows, U64)
+            coded = batch.column(0).dictionary_encode()
+            of = coded.indices.to_numpy(zero_copy_only=False)
+            text = batch.column(1).to_pylist()
+            for code, lang in enumerate(coded.dictionary.to_pylist()):
+                mine = np.flatnonzero(of == code)
                 points = np.frombuffer("".join([text[i] for i in mine]).encode("utf-32-le"), np.uint32)
-                at = np.arange(1, len(mine) + 1) * order - 1
-                keys[mine] = _gram_keys(points, at, int(order), g[mine].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(keys), value], names=["n", "key", "value"])
+                keys[mine] = _gram_keys(points, np.arange(len(mine)) * ORDER, _seed(lang))
+            yield pa.RecordBatch.from_arrays([pa.array(_range(keys, bits)), pa.array(keys.view(np.int64)), batch.column(2)],
+                                             names=["r", "key", "logp"])
 
-    def arrays(rows: DataFrame, value: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        table = (rows.select("n", "g", "gram", F.col(value).alias("value"))
-                 .mapInArrow(hashed, "n int, key long, value float").groupBy("n", "key").agg(F.avg("value").cast("float").alias("value"))
-                 .toArrow())
-        n, key, val = (table.column(c).to_numpy() for c in ("n", "key", "value"))
-        out = {}
-        for order in range(ORDER + 1):
-            mine = np.flatnonzero(n == order)
-            mine = mine[np.argsort(key[mine])]
-            out[order] = key[mine].astype(np.uint32), val[mine].astype(np.float32)
-        return out
+    def sort(table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy().view(U64)
+        order = np.argsort(keys)
+        return pa.table({"r": table.column("r")[:1], "keys": pa.array([keys[order].tobytes()], pa.binary()),
+                         "logp": pa.array([table.column("logp").to_numpy()[order].astype("<f4").tobytes()], pa.binary())})
 
-    p, b = arrays(grams, "logp"), arrays(contexts, "logb")
-    return HashedModel([p[n] for n in range(1, ORDER + 1)], [b[n] for n in range(ORDER)])
+    return (grams.where(F.col("n") == ORDER).select("g", "gram", "logp").mapInArrow(hashed, "r long, key long, logp float")
+            .groupBy("r").applyInArrow(sort, "r long, keys binary, logp binary"))
 
 
-def fit_language_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> HashedModel:
-    return collect_model(*kneser_ney(count_ngrams(docs, text_col, lang_col)))
+def _range(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> U64(64 - bits)).astype(np.int64)
+
+
+def fit_language_models(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, int]:
+    """(hash arrays, bits of a range number) of two models, one for each fold, for each language. There are so many ranges that the
+    slices ask each for about ``REQUESTS`` n-grams."""
+    counts = stored(count_ngrams(docs, text_col, lang_col), "kn-5")
+    asked = counts.agg(F.sum("slices")).first()[0] or 0
+    bits = max(4, (asked // REQUESTS).bit_length())
+    return stored(hash_arrays(kneser_ney(stored(cross_counts(counts), "kn-cross"))[0], bits), "kn-arrays"), bits
 
 
 # ---------------------------------------------------------------- counts of a text
@@ -254,57 +288,114 @@ def text_counts(texts: pa.Array, starts: np.ndarray, codes: np.ndarray, words: p
             "n_repeat_words": repeated_words(codes, starts, word_hashes(words))}
 
 
-def score_documents(docs: DataFrame, model: HashedModel, text_col: str = "text", lang_col: str = "lang",
+def _slice_numbers(batches: Iterator[pa.RecordBatch]):
+    """(number, batch) of the slices of a task; a task that reads the same rows again gives the same numbers."""
+    own = TaskContext.get().partitionId() << 32
+    for k, batch in enumerate(text_slices(batches, SLICE)):
+        yield own + k, batch
+
+
+def score_documents(docs: DataFrame, model: tuple[DataFrame, int], text_col: str = "text", lang_col: str = "lang",
                     keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` and, under names starting with ``_q_``, the counts of each text, its language group and
-    its log-perplexity by character (null without words)."""
+    """The columns ``keep`` and, under names starting with ``_q_``, the counts of each text, its language and
+    its log-perplexity by character (null without words).
+
+    ``model`` must have been counted over these rows or more, and ``docs`` must give the same rows in the same order
+    whenever it is read, as a table does: slices are cut twice. If an n-gram of a text is missing the job raises.
+    """
     keep = ["doc_id"] if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast((model.grams, model.contexts))
+    arrays, bits = model
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = HashedModel(*shared.value)
-        for batch in text_slices(batches):
-            texts = texts_of(batch.column(0))
-            groups = batch.column(1).to_numpy()
-            starts, codes, words = word_codes(texts)
-            found = text_counts(texts, starts, codes, words)
-            logp = np.zeros(len(codes))
-            if len(words):
-                _, points, first, n = _padded(words)
-                of_word = np.repeat(groups, np.diff(starts))
-                for g in np.unique(of_word):
-                    mine = np.flatnonzero(of_word == g)
-                    used, back = np.unique(codes[mine], return_inverse=True)
-                    length = n[used] + 1
-                    edge = np.concatenate([[0], np.cumsum(length)])
-                    at = np.repeat(first[used] - edge[:-1], length) + np.arange(edge[-1])
-                    logp[mine] = sums(lm.log_probability(points, at, int(g)), edge)[back]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = -sums(logp, starts) / (found["word_chars"] + found["n_words"])
-            score = pa.array(score, mask=found["n_words"] == 0)
+    kinds = ddl(docs, keep)
+    source = docs.select(F.col(text_col).alias("_q_text"), model_key(F.col(text_col), F.col(lang_col)).alias("_q_model"),
+                         *quoted([c for c in keep if c != text_col]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in _slice_numbers(batches):
+            keys = _slice_keys(texts_of(batch.column(0)), batch.column(1))
+            r = _range(keys, bits)
+            head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else r
+            parts = [keys[a:b].tobytes() for a, b in zip(head, [*head[1:], len(r)])]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], *(pa.array(found[c].astype(np.int64)) for c in names), pa.array(groups, pa.int32()), score],
-                names=[*batch.schema.names[2:], *(f"_q_{c}" for c in names), "_q_group", "_q_logppl"])
+                [pa.array(np.full(len(head), number, np.int64)), pa.array(r[head]), pa.array(parts, pa.binary())], names=["slice", "r", "asked"])
+
+    def answer(asked: pa.Table, part: pa.Table) -> pa.Table:
+        have = np.frombuffer(part.column("keys")[0].as_py(), U64) if part.num_rows else np.zeros(0, U64)
+        logp = np.frombuffer(part.column("logp")[0].as_py(), "<f4") if part.num_rows else np.zeros(0, "<f4")
+        out = []
+        for keys in asked.column("asked"):
+            keys = np.frombuffer(keys.as_py(), U64)
+            at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
+            if not len(have) or (have[at] != keys).any():
+                raise ValueError("a text has an n-gram that the language model lacks")
+            out.append(logp[at].tobytes())
+        return pa.table({"slice": asked.column("slice"), "r": asked.column("r"), "logp": pa.array(out, pa.binary())})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in _slice_numbers(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                             names=["slice", "rows"])
+
+    def judge(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = pa.ipc.open_stream(packed.column("rows")[0].as_py()).read_all().combine_chunks()
+        texts, langs = texts_of(batch.column(0)), batch.column(1).combine_chunks()
+        starts, codes, words = word_codes(texts)
+        found = text_counts(texts, starts, codes, words)
+        keys = _slice_keys(texts, langs)
+        parts = dict(zip(answers.column("r").to_pylist(), answers.column("logp").to_pylist()))
+        logp = np.frombuffer(b"".join(parts[r] for r in sorted(parts)), "<f4")
+        if len(logp) != len(keys):
+            raise ValueError("the rows were read in another order than before; write them to a table first")
+        score = np.full(len(texts), np.nan)
+        for lang, rows, points, first, scored in _streams(texts, langs):
+            total = np.zeros(len(rows))
+            for low, ids, times, place in _chunks(points, first, scored):
+                used = np.flatnonzero(times)
+                value = np.zeros(len(times))
+                value[used] = logp[np.searchsorted(keys, _gram_keys(points, place[used], _seed(lang)))]
+                upto = np.concatenate([[0.0], np.cumsum(value[ids])])
+                a = np.clip(first - ORDER + 1 - low, 0, len(ids))
+                total += upto[np.clip(first + scored - ORDER + 1 - low, 0, len(ids))] - upto[a]
+            score[rows] = -total / scored
+        out = {c: batch.column("_q_text" if c == text_col else c) for c in keep}
+        return pa.Table.from_arrays(
+            [*out.values(), *(pa.array(found[c].astype(np.int64)) for c in names), pc.utf8_slice_codeunits(langs, 1), pa.array(score, mask=np.isnan(score))],
+            names=[*out, *(f"_q_{c}" for c in names), "_q_lang", "_q_logppl"])
+
+    asked = source.mapInArrow(ask, "slice long, r long, asked binary")
+    answers = asked.groupBy("r").cogroup(arrays.groupBy("r")).applyInArrow(answer, "slice long, r long, logp binary")
+    packed = source.mapInArrow(pack, "slice long, rows binary")
+    return packed.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
+        judge, kinds + "".join(f"_q_{c} long, " for c in names) + "_q_lang string, _q_logppl double")
+
+
+def _quartiles(values: DataFrame, value) -> DataFrame:
+    """(g, q1, middle, q3) of a value by language, from counts by thousandths."""
+    bins = values.groupBy(F.col("_q_lang").alias("g"), F.floor(value / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    # a language has at most log(0x110000) * ORDER / BIN bins
+    seen = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = bins.select("g", "bin", F.sum("c").over(seen).alias("upto"), F.sum("c").over(Window.partitionBy("g")).alias("total"))
+    at = lambda q: ((F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin"))) + 0.5) * BIN)
+    return ranked.groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("middle"), at(0.75).alias("q3"))
 
-    kinds = ddl(docs, keep)
-    return docs.select(F.col(text_col).alias("_q_text"), language_group(F.col(lang_col)).alias("_q_g"), *quoted(keep)).mapInArrow(
-        run, kinds + "".join(f"_q_{c} long, " for c in names) + "_q_group int, _q_logppl double")
+
+def room():
+    """Standard deviation of a text's log-perplexity, as a multiple of that of a very long one."""
+    return F.expr(f"sqrt(1 + {SHORT} / greatest(_q_n_words, 1))")
 
 
 def perplexity_bands(scored: DataFrame, width: float = BAND) -> DataFrame:
-    """(g, middle, below, above): for each language group the median log-perplexity and the robust deviations
-    under and over it, from the quartiles of all documents that pass the base rule (hundredths of a unit)."""
-    bins = (scored.where("_q_logppl is not null").where(~base_failed())
-            .groupBy(F.col("_q_group").alias("g"), F.floor(F.col("_q_logppl") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("c")))
-    # a group has at most log(0x110000) * ORDER / BIN bins
-    seen = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("g")
-    ranked = bins.select("g", "bin", F.sum("c").over(seen).alias("upto"), F.sum("c").over(whole).alias("total"))
-    at = lambda q: ((F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin"))) + 0.5) * BIN)
-    q = ranked.groupBy("g").agg(at(0.25).alias("q1"), at(0.5).alias("middle"), at(0.75).alias("q3"))
-    return q.select("g", "middle", F.greatest(F.expr("middle - q1"), F.lit(BIN)).alias("low"),
-                    F.greatest(F.expr("q3 - middle"), F.lit(BIN)).alias("high"), F.lit(width / 0.6745).alias("width"))
+    """(g, middle, reach): for each language the median log-perplexity and half the band's width for a very long text:
+    ``width`` robust deviations, from the quartiles of the deviations over ``room`` (thousandths of a unit). Both
+    come from all documents that pass the base rule."""
+    judged = scored.where("_q_logppl is not null").where(~base_failed())
+    middles = stored(_quartiles(judged, F.col("_q_logppl")).select(F.col("g").alias("_q_lang"), "middle"), "lm-middles")
+    q = _quartiles(judged.join(middles, "_q_lang"), (F.col("_q_logppl") - F.col("middle")) / room())
+    return (q.select(F.col("g").alias("_q_lang"), F.greatest((F.col("q3") - F.col("q1")) / 2, F.lit(LEAST)).alias("deviation"))
+            .join(middles, "_q_lang").select(F.col("_q_lang").alias("g"), "middle", (F.col("deviation") * width / 0.6745).alias("reach")))
 
 
 def base_failed():
@@ -322,20 +413,22 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     over 20 % of the words in 5-word windows that the text repeats) or its
     log-perplexity lies outside the band of its language: ``width`` robust
     deviations below or above the median, wider for short texts (times
-    sqrt(1 + 150 / n_words)), whose mean varies more.
+    sqrt(1 + 250 / n_words)), whose mean varies more.
 
     Null and empty texts have no words and fail the base rule; a null language
     is a language of its own; repeated rows count and are judged one by one;
     null ids are carried along; other columns do not matter. Models and bands
-    are fitted to all given documents. An empty table gives an empty result.
+    are fitted to all given documents, which must come in the same order whenever
+    they are read (a table does). Very long texts go through the model in chunks
+    of 8 million characters, their word counts are taken at once. An empty table
+    gives an empty result.
     """
     model = fit_language_models(docs, text_col, lang_col)
     scored = stored(score_documents(docs, model, text_col, lang_col, keep), f"{name}-scores")
-    bands = perplexity_bands(scored, width)
-    room = f"width * sqrt(1 + {SHORT} / greatest(_q_n_words, 1))"
-    inside = F.expr(f"_q_logppl between middle - {room} * low and middle + {room} * high")
-    # one band for each language group: at most GROUPS rows
-    judged = scored.join(F.broadcast(bands.withColumnRenamed("g", "_q_group")), "_q_group", "left")
+    bands = stored(perplexity_bands(scored, width), f"{name}-bands")
+    inside = F.abs(F.col("_q_logppl") - F.col("middle")) <= F.col("reach") * room()
+    # a row for each language; Spark broadcasts the stored table while it is small
+    judged = scored.join(bands.withColumnRenamed("g", "_q_lang"), "_q_lang", "left")
     judged = judged.withColumn("_q_base_failed", base_failed())
     judged = judged.withColumn("_q_kept", ~F.col("_q_base_failed") & F.coalesce(inside, F.lit(True)))
-    return judged.withColumnRenamed("_q_logppl", "_q_log_perplexity").drop("middle", "low", "high", "width", "_q_group")
+    return judged.withColumnRenamed("_q_logppl", "_q_log_perplexity").drop("middle", "reach", "_q_lang")

@@ -189,6 +189,94 @@ def test_quality_bands_keep_clean_documents(llm):
     assert got.share > 0.98
 
 
+def brute_log_perplexity(rows, order=5):
+    """Log-perplexity of each (model key, text) under modified Kneser-Ney counts of the other fold, by recursion."""
+    pads = {i: "\x02" * (order - 1) + " ".join(re.findall(r"[^\x20\x09-\x0D]+", t)) + "\x03" for i, (_, t) in enumerate(rows)}
+    models = {}
+
+    def model(key):
+        if key in models:
+            return models[key]
+        own = [i for i, (k, _) in enumerate(rows) if k[1:] == key[1:] and len(pads[i]) > order]  # texts without words count nothing
+        count = lambda ids: Counter(pads[i][j:j + order] for i in ids for j in range(len(pads[i]) - order + 1))
+        level = {order: count(i for i in own if rows[i][0] != key)}
+        names = {order: set(count(own))}
+        for n in range(order - 1, 0, -1):
+            level[n] = Counter(g[1:] for g, c in level[n + 1].items() if c > 0)
+            names[n] = {g[1:] for g in names[n + 1]}
+        facts = {}
+        for n in level:
+            k = Counter(level[n].values())
+            if min(k[1], k[2], k[3], k[4]):
+                y = k[1] / (k[1] + 2 * k[2])
+                d = [0] + [max(m - (m + 1) * y * k[m + 1] / k[m], 0.01) for m in (1, 2, 3)]
+            else:
+                d = [0, 0.5, 1.0, 1.5]
+            total, held = Counter(), Counter()
+            for g, c in level[n].items():
+                total[g[:-1]] += c
+                held[g[:-1]] += d[min(c, 3)]
+            facts[n] = d, total, held
+
+        def p(g):
+            n = len(g)
+            below = p(g[1:]) if n > 1 else 1 / len(names[1])
+            d, total, held = facts[n]
+            if not total[g[:-1]]:
+                return below
+            c = level[n][g]
+            return (max(c - d[min(c, 3)], 0) + held[g[:-1]] * below) / total[g[:-1]]
+        return models.setdefault(key, p)
+    out = []
+    for i, (key, _) in enumerate(rows):
+        places = range(len(pads[i]) - order + 1)
+        out.append(-sum(np.log(model(key)(pads[i][j:j + order])) for j in places) / len(places) if len(pads[i]) > order else None)
+    return out
+
+
+def test_log_perplexity_by_brute_force(llm, monkeypatch):
+    """Slices, chunks, hash ranges and folds give the same figures as counts in one dictionary; a null, an empty
+    and a repeated text, letters beyond 16 bits and two languages."""
+    rng = random.Random(8)
+    words = ["band", "bandana", "Cab.", "a", "ab", "été", "\U0001F600x", "日本"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    data = [(i, t, rng.choice(["x", "y", None])) for i, t in enumerate([*texts, None, " \n", "a\tb\n a", texts[0]])]
+    frame = llm.createDataFrame(data, "doc_id long, text string, lang string").repartition(3, "doc_id")
+    keyed = frame.select("doc_id", "text", "lang", ngram_lm.model_key(F.col("text"), F.col("lang")).alias("k")).collect()
+    want = brute_log_perplexity([(r.k, r.text or "") for r in keyed])
+    got = {r.doc_id: r._q_log_perplexity for r in ngram_lm.quality_rules(frame).collect()}
+    for r, w in zip(keyed, want):
+        assert (got[r.doc_id] is None) == (w is None)
+        assert w is None or abs(got[r.doc_id] - w) < 1e-4
+    import pyarrow as pa
+    texts, langs = pa.array([r.text or "" for r in keyed], pa.large_string()), pa.array([r.k for r in keyed])
+    whole = ngram_lm._slice_keys(texts, langs)
+    monkeypatch.setattr(ngram_lm, "CHUNK", 37)
+    assert (ngram_lm._slice_keys(texts, langs) == whole).all()
+
+
+def test_bands_reject_planted_junk(llm):
+    """Texts of random letters go and clean documents stay; word order counts: a shuffled text has a higher
+    log-perplexity than the text itself."""
+    table = llm.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = {r.doc_id: r.quality for r in llm.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows, rng = table.collect(), random.Random(5)
+    clean = [r for r in rows if r.lang == "en" and labels.get(r.doc_id) == 1 and len((r.text or "").split()) >= 200]
+    source = rng.sample(clean, 20)
+    junk = []
+    for i in range(20):
+        words = source[i].text.split()
+        noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+        junk += [(10**7 + i, " ".join(rng.sample(words, len(words))), "en"), (2 * 10**7 + i, " ".join(noise), "en")]
+    frame = _common.stored(table.unionByName(llm.createDataFrame(junk, table.schema)), "planted")
+    got = {r.doc_id: r for r in ngram_lm.quality_rules(frame).where("not _q_base_failed").collect()}
+    share = lambda rows: sum(r._q_kept for r in rows) / len(rows)
+    assert not any(got[2 * 10**7 + i]._q_kept for i in range(20))
+    higher = sum(got[10**7 + i]._q_log_perplexity > got[r.doc_id]._q_log_perplexity for i, r in enumerate(source) if r.doc_id in got)
+    assert higher >= 0.95 * sum(r.doc_id in got for r in source)
+    assert share([r for i, r in got.items() if labels.get(i) == 1]) > 0.98
+
+
 def test_warc_format():
     data = b"".join(warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Payload-Digest", warc.digest(p))], p)
                     for i, p in enumerate([b"", b"x" * 300_000, "é\r\n\r\nz".encode()]))
