@@ -32,7 +32,7 @@ BIN = 0.001             # log-perplexities are counted by thousandths
 LEAST = 0.002           # least deviation of a language
 MIN_WORDS, REPEAT_SHARE = 10, 20   # fixed values of the base rule
 WINDOW = 5
-BAND, SHORT = 8.0, 250.0  # width in robust deviations; words at which it is sqrt(2) times that
+BAND, SHORT = 6.5, 250.0  # width in robust deviations; words at which it is sqrt(2) times that
 
 
 def model_key(text, lang):
