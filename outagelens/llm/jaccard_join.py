@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import U64, connected_components, mix, stored, text_slices, texts_of, window_hashes, word_codes, word_hashes
+from ._common import U64, connected_components, discard, mix, stored, text_slices, texts_of, window_hashes, word_codes, word_hashes
 
 WIDTH = 5
 PERCENT = 80
@@ -244,12 +244,14 @@ def orders_pass(percent: int) -> str:
     return f"{part('p2')} and {part('p3')}"
 
 
-def _joined(pairs: DataFrame, table: DataFrame, columns: list[str], condition: str) -> DataFrame:
-    """Pairs (a, b) whose rows of a table of classes meet a condition on x and y."""
+def _joined(pairs: DataFrame, table: DataFrame, condition: str) -> DataFrame:
+    """Pairs (a, b) whose rows of a table of classes meet a condition on x and y.
+
+    Both sides are the same frame, so that Spark shuffles the rows once for the two joins.
+    """
     own = _within(table, "cid", _ends(pairs))
-    x = pairs.join(own, pairs["a"] == own["cid"]).select("a", "b", F.struct(*columns).alias("x"))
-    y = own.select(F.col("cid").alias("b"), F.struct(*columns).alias("y"))
-    return x.join(y, "b").where(condition).select("a", "b").distinct()
+    x = pairs.join(own.alias("x"), F.col("a") == F.col("x.cid"))
+    return x.join(own.alias("y"), F.col("b") == F.col("y.cid")).where(condition).select("a", "b").distinct()
 
 
 def _relabel(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -288,20 +290,26 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         """The similar ones of some pairs: sketches, second and third order first, then whole sets, read for what is left."""
-        left = stored(_joined(pairs, prefixes, ["n", *SKETCHED, "p2", "p3"], orders), f"{name}-left")
+        left = stored(_joined(pairs, prefixes, orders), f"{name}-left")
         ids = _ends(left).distinct()
         texts = _within(named, "id", first.join(ids, "cid", "left_semi"))
         sets = stored(texts.mapInArrow(_sets(width, percent, True), "cid long, n int, tokens array<long>"), f"{name}-sets")
         same = f"{100 + percent} * size(array_intersect(x.tokens, y.tokens)) >= {percent} * (x.n + y.n)"
-        return stored(_joined(left, sets, ["n", "tokens"], same), f"{name}-links")
+        found = stored(_joined(left, sets, same), f"{name}-links")
+        discard(left, sets)
+        return found
 
-    tested = None
+    tested, last = None, lists
     for k in range(ROUNDS):
-        now = lists.join(labels, "cid")
-        leader = [F.min(F.struct(F.xxhash64("cid", F.lit(LEADERS * k + i)).alias("h"), "cid", "label", "n")) for i in range(LEADERS)]
+        now = lists.join(labels, "cid") if k else lists.withColumn("label", F.col("cid"))  # at first each class is its own label
+        # 24 bits choose well enough, and these structs are most of what the round shuffles
+        chance = lambda i: F.shiftrightunsigned(F.xxhash64("cid", F.lit(LEADERS * k + i)), 40)  # noqa: B023, E731
+        leader = [F.min(F.struct(chance(i).alias("h"), "cid", "label", "n")) for i in range(LEADERS)]
         groups = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.array_distinct(F.transform(
             F.array(*leader), lambda s: s.dropFields("h"))).alias("leaders")).where("low <> high").drop("low", "high")
         now = stored(now.join(groups, "token"), f"jaccard-round{k}")
+        discard(last)
+        last = now
         pairs = (now.select("cid", "label", "n", F.explode("leaders").alias("lead")).where("label <> lead.label")
                  .where(f"{percent} * greatest(n, lead.n) <= 100 * least(n, lead.n)")
                  .select(F.least("cid", "lead.cid").alias("a"), F.greatest("cid", "lead.cid").alias("b")).distinct())
