@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from outagelens.llm import _common, jaccard_join
+from outagelens.llm import _common, jaccard_join, ngram_lm
 from outagelens.session import checkpoint_dir
 
 
@@ -50,3 +50,12 @@ def test_jaccard_shuffles_sets_once_and_drops_tables(llm):
         assert "ReusedExchange" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         llm.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quality_rules_score_by_folds_and_drop_tables(llm):
+    before = left(llm)
+    rows = [(i, f"abra cadabra band {i} banana", "x") for i in range(40)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2, "doc_id")
+    assert ngram_lm.quality_rules(docs).count() == 40
+    names = {f.removeprefix("llm-").rsplit("-", 1)[0] for f in left(llm, before)}
+    assert {"quality-scores-0", "quality-scores-1"} <= names and not any(n.startswith("kn-") for n in names)
