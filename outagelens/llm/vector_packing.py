@@ -14,7 +14,9 @@ stay short, and these are cut to powers of two, which need no padding.
 
 from __future__ import annotations
 
+import itertools
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,38 +30,55 @@ from ._common import texts_of, word_codes
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 2048, 64, 2048
 POOL = 1024        # pieces that wait in a task before bins are opened
 MIN_CUT = 32       # gaps smaller than this are left as padding
-WORD_CACHE = 1_300_000  # distinct words a Python worker remembers; beyond it the memory starts anew
+WORD_CACHE = 600_000  # letter runs and odd words a task remembers; with more the memory starts anew at the next texts
+CHUNK_WORDS = 1 << 19  # words whose ids are put in a row at once
 
-#: letters and the signs after them, which this tokenizer always parts; apostrophes (contractions), digits and < are left out
-_SIGNED = re.compile(r"([A-Za-z]+)([!-&(-/:;=-@\[-`{-~]*)")
+#: letters that are one code point in every normal form and have one small letter, and signs that such tokenizers part from
+#: letters; apostrophes (contractions), digits and < (special tokens) are left out
+LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isalpha() and c not in "\xaa\xb5\xba")
+SIGNS = "".join(c for c in string.punctuation if c not in "'<")
+_SMALL = re.compile(f"[{''.join(c for c in LETTERS if c == c.lower())}]+")
 
 _coders: dict[str, "WordCoder"] = {}
 
 
 class WordCoder:
-    """Token ids of white-space separated words, each distinct word encoded once per worker.
+    """Token ids of white-space separated words, each distinct word encoded once per task.
 
     The tokenizer drops white space and never merges across it, so a text's ids
-    are those of its words in a row.
+    are those of its words in a row. A word of letters and signs after them has
+    the ids of the two in a row, and the letters those of the small letters.
+    Small letters are one piece for the tokenizer's model and go to it without
+    the steps before; ``parts`` says whether this tokenizer is such a one.
     """
 
     MARK = "\x01"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
         mark = self.tok.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.model = self.tok.model
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in LETTERS}
+        own = lambda w: self.tok.encode(w, add_special_tokens=False).ids
+        self.parts = all(own(f"{c}{c}a{SIGNS}") == self._letters(f"{c}{c}a".lower()) + own(SIGNS) for c in LETTERS)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.lengths = np.zeros(0, np.int64)
+        self.index: dict[str, int] = {"": 0}
+        self.lengths = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a run of small letters."""
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelled))]
+
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the words, one after another."""
         together = " ".join(words)
@@ -92,43 +111,60 @@ class WordCoder:
             all_n.append(len(got))
         return np.array(all_n, np.int64), np.concatenate(out)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, ids): text ``i`` has ``ids[starts[i]:starts[i + 1]]``."""
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, one text after another."""
         starts, codes, words = word_codes(texts)
-        names = words.to_pylist()
-        if len(self.index) + len(names) > WORD_CACHE:
+        stems, signs = (x.dictionary_encode() for x in self._parted(words))
+        if len(self.index) > WORD_CACHE:
             self.clear()
-        whole, parted = {}, {}
-        for w in names:
-            if w not in self.index:
-                m = _SIGNED.fullmatch(w) if w.isascii() else None
-                if m and (m[2] or not w.islower()):
-                    parted[w] = parts = (m[1].lower(), *filter(None, m.groups()[1:]))
-                    whole.update((x, None) for x in parts if x not in self.index)
-                else:
-                    whole[w] = None
-        if whole:
-            self._learn(list(whole), *self._encode(list(whole)))
-        if parted := {w: parts for w, parts in parted.items() if w not in self.index}:
-            k = np.array([len(parts) for parts in parted.values()])
-            place = np.array([self.index[x] for parts in parted.values() for x in parts], np.int64)
-            edge = np.concatenate([[0], np.cumsum(self.lengths[place])])
-            at = np.concatenate([[0], np.cumsum(k)])
-            self._learn(list(parted), edge[at[1:]] - edge[at[:-1]], self._ids(place, edge))
-        place = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))[codes] if names else codes
-        before = np.concatenate([[0], np.cumsum(self.lengths[place])])
-        return before[starts], self._ids(place, before)
+        place = np.column_stack([self._places(stems), self._places(signs)]).ravel()
+        edge = np.concatenate([[0], np.cumsum(self.lengths[place])])
+        flat = _in_a_row(self.flat, np.cumsum(self.lengths) - self.lengths, place, edge)  # of the distinct words
+        first = edge[::2]
+        low = 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + CHUNK_WORDS, side="right")) - 1)
+            own = codes[starts[low]:starts[high]]
+            before = np.concatenate([[0], np.cumsum(first[own + 1] - first[own])])
+            ids = _in_a_row(flat, first, own, before)
+            for a, b in itertools.pairwise(before[starts[low:high + 1] - starts[low]].tolist()):
+                yield ids[a:b]
+            low = high
+
+    def _parted(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Words of letters and signs after them as the small letters and the signs; others whole and without signs."""
+        none = pa.array([""] * len(words), words.type)
+        if not self.parts:
+            return words, none
+        stem, signs = pc.utf8_rtrim(words, characters=SIGNS), pc.utf8_ltrim(words, characters=LETTERS)
+        a, b, n = (np.asarray(pc.binary_length(x)) for x in (stem, signs, words))
+        both = pa.array((a + b == n) & (a > 0))
+        return pc.if_else(both, pc.utf8_lower(stem), words), pc.if_else(both, signs, none)
+
+    def _places(self, words: pa.DictionaryArray) -> np.ndarray:
+        """Place of each word in ``lengths``; new ones are encoded."""
+        names = words.dictionary.to_pylist()
+        new = [w for w in names if w not in self.index]
+        small = [w for w in new if self.parts and _SMALL.fullmatch(w)]
+        if small:
+            ids = [self._letters(w) for w in small]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._learn(small, n, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())))
+        if odd := [w for w in new if w not in self.index]:
+            self._learn(odd, *self._encode(odd))
+        own = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        return own[words.indices.to_numpy()]
 
     def _learn(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
 
-    def _ids(self, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Ids of the words at some places, in a row; ``edge``: where each begins."""
-        first = np.cumsum(self.lengths) - self.lengths
-        at = np.repeat((first[place] - edge[:-1]).astype(np.int32), self.lengths[place])
-        at += np.arange(edge[-1], dtype=np.int32)
-        return self.flat.take(at)
+
+def _in_a_row(flat: np.ndarray, first: np.ndarray, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The ids of some words, in a row; ``first``: where a word begins in ``flat``, ``edge``: where it shall begin."""
+    at = np.repeat((first[place] - edge[:-1]).astype(np.int32), np.diff(edge))
+    at += np.arange(edge[-1], dtype=np.int32)
+    return flat.take(at)
 
 
 def coder(path: str) -> WordCoder:
@@ -181,7 +217,7 @@ class Packer:
         left, scale, chosen = self.cap.copy(), 1 / (self.cap * self.cap), []
         live = np.ones(len(self.pieces), bool)
         while left[1] >= 1 and live.any():
-            fits = live & (self.demand <= left).all(axis=1)
+            fits = live & (self.demand[:, 0] <= left[0]) & (self.demand[:, 2] <= left[2])  # a piece is one segment
             if not fits.any():
                 break
             best = int(np.argmax(np.where(fits, self.demand @ (scale * left), -1)))
@@ -288,13 +324,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_to
                 if low >= high:
                     continue
                 texts = table.slice(low, high - low)
-                starts, ids = tok.encode(texts)
-                for i in range(high - low):
-                    own = np.append(ids[starts[i]:starts[i + 1]], np.uint32(end_id)).astype(np.uint32)
+                for i, ids in enumerate(tok.encode(texts)):
+                    own = np.append(ids, np.uint32(end_id)).astype(np.uint32)
                     free = 1
                     if prompts and (k := prompts[low + i]):
                         head = pa.array([" ".join((texts[i].as_py()).split()[:k])], pa.large_string())
-                        free = max(1, int(tok.encode(head)[0][-1]))
+                        free = max(1, len(next(tok.encode(head))))
                     totals[row] = (names[low + i], len(own), free)
                     packer.add(row, own, free)
                     row += 1
@@ -305,6 +340,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_to
                 yield from send()
         packer.finish()
         yield from send()
+        tok.clear()  # the worker may live on for other work
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*columns).mapInArrow(
         run, "doc_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, "

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,28 @@ def test_packing_limits():
     assert all(sum(len(i) for _, _, i in b) <= 64 and len(b) <= 3 for b in bins.values())
 
 
+def test_letter_runs_are_encoded_once():
+    """Letters of Latin-1 and the signs after them are known apart; the ids are the tokenizer's."""
+    tok, coder = tokenizer("word_bpe_49k.json"), vector_packing.WordCoder(queries.vocabulary("word_bpe_49k.json"))
+    signed = "\u00e9t\u00e9 \u00c9t\u00e9, \u00c9T\u00c9. \u00e9t\u00e9, stra\u00dfe Stra\u00dfe!!"
+    assert [x.tolist() for x in coder.encode(pa.array([signed], pa.large_string()))] == [tok.encode(signed, add_special_tokens=False).ids]
+    assert set(coder.index) == {"", "\u00e9t\u00e9", "stra\u00dfe", ",", ".", "!!"}
+    rng = random.Random(3)
+    signs = [*"abCDe'<|>!.,~ 01\t\n\x1c\xa0\x85\u00c0\u00df\u00ff\u00d7\xaa\xb5\u0130\u03a3\u03c2\u0301\u5b57\x01", "'s", "<|endoftext|>"]
+    texts = ["", *("".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(3000))]
+    got = [x.tolist() for x in coder.encode(pa.array(texts, pa.large_string()))]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_workers_forget_words_after_packing(llm, docs):
+    def known(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([max((len(c.index) for c in vector_packing._coders.values()), default=0)])], names=["n"])
+
+    vector_packing.pack_documents(docs, queries.vocabulary("word_bpe_49k.json")).write.format("noop").mode("overwrite").save()
+    assert all(r.n <= 1 for r in llm.range(0, 16, 1, 16).mapInArrow(known, "n long").collect())
+
+
 def test_secrets(docs, rows):
     got = secret_scan.scan_secrets(docs, keep=["doc_id", "text", "spans"]).collect()
     assert len(got) == len(rows)
