@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quantiles import exact_quantiles
-from ._common import ddl, quoted, stored, sums, texts_of, word_codes, word_hashes
+from ._common import ddl, quoted, stored, sums, text_slices, texts_of, word_codes, word_hashes
 from .ngram_lm import duplicate_lines, repeated_words
 
 MAX_LABELLED = 20_000   # rows the model is fitted to, at most (those with the smallest hash of the id)
 MAX_PAIRS = 60_000      # preference pairs drawn from them
 CUT = 0.3               # score at the threshold
+SLICE = 2 << 20         # bytes of text whose features a task computes at once: some 60 bytes of arrays a byte
+ROWS = 2000             # rows whose scores a task computes at once
 
 _CLASSES = 8
 _CLASS = np.full(256, 7, np.int64)           # bytes of other alphabets
@@ -89,7 +91,8 @@ class Ranking:
     gap: float  # median distance of the scores over the threshold from it
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.middle) / self.scale * self.weights).sum(axis=1)  # a row has the same sum in every batch
+        parts = [((x[low:low + ROWS] - self.middle) / self.scale * self.weights).sum(axis=1) for low in range(0, len(x), ROWS)]
+        return np.concatenate([np.zeros(0), *parts])  # a row has the same sum in every batch
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, ``CUT`` at the threshold."""
@@ -123,20 +126,21 @@ def fit_ranking(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int =
     return Ranking(middle, scale, w, -1.0, 1.0)
 
 
+def _add_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose first column, the text, is replaced by its features as the last."""
+    for batch in text_slices(batches, SLICE):
+        for low in range(0, batch.num_rows, ROWS):
+            part = batch.slice(low, ROWS)
+            x = features(texts_of(pa.concat_arrays([part.column(0)]))).astype(np.float32)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], values], names=[*part.schema.names[1:], "_r_x"])
+
+
 def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and ``_r_x``, the features of the text (array<float>)."""
     keep = ["doc_id"] if keep is None else keep
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
-                x = features(texts_of(pa.concat_arrays([part.column(0)]))).astype(np.float32)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], values], names=[*part.schema.names[1:], "_r_x"])
-
     kinds = ddl(docs, keep)
-    return docs.select(F.col(text_col).alias("_r_text"), *quoted(keep)).mapInArrow(run, kinds + "_r_x array<float>")
+    return docs.select(F.col(text_col).alias("_r_text"), *quoted(keep)).mapInArrow(_add_features, kinds + "_r_x array<float>")
 
 
 def fit_on_labels(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",

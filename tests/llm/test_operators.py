@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -503,6 +504,20 @@ def test_wrapper_tables(llm):
     assert wrapper.expression(whole) == "(<#>(<body>(<ul>(<li>#TEXT</li>)+</ul>) (<p>x</p>)? (<div.c0>same</div>)</body>)</#>)"
 
 
+def test_features_take_bounded_memory():
+    """A batch is cut by the bytes of its texts, and the cuts change no feature."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdeXYZ01,.", k=6)) for _ in range(rng.randint(0, 1400))) for _ in range(400)] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts)))], names=["_r_text", "doc_id"])
+    tracemalloc.start()
+    parts = list(pairwise_rank._add_features(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(len(texts))) and peak < 250e6
+    x = np.concatenate([p.column(1).flatten().to_numpy() for p in parts]).reshape(len(texts), -1)
+    assert (x[:400] == pairwise_rank.features(_common.texts_of(batch.column(0).slice(0, 400))).astype(np.float32)).all()
+
+
 def test_ranking(llm):
     table = llm.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = llm.read.parquet("/root/testdata/sf0.01/labels.parquet")
