@@ -65,6 +65,30 @@ def test_full_join_rows_without_key(spark):
     assert got.filter("siteid = 10 and a = 10 and b = 10 and c = 10").count() == 1
 
 
+def test_null_keys_are_paired_in_several_tasks(spark):
+    """All pairs of rows without a key, in a chain whose third source has none; no task makes most of them."""
+    def frame(col, rows, nulls):
+        return spark.range(rows).select(F.when(F.col("id") >= nulls, F.col("id")).alias("siteid"), F.col("id").alias(col))
+    got = jn.full_join_coalesce([frame("a", 4110, 4100), frame("b", 2130, 2100), frame("c", 4, 0)], "siteid", null_safe=True)
+    assert got.columns == ["siteid", "a", "b", "c"]
+    lost = got.filter("siteid is null")
+    of = lost.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum(F.col("a") * 2100 + F.col("b")).alias("s")).collect()
+    pairs = 4100 * 2100
+    assert sum(r.n for r in of) == pairs and max(r.n for r in of) < 0.6 * pairs and sum(r.s for r in of) == pairs * (pairs - 1) // 2
+    assert lost.filter("c is not null").count() == 0
+    assert sorted((r.siteid, r.a, r.b, r.c) for r in got.filter("siteid is not null").collect()) == sorted(
+        [(i, i, None, None) for i in range(4100, 4110)] + [(i, None, i, None) for i in range(2100, 2130)] + [(i, None, None, i) for i in range(4)])
+
+
+def test_null_keys_of_one_source_and_of_none(spark):
+    a = spark.createDataFrame([(1, "a1"), (None, "a0"), (None, "a0")], "siteid int, na string")
+    b = spark.createDataFrame([(1, "b1")], "siteid bigint, nb string")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert rows(jn.full_join_coalesce([a, b], "siteid", null_safe=True)) == sorted([(1, "a1", "b1"), (None, "a0", None), (None, "a0", None)], key=str)
+    assert rows(jn.full_join_coalesce([b, a], "siteid", null_safe=True)) == sorted([(1, "b1", "a1"), (None, None, "a0"), (None, None, "a0")], key=str)
+    assert rows(jn.full_join_coalesce([a.dropna(), b], "siteid", null_safe=True)) == [(1, "a1", "b1")]
+
+
 def test_sparse_dummy_many_levels(spark):
     """A million levels: sparse vectors through a table of levels; missing, unseen and reference values."""
     n = 1_000_000
