@@ -55,3 +55,11 @@ def test_flagship_reads_only_needed_lineitem_columns(spark):
     for sch in schemas:
         cols = {c.split(":")[0] for c in sch.split(",")}
         assert not cols & {"l_extendedprice", "l_discount", "l_tax", "l_shipdate"}, cols
+
+
+def test_pairs_of_the_distance_join_are_not_shuffled(spark):
+    """Q5: the join of tickets with near sites multiplies rows, so nothing is joined to its pairs."""
+    from conftest import SF_SMALL
+    plan = E.queries()["q05_ticket_origin_by_distance"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert len(joins) > 5 and "ASIN(" in joins[0].upper(), joins
